@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, quality, secrets, sentencepiece_bpe, substring_dedup, toxicity, training
+from . import decontamination, fingerprint, quality, secrets, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, training
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def _ids_digest(ids) -> F.Column:
     return F.sha2(F.array_join(F.array_sort(ids), ","), 256)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed_runs").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -80,7 +85,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_fingerprint, op4_substring_dedup, op5_quality, op6_toxicity, op8_secrets, op9_sentencepiece, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprint, op4_substring_dedup, op5_quality, op6_toxicity, op8_secrets, op9_sentencepiece, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
