@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, quality, secrets, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, training
+from . import decontamination, fingerprint, jaccard, quality, secrets, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, training
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (training.remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("toxic").alias("toxic_by_language"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.learn(docs), keep=["doc_id"], digests=True)
@@ -85,7 +89,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprint, op4_substring_dedup, op5_quality, op6_toxicity, op8_secrets, op9_sentencepiece, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprint, op4_substring_dedup, op5_quality, op6_toxicity, op7_jaccard_join, op8_secrets, op9_sentencepiece, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
