@@ -187,14 +187,8 @@ def links(postings: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -
     return parts
 
 
-def cluster(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: its id under ``id_col``, n_shingles and component_id, the least id reachable by links.
-
-    Two documents link when 100 * intersection >= percent * union of their sets of ``words``-word shingles (A-Z in lower
-    case; fewer words make one shingle). Null, empty and blank texts have no shingle and link with nothing, so
-    component_id is their own id. Rows with equal sets, repeated rows included, are one node; null ids never are the
-    least unless no other is there. No partner is given up: hubs only spare checks inside a component.
-    """
+def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_row, _id, n, component, component_id): rows of one component share ``component``, which is null without shingles."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     survey = stored(rows.select("_row", "_text").mapInArrow(_survey(words), "_row long, n int, sid long, shingle long, seen long"), "op7-survey")
@@ -226,6 +220,29 @@ def cluster(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_c
     nodes = named.where(~lone).groupBy("sid").agg(F.min("_id").alias("least"))
     nodes = nodes.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = nodes.join(least, "component").select("sid", "component_id")
-    out = named.join(by_set, "sid", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(lone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_set = nodes.join(least, "component").select("sid", "component", "component_id")
+    return named.join(by_set, "sid", "left").select("_row", "_id", "n", F.when(~lone, F.col("component")).alias("component"), F.when(lone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def cluster(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: its id under ``id_col``, n_shingles and component_id, the least id reachable by links.
+
+    Two documents link when 100 * intersection >= percent * union of their sets of ``words``-word shingles (A-Z in lower
+    case; fewer words make one shingle). Null, empty and blank texts have no shingle and link with nothing, so
+    component_id is their own id. Rows with equal sets, repeated rows included, are one node; null ids never are the
+    least unless no other is there. No partner is given up: hubs only spare checks inside a component.
+    """
+    out = clustered(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one of each component: the one of least id, of equal ids the first row.
+
+    Rows without shingles link with nothing and all stay.
+    """
+    out = clustered(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    first = out.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("f"))
+    stay = first.select(F.col("f._row").alias("_row")).unionByName(out.where("component IS NULL").select("_row"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

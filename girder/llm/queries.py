@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, jaccard, quality, secrets, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, training
+import corpus_pipeline
+
+from . import decontamination, fingerprint, jaccard, ppm, quality, secrets, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, training
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,13 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = training.remainder("doc_id", 7) == 2
+    scored = ppm.score(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -89,7 +98,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprint, op4_substring_dedup, op5_quality, op6_toxicity, op7_jaccard_join, op8_secrets, op9_sentencepiece, op10_decontamination)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprint, op3_lm_scoring, op4_substring_dedup, op5_quality, op6_toxicity, op7_jaccard_join, op8_secrets, op9_sentencepiece, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

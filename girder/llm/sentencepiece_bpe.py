@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SPACE = "▁"
 #: Field numbers of the model file's messages, and its kinds of pieces.
@@ -249,9 +250,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_
     names = {a.split()[0] for a in added}
     keep = [c for c in keep if c not in names]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
-    schema = source.drop("_text").schema
-    for a in added:
-        schema = schema.add(a.split()[0], a.split()[1] if not a.startswith(f"{ids_col} ") else "array<int>")
+    schema = StructType([*source.drop("_text").schema.fields, *StructType.fromDDL(", ".join(added)).fields])
 
     def run(batches):
         model, cache = _loaded(name)
