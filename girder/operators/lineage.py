@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,15 +12,25 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int, up: bool, distinct: bo
     One row per path, so a diamond gives two; ``distinct`` keeps the least depth of each node.
     """
     here, there = ("child_id", "parent_id") if up else ("parent_id", "child_id")
-    step = edges.select(F.col(here).alias("node"), F.col(there).alias("_next"))
-    level = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"))
-    out = None
-    for d in range(1, depth + 1):
-        level = level.join(step, "node").select("start", F.col("_next").alias("node"), F.lit(d).alias("depth"))
-        out = level if out is None else out.unionByName(level)
+    out = recursive(
+        starts.sparkSession,
+        f"""WITH RECURSIVE walk(start, node, depth) AS (
+          SELECT s.id, e.{there}, 1 FROM {{starts}} s JOIN {{edges}} e ON e.{here} = s.id
+          UNION ALL
+          SELECT walk.start, e.{there}, walk.depth + 1 FROM walk JOIN {{edges}} e ON e.{here} = walk.node WHERE walk.depth < {int(depth)}
+        ) SELECT start, node, depth FROM walk""",
+        starts=starts,
+        edges=edges,
+    )
     return out.groupBy("start", "node").agg(F.min("depth").alias("depth")) if distinct else out
 
 
+def recursive(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    """Run a recursive query, each level once and from the one before. The depth cap ends it, so rows need no limit."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(sql, **frames)
+
+
 def nearest_with_value(ancestors: DataFrame, values: DataFrame) -> DataFrame:
     """Per start the value of the nearest ancestor that has one; ties by the least id."""
     rows = ancestors.join(values.where("value IS NOT NULL").withColumnRenamed("id", "node"), "node")
@@ -35,14 +45,17 @@ def children_list(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 def tree_paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(node, depth, path) from the roots down; a path never takes a node twice."""
-    level = roots.select(F.col("id").alias("node"), F.lit(0).alias("depth"), F.array(F.col("id")).alias("_seen"))
-    step = edges.select(F.col("parent_id").alias("node"), F.col("child_id").alias("_next"))
-    out = level
-    for d in range(1, depth + 1):
-        level = level.join(step, "node").where(~F.array_contains("_seen", F.col("_next")))
-        level = level.select(F.col("_next").alias("node"), F.lit(d).alias("depth"), F.concat("_seen", F.array("_next")).alias("_seen"))
-        out = out.unionByName(level)
-    return out.select("node", "depth", F.array_join(F.transform("_seen", lambda x: x.cast("string")), "/").alias("path"))
+    return recursive(
+        roots.sparkSession,
+        f"""WITH RECURSIVE tree(node, depth, path, seen) AS (
+          SELECT id, 0, CAST(id AS STRING), array(id) FROM {{roots}}
+          UNION ALL
+          SELECT e.child_id, tree.depth + 1, concat(tree.path, '/', CAST(e.child_id AS STRING)), concat(tree.seen, array(e.child_id))
+          FROM tree JOIN {{edges}} e ON e.parent_id = tree.node WHERE tree.depth < {int(depth)} AND NOT array_contains(tree.seen, e.child_id)
+        ) SELECT node, depth, path FROM tree""",
+        roots=roots,
+        edges=edges,
+    )
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:

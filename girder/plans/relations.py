@@ -64,9 +64,9 @@ def name_list(t):
     return t.nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("names"), F.count("*").alias("n"))
 
 
-@query("SELECT CAST(o_orderdate AS DATE) AS day, count_if(o_orderstatus = 'F') AS passed, count_if(o_orderstatus <> 'F') AS failed FROM orders GROUP BY 1")
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count_if(o_orderstatus = 'F') AS passed, count_if(o_orderstatus <> 'F') AS failed FROM orders GROUP BY 1")
 def spec_summary(t):
-    return t.orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("passed"), F.count_if(F.col("o_orderstatus") != "F").alias("failed"))
+    return t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("passed"), F.count_if(F.col("o_orderstatus") != "F").alias("failed"))
 
 
 @query("SELECT l_partkey, first(v) AS value FROM (SELECT l_partkey, l_returnflag AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_returnflag) AS n FROM lineitem) WHERE n = 1 GROUP BY l_partkey")
@@ -137,10 +137,10 @@ def rank_metrics(t):
     return rho.crossJoin(x.join(y, "s_suppkey").agg(F.count("*").alias("shared")))
 
 
-@query("SELECT l_returnflag, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18,2))) AS total, min(l_quantity) AS low, max(l_quantity) AS high, round(sum(CAST(l_quantity AS DECIMAL(18,2))) / count(*), 4) AS mean FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total, min(l_quantity) AS low, max(l_quantity) AS high, round(sum(CAST(l_quantity AS DECIMAL(18,2))) / count(*), 4) AS mean FROM lineitem GROUP BY 1")
 def quantity_summary(t):
     q = F.col("l_quantity").cast("decimal(18,2)")
-    return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(q).alias("total"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.round((F.sum(q) / F.count("*")).cast("double"), 4).alias("mean"))
+    return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(q).cast("double").alias("total"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.round((F.sum(q) / F.count("*")).cast("double"), 4).alias("mean"))
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE user_id < 20")

@@ -18,7 +18,7 @@ def _scratch(t, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT r_name AS zone, count(*) AS n_elements, sum(CAST(l_quantity AS DECIMAL(18,2))) AS quantity FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey GROUP BY r_name")
+@query("SELECT r_name AS zone, count(*) AS n_elements, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey GROUP BY r_name")
 def zone_rollup(t):
     """Elements and quantity per zone, rolled up the containment hierarchy.
 
@@ -27,7 +27,7 @@ def zone_rollup(t):
     per_space = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"))
     up = per_space.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     up = up.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return up.groupBy(F.col("r_name").alias("zone")).agg(F.sum("n").alias("n_elements"), F.sum("q").alias("quantity"))
+    return up.groupBy(F.col("r_name").alias("zone")).agg(F.sum("n").alias("n_elements"), F.sum("q").cast("double").alias("quantity"))
 
 
 @query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")

@@ -237,11 +237,10 @@ def door_pairs(t):
 def passages(t):
     """Openings without a fill, low sill above the storey, wide and high enough; unknown geometry passes."""
     c = F.col
-    known = F.when(c("guid") % 11 != 0, F.lit(1.0))
-    sill = c("min_z") * known - F.floor(c("min_z") / 0.1) * 0.1
+    known = lambda x: F.when(c("guid") % 11 != 0, x)
+    sill = c("min_z") - F.floor(c("min_z") / 0.1) * 0.1
     rows = boxes(t).where("entity = 'IfcSlab' AND guid % 3 <> 0")
-    ok = F.coalesce((sill <= 0.06) & (c("max_x") - c("min_x") >= 0.1) & (c("max_z") - c("min_z") >= 0.1), F.lit(True))
-    return rows.where(ok).select("guid")
+    return rows.where(F.coalesce(known((sill <= 0.06) & (c("max_x") - c("min_x") >= 0.1) & (c("max_z") - c("min_z") >= 0.1)), F.lit(True))).select("guid")
 
 
 @query(f"WITH {B} SELECT guid, CAST(floor(min_z / 0.2) AS BIGINT) AS low, CAST(floor(max_z / 0.2) AS BIGINT) AS high FROM b WHERE floor(min_z / 0.2) <> floor(max_z / 0.2) AND max_z - min_z >= 0.2")

@@ -1,0 +1,191 @@
+"""Operators on small literal tables."""
+
+from __future__ import annotations
+
+import random
+from collections import defaultdict, deque
+
+import pytest
+from pyspark.sql import functions as F
+
+from girder.functions import scalars as X
+from girder.operators import changes, graphs, lineage, registry, relational, selectors, spatial
+from girder.sources import tables
+from girder.streaming import upsert as streaming
+
+BOX = "guid string, entity string, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+
+
+@pytest.mark.parametrize(
+    ("source", "target", "expected"),
+    [
+        (("IfcDuctSegment", 0, 0, 2, 5, 0.3, 2.3), ("IfcWall", 2, -0.1, 0, 2.2, 3, 3), "penetrates"),
+        (("IfcDuctSegment", 1, 1, 1, 1.2, 1.2, 1.2), ("IfcSpace", 0, 0, 0, 4, 4, 3), "sits_in"),
+        (("IfcFlowTerminal", 1, 1, 3.0, 1.5, 1.5, 3.5), ("IfcSlab", 0, 0, 2.8, 5, 5, 3.0), "mounted_on"),
+        (("IfcFlowTerminal", 0, 0, 0, 1, 1, 1), ("IfcColumn", 0.5, 0.5, 0.5, 1.5, 1.5, 1.5), "intersects"),
+        (("IfcDuctSegment", 0, 0, 0, 1, 1, 1), ("IfcWall", 1.02, 0, 0, 2, 1, 1), "within_clearance"),
+        (("IfcWall", 0, 0, 0, 1, 1, 1), ("IfcSlab", 0.5, 0.5, 0.5, 2, 2, 2), None),
+    ],
+)
+def test_pair_classes(spark, source, target, expected):
+    a = spark.createDataFrame([("a", source[0], *map(float, source[1:]))], BOX)
+    b = spark.createDataFrame([("b", target[0], *map(float, target[1:]))], BOX)
+    found = [r["relation"] for r in spatial.classify_pairs(spatial.box_pairs(a, b, 3.0, 0.05), 0.05).collect()]
+    assert found == ([expected] if expected else [])
+
+
+def test_winner_keeps_lowest_or_highest_room(spark):
+    rows = spark.createDataFrame([("beam", "010-200", 1), ("beam", "010-100", 2), ("beam", "050-100", 3), ("none", None, 4), ("none", None, 5)], "target string, v string, pos int")
+    low = {r["v"] for r in relational.winners(rows.where("target='beam'"), "target", "v", "pos").collect()}
+    high = {r["v"] for r in relational.winners(rows.where("target='beam'"), "target", "v", "pos", True).collect()}
+    assert (low, high) == ({"010-100"}, {"050-100"})
+    assert relational.winners(rows, "target", "v", "pos").where("target='none'").count() == 2
+
+
+def test_export_columns(spark):
+    df = spark.createDataFrame([("IfcWall", "g1"), ("IfcBuildingStorey", "g2"), ("IfcDoor", "g3")], "entity string, guid string")
+    assert selectors.of_type(df, "IfcElement").count() == 2
+    assert selectors.of_type(df, "IfcProduct").count() == 3
+    assert selectors.select_columns(df, [("GlobalId", "guid")]).columns == ["GlobalId"]
+    with pytest.raises(ValueError):
+        selectors.select_columns(df, [("X", "nope")])
+
+
+def test_selector_parsing():
+    s = selectors.Selector.parse("IfcWall, Pset.Fire='A, b', Qto.Width=0.5")
+    assert s.entity == "IfcWall"
+    assert s.conditions == (("Pset", "Fire", "A, b"), ("Qto", "Width", "0.5"))
+    assert selectors.Selector.parse("").entity == "IfcElement"
+
+
+def test_diamond_has_one_row_a_path(spark):
+    e = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4)], "parent_id long, child_id long")
+    s = spark.createDataFrame([(4,)], "id long")
+    assert lineage.walk(e, s, 5, up=True).where("node = 1").count() == 2
+    assert lineage.walk(e, s, 5, up=True, distinct=True).where("node = 1").count() == 1
+
+
+def test_upsert_merges_json(spark):
+    old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
+    new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
+    out = {r["k"]: r for r in changes.upsert(old, new, ["k"], json=["meta"]).collect()}
+    assert out["k"]["meta"] == '{"a":"1","b":"2"}' and out["k"]["v"] == "y" and len(out) == 3
+
+
+def test_fingerprint_ignores_order_and_partitions(spark):
+    df = spark.range(1000).withColumn("v", F.col("id") % 7)
+    prints = {relational.fingerprint(df.repartition(n), ["id", "v"]).first()[0] for n in (1, 4, 20)}
+    assert len(prints) == 1
+    assert relational.fingerprint(df.where("id > 0"), ["id", "v"]).first()[0] not in prints
+
+
+def _brute_betweenness(pairs):
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    nodes = sorted(near)
+    score = dict.fromkeys(nodes, 0.0)
+
+    def paths(s, t):
+        queue, best, out = deque([[s]]), None, []
+        while queue:
+            p = queue.popleft()
+            if best and len(p) > best:
+                break
+            if p[-1] == t:
+                best = len(p)
+                out.append(p)
+                continue
+            queue.extend([*p, w] for w in near[p[-1]] if w not in p)
+        return out
+
+    for i, s in enumerate(nodes):
+        for t in nodes[i + 1 :]:
+            found = paths(s, t)
+            for p in found:
+                for v in p[1:-1]:
+                    score[v] += 1 / len(found)
+    n = len(nodes)
+    return {v: x * 2 / ((n - 1) * (n - 2)) for v, x in score.items()}
+
+
+def test_betweenness_and_bridges(spark):
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted(rng.sample(range(9), 2))) for _ in range(12)})
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    want = _brute_betweenness(pairs)
+    for r in graphs.centrality(df).collect():
+        assert abs(r["betweenness"] - want[r["id"]]) < 1e-5
+
+    def parts(edges):
+        left = {v for p in pairs for v in p}
+        n = 0
+        while left:
+            n += 1
+            queue = [left.pop()]
+            while queue:
+                v = queue.pop()
+                for a, b in edges:
+                    for x, y in ((a, b), (b, a)):
+                        if x == v and y in left:
+                            left.remove(y)
+                            queue.append(y)
+        return n
+
+    bridges = {(a, b) for a, b in pairs if parts([p for p in pairs if p != (a, b)]) > parts(pairs)}
+    assert {(r["src"], r["dst"]) for r in graphs.bridges(df).collect()} == bridges
+    assert graphs.components(df).select("component").distinct().count() == parts(pairs)
+
+
+def test_parallel_edges_are_no_bridge(spark):
+    df = spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "src long, dst long")
+    assert [tuple(r) for r in graphs.bridges(df).collect()] == [(2, 3)]
+
+
+def test_communities_are_the_cliques(spark):
+    two = [(a, b) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10)]
+    out = {r["id"]: r["community"] for r in graphs.communities(spark.createDataFrame(two, "src long, dst long")).collect()}
+    assert len({out[i] for i in range(5)}) == 1 and len({out[i] for i in range(10, 15)}) == 1 and out[0] != out[10]
+
+
+def test_nearest_box_looks_as_far_as_needed(spark):
+    boxes = spark.createDataFrame([("s", "IfcSpace", 100.0, 100.0, 0.0, 101.0, 101.0, 3.0)], BOX)
+    points = spark.createDataFrame([("p", 0.0, 0.0, 0.0)], "guid string, x double, y double, z double")
+    assert round(spatial.nearest_box(points, boxes, "guid", 0.5).first()["distance"], 3) == 141.421
+
+
+def test_registry():
+    @registry.register("test.recipe", {"tol": "tolerance"})
+    def recipe(name: str, tolerance: float = 0.1, deep: bool = False):
+        return name, tolerance, deep
+
+    assert registry.call("test.recipe", "a", "0.5", deep="yes") == ("a", 0.5, True)
+    assert registry.call("test.recipe", "a", tol="2") == ("a", 2.0, False)
+    assert registry.parameters("test.recipe")[1] == ("tolerance", "float", 0.1)
+    with pytest.raises(TypeError):
+        registry.call("test.recipe", "a", wrong=1)
+
+
+def test_blank_and_numbers(spark):
+    df = spark.createDataFrame([(" None ", "1.0", "1"), ("x", "a ", "a"), (None, "1", "a")], "t string, a string, b string")
+    out = df.select(X.blank_to_null(F.col("t")).alias("t"), X.same_value(F.col("a"), F.col("b")).alias("e")).collect()
+    assert [tuple(r) for r in out] == [(None, True), ("x", True), (None, False)]
+
+
+def test_write_refuses_unknown_format(spark, tmp_path):
+    with pytest.raises(ValueError):
+        tables.write_table(spark.range(1), str(tmp_path / "x"), ".parquet")
+
+
+def test_stream_upsert(spark, tmp_path):
+    schema = "job_id string, status string, note string, n int"
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("a", "queued", "first", 1), ("b", "queued", None, 1)], schema).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    run = lambda: streaming.job_history_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), ["job_id"], "n", overwrite=["status"], keep_old=False).awaitTermination()
+    run()
+    spark.createDataFrame([("a", "finished", None, 2)], schema).coalesce(1).write.mode("append").parquet(source)
+    run()
+    out = {r["job_id"]: r for r in streaming.read_current(spark, str(tmp_path / "t"), schema, 1).collect()}
+    assert out["a"]["status"] == "finished" and out["a"]["note"] == "first" and out["b"]["status"] == "queued"
