@@ -88,9 +88,8 @@ def documents_with_next(docs: DataFrame, *, id_col: str, text_col: str, buckets:
 
     Runs are ranges of ids between sampled quantiles. Only one row per run is copied, found by one aggregate on ids.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    n = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    n = buckets or min(20_000, max(8, 2 * rows.rdd.getNumPartitions()))
     cuts = sorted(set(rows.stat.approxQuantile("_id", [i / n for i in range(1, n)], 0.25 / n)), reverse=True) if n > 1 else []
     bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     # Run 0 has ids from the highest cut upwards; null ids end the last run.
