@@ -118,7 +118,8 @@ class SuffixAutomaton:
                     runs[-1][0] = min(runs[-1][0], i + 1 - hit)
                     runs[-1][1] = i + 1
                     while len(runs) > 1 and runs[-2][1] >= runs[-1][0]:
-                        runs[-2][1] = runs.pop()[1]
+                        start, end = runs.pop()
+                        runs[-1] = [min(runs[-1][0], start), end]
                 else:
                     runs.append([i + 1 - hit, i + 1])
         return runs, found
