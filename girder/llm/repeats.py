@@ -21,7 +21,11 @@ ANCHOR = "_row long, anchor int, first int, last int"
 
 
 def repeated_keys(table: DataFrame, *keys: str) -> DataFrame:
-    """Keys that occur more than once, with their counts; counted before they are exchanged, so a hot key is one row a task."""
+    """Keys that occur more than once, with their counts; counted before they are exchanged, so a hot key is one row a task.
+
+    Callers write the result before they join it: joined right away, the rows would meet it in the partitions of the
+    count, which can't be split where one key is hot.
+    """
     return table.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
 
 
@@ -92,5 +96,5 @@ def covered(runs: np.ndarray, width: int) -> np.ndarray:
 
 def same_windows(windows: DataFrame) -> DataFrame:
     """Of windows (_row, start, h, g) those whose two hashes (96 bits) occur more than once, as runs of one start."""
-    twice = repeated_keys(windows, "h", "g").select("h", "g")
+    twice = stored(repeated_keys(windows, "h", "g").select("h", "g"), "repeated-windows")
     return windows.join(twice, ["h", "g"], "left_semi").select("_row", "start", F.col("start").alias("end"))

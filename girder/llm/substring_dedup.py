@@ -80,15 +80,16 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     short, middle = levels(width)
     rows = keyed(docs, id_col, text_col)
     table = repeats.anchor_table(rows, _candidates(width), ", left long, right long", "op4-anchors")
-    twice = repeats.repeated_keys(table, "gram").select("gram")
+    twice = stored(repeats.repeated_keys(table, "gram").select("gram"), "op4-repeated")
     once = stored(table.join(twice, "gram", "left_semi").drop("gram"), "op4-short")
-    drop_stored(table)
+    drop_stored(table, twice)
     sides = once.select("*", F.posexplode(F.array("left", "right")).alias("side", "key")).where("key IS NOT NULL").drop("left", "right")
-    doubled = sides.join(repeats.repeated_keys(sides, "side", "key").select("side", "key"), ["side", "key"], "left_semi")
+    twice = stored(repeats.repeated_keys(sides, "side", "key").select("side", "key"), "op4-repeated")
+    doubled = sides.join(twice, ["side", "key"], "left_semi")
     doubled = doubled.select("_row", "first", "last").distinct()
     schema = f"n_words long, n_removed long, removed_runs array<array<int>>, {'kept_sha256' if digests else 'kept'} string"
     beside = repeats.beside_candidates(rows, doubled, ["first", "last"], _whole(digests), schema, "op4-beside")
-    drop_stored(once)
+    drop_stored(once, twice)
 
     def windows(batches):
         for batch in batches:

@@ -231,7 +231,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     table = repeats.anchor_table(rows, _candidates(width, gram), name="op1-anchors")
-    twice = repeats.repeated_keys(table, "gram")
+    twice = stored(repeats.repeated_keys(table, "gram"), "op1-repeated")
     again = table.join(twice, "gram").select("_row", "anchor", "first", "last", (F.col("_n") > hot_anchors).alias("hot"))
     schema = f"n_bytes long, n_removed long, removed_runs array<array<int>>, {'kept_sha256 string' if digests else 'kept binary'}"
 
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
         return _columns(asked, [len(r) for r in raw], [0] * len(raw), [[] for _ in raw], raw, digests)
 
     beside = repeats.beside_candidates(rows, again, ["anchor", "first", "last", "hot"], whole, schema, "op1-beside")
-    drop_stored(table)
+    drop_stored(table, twice)
     asked = beside.where(F.col("_candidates").isNotNull()).select("_row", "_text", "_candidates")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked.rdd.getNumPartitions())
 
