@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import components, drop_stored, keyed, stored
-from .text import Rolling, U64, chunks, mix, word_bounds
+from .text import Rolling, U64, chunks, free_name, mix, word_bounds
 
 WORDS, PERCENT = 5, 75
 #: Longest inverted lists that are put last in the order; only an order, so any list of them gives the same links.
@@ -244,5 +244,6 @@ def one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     out = clustered(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
     first = out.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("f"))
     stay = first.select(F.col("f._row").alias("_row")).unionByName(out.where("component IS NULL").select("_row"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = free_name(docs.columns, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(stay.withColumnRenamed("_row", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

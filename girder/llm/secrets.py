@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import free_name
+
 #: The patterns of the kinds, in the order of their listing, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -229,8 +231,9 @@ def scan(docs: DataFrame, formats: Formats, *, keep: list[str], text_col: str =
     else:
         added = {"secret_spans": (SPAN_TYPE, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])))}
     kept = [c for c in keep if c not in added]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text"))
-    schema = source.drop("_text").schema
+    name_of_text = free_name(kept)
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(name_of_text))
+    schema = source.drop(name_of_text).schema
     for name, (kind, _) in added.items():
         schema = schema.add(name, kind if kind != SPAN_TYPE else _SPAN_SCHEMA)
     shared = docs.sparkSession.sparkContext.broadcast(formats)
@@ -240,7 +243,7 @@ def scan(docs: DataFrame, formats: Formats, *, keep: list[str], text_col: str =
         formats = shared.value
         for batch in batches:
             out: dict[str, list] = {n: [] for n in added}
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(name_of_text).to_pylist():
                 base = base_spans(text or "")
                 every = sorted(base + formats.spans(text or "", base))
                 if digests:

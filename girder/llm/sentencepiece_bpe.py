@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .text import free_name
+
 SPACE = "▁"
 #: Field numbers of the model file's messages, and its kinds of pieces.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -249,8 +251,9 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_
     added = ([f"{ids_col} array<int>"] if ids_col else []) + (["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else [])
     names = {a.split()[0] for a in added}
     keep = [c for c in keep if c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
-    schema = StructType([*source.drop("_text").schema.fields, *StructType.fromDDL(", ".join(added)).fields])
+    name_of_text = free_name(keep)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(name_of_text))
+    schema = StructType([*source.drop(name_of_text).schema.fields, *StructType.fromDDL(", ".join(added)).fields])
 
     def run(batches):
         model, cache = _loaded(name)
@@ -264,7 +267,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_
 
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(name_of_text).to_pylist():
                 get = cache.get
                 parts = [get(p) or known(p) for p in model.stretches(text or "")]
                 joined = ",".join([p[1] for p in parts])

@@ -21,6 +21,13 @@ LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 20
 
 
+def free_name(taken: list[str], name: str = "_text") -> str:
+    """The name, with underscores added until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, last row exclusive, data, offsets); a longer document makes a chunk of its own."""
     if column.null_count:

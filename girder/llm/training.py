@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import free_name
+
 
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as the empty text."""
@@ -55,13 +57,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def score_documents(docs: DataFrame, model, scorer, *, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and ``score`` of every row; ``scorer(model, column of texts)`` gives the scores."""
     keep = [c for c in keep if c != "score"]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
+    name_of_text = free_name(keep)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(name_of_text))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(name_of_text)
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scorer(shared.value, texts), pa.float64())], names=[*keep, "score"])
 
-    return source.mapInArrow(run, source.drop("_text").schema.add("score", "double"))
+    return source.mapInArrow(run, source.drop(name_of_text).schema.add("score", "double"))
