@@ -18,10 +18,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared scratch space and read it back: cuts lineage and survives lost executors."""
+    """Write a table to the shared scratch space and read it back: cuts lineage and survives lost executors.
+
+    The shuffles that made it are no longer needed, but Spark deletes their files only once the driver's JVM collects
+    what stands for them, by default every half hour; asking for that here keeps the disk to one step's exchanges.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

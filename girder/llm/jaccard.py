@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import components, drop_stored, keyed, stored
+from .repeats import repeated_keys
 from .text import Rolling, U64, chunks, free_name, mix, word_bounds
 
 WORDS, PERCENT = 5, 75
@@ -116,7 +117,7 @@ def _postings(heavy, small: int, words: int, percent: int):
                     begin = own[: n - o + 2]
                     i, j = np.triu_indices(len(begin), 1)
                     a, b = np.minimum(begin[i], begin[j]), np.maximum(begin[i], begin[j])
-                    keys.append(mix(a * U64(0x9E3779B97F4A7C15) + mix(b)))
+                    keys.append(mix(a * U64(0x9E3779B97F4A7C15) + mix(b + U64(1))))
                     places.append(np.full(len(i), -1, np.int32))
                     sids.append(np.full(len(i), sid))
                     ns.append(np.full(len(i), n, np.int32))
@@ -198,10 +199,12 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
     shared = spark.sparkContext.broadcast((value[order], seen[order]))
     small = boundary(seen.astype(float), percent)
     postings = stored(rows.select("_text").mapInArrow(_postings(shared, small, words, percent), "key long, sid long, n int, pos int"), "op7-postings")
-    kind = F.when(F.col("pos") < 0, 1).otherwise(0).alias("kind")
-    met = postings.groupBy("key", kind).agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key", "kind")
-    met = postings.withColumn("kind", F.when(F.col("pos") < 0, 1).otherwise(0)).join(met, ["key", "kind"], "left_semi")
-    met = stored(met.select(F.xxhash64("key", "kind").alias("key"), "sid", "n", "pos").distinct(), "op7-met")
+    # Keys are counted first with nothing beside them; copies of one set make some more keys pass, which go next.
+    twice = stored(repeated_keys(postings, "key").select("key"), "op7-repeated")
+    met = stored(postings.join(twice, "key", "left_semi").distinct(), "op7-met")
+    drop_stored(twice)
+    alone = met.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key")
+    met = stored(met.join(stored(alone, "op7-keys"), "key", "left_semi"), "op7-met")
     drop_stored(postings)
     sets_of = survey.where("shingle IS NULL").select("_row", "n", "sid")
     chosen = sets_of.join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("_row").alias("_row"))
