@@ -154,3 +154,10 @@ def storey_key(t):
 def uri_local_name(t):
     """E28."""
     return t.nation.select("n_nationkey", X.local_name(F.concat(F.lit("https://example.org/a#"), F.col("n_name"))).alias("local"))
+
+
+@query("SELECT l_partkey AS guid, 'Psets.' || l_returnflag || '.' || l_linestatus AS path FROM lineitem")
+def pretty_paths(t):
+    """A bracketed property path as a dotted one."""
+    raw = F.concat(F.lit("root['Psets']['"), F.col("l_returnflag"), F.lit("']['"), F.col("l_linestatus"), F.lit("']"))
+    return t.lineitem.select(F.col("l_partkey").alias("guid"), F.array_join(F.regexp_extract_all(raw, F.lit(r"\['([^']*)'\]"), 1), ".").alias("path"))
