@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -77,8 +78,10 @@ def cut(beside: DataFrame, runs: DataFrame, columns: list[str], whole_schema: st
 
     def run(batches):
         for batch in batches:
-            texts, found = batch.column("_text").to_pylist(), batch.column("_runs").to_pylist()
-            out = cutter(texts, [np.array([(r["start"], r["end"]) for r in own or []], np.int64).reshape(-1, 2) for own in found])
+            found = batch.column("_runs")
+            flat = np.stack([found.flatten().field(f).to_numpy().astype(np.int64) for f in ("start", "end")], axis=1)
+            bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy()))
+            out = cutter(batch.column("_text").to_pylist(), [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *out.values()], names=["_id", *out])
 
     return done.unionByName(left.select("_id", "_text", "_runs").mapInArrow(run, done.schema))
