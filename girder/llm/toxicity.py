@@ -17,7 +17,7 @@ from .text import Rolling, U64, chunks, mix, word_bounds
 
 BUCKETS, LANES, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 #: Bytes of the beginnings of a word that have embeddings of their own, added to the word's.
-PREFIXES = (5, 7)
+PREFIXES = (4, 6, 8)
 MAX_TRAINING_ROWS = 6000
 _HASH = Rolling(601, fold_case=True)
 _SEPARATORS = np.ones(256, bool)
@@ -87,7 +87,7 @@ class TextCnn:
         p["e"][seen, 1:] = rng.normal(0, 0.05, (int(seen.sum()), LANES - 1))
         adam = training.Adam({k: v for k, v in p.items() if k != "e"}, rate)
         size = max(8, min(64, len(target) // 12))
-        weight = np.where(target > 0, min(4.0, n_neg / n_pos), 1.0)
+        weight = np.where(target > 0, min(10.0, n_neg / n_pos), 1.0)
         for _ in range(epochs):
             order = rng.permutation(len(docs))
             for at in range(0, len(order), size):
