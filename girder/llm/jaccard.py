@@ -25,6 +25,7 @@ from .repeats import repeated_keys
 from .text import Rolling, U64, chunks, free_name, mix, word_bounds
 
 WORDS, PERCENT = 5, 75
+SKETCH = 512
 #: Longest inverted lists that are put last in the order; only an order, so any list of them gives the same links.
 HEAVY = 100_000
 _WORD, _SHINGLE = Rolling(701, fold_case=True), Rolling(702)
@@ -49,35 +50,45 @@ def shingle_sets(column: pa.Array, words: int = WORDS):
                 yield hashes[:0]
 
 
+def sketch(shingles: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of SKETCH ranges of the hash; None where one holds more than a byte can say.
+
+    Two sets share at most the sum of the lesser counts, which rules out most pairs that aren't alike.
+    """
+    counts = np.bincount((shingles >> U64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
 def set_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), signed=True)
 
 
 def _survey(words: int):
-    """Rows of sets (_row, n, sid) and of shingles that are frequent within a few megabytes (shingle, seen)."""
-    names = ["_row", "n", "sid", "shingle", "seen"]
+    """Rows of sets (_row, n, sid, sketch) and of shingles that are frequent within a few megabytes (shingle, seen)."""
+    names = ["_row", "n", "sid", "sketch", "shingle", "seen"]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(held), return_counts=True)
         value, count = value[count >= 4], count[count >= 4]
-        none = [pa.nulls(len(value), t) for t in (pa.int64(), pa.int32(), pa.int64())]
+        none = [pa.nulls(len(value), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([*none, pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=names)
 
     def run(batches):
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            ns, sids = [], []
+            ns, sids, sketches = [], [], []
             for own in shingle_sets(batch.column("_text"), words):
                 ns.append(len(own))
                 sids.append(set_id(own))
+                sketches.append(sketch(own))
                 held.append(own)
                 size += len(own)
                 if size > 3_000_000:
                     yield frequent(held)
                     held, size = [], 0
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(ns, pa.int32()), pa.array(sids, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(ns, pa.int32()), pa.array(sids, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
         if held:
             yield frequent(held)
 
@@ -143,17 +154,42 @@ def _possible(a: str, b: str, percent: int):
     return sizes & ((pa_ < 0) | (rest * (100 + percent) >= need))
 
 
-def links(postings: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
-    """Components (node, component) of the sets that are alike; sets without a partner don't appear."""
+def _may_be_alike(percent: int):
+    """Of pairs with sizes and sketches, those whose sketches allow the overlap."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            both = np.minimum(na, nb)
+            x, y = batch.column("x"), batch.column("y")
+            known = np.flatnonzero(~(np.asarray(x.is_null()) | np.asarray(y.is_null())))
+            if len(known):
+                left, right = (np.frombuffer(b"".join(c.take(pa.array(known)).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (x, y))
+                both[known] = np.minimum(left, right).sum(axis=1)
+            keep = 100 * both >= percent * (na + nb - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, rounds: int = 3) -> DataFrame:
+    """Components (node, component) of the sets that are alike; sets without a partner don't appear.
+
+    ``sketches`` has (sid, n, sketch) of every set; ``sets_of(ids)`` gives (sid, shingles) for a table of sids.
+    """
     edges, parts, checked = None, None, None
 
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
-        two = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        exact = pairs.join(one, "a").join(two, "b").withColumn("o", both)
+    def check(pairs: DataFrame) -> DataFrame:
+        one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+        two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+        left = stored(pairs.join(one, "a").join(two, "b").mapInArrow(_may_be_alike(percent), "a long, b long"), "op7-likely")
+        sets = sets_of(left.select(F.col("a").alias("sid")).union(left.select("b")).distinct())
+        one, two = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+        exact = left.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
         alike = F.lit(100) * F.col("o") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("o"))
-        return stored(exact.select("a", "b", alike.alias("alike")), name)
+        out = stored(exact.select("a", "b", alike.alias("alike")), "op7-pairs")
+        drop_stored(sets)
+        return out
 
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
     for turn in range(rounds + 1):
@@ -176,8 +212,9 @@ def links(postings: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = check(pairs, "op7-pairs")
-        checked = found if checked is None else checked.unionByName(found)
+        pairs = stored(pairs, "op7-candidates")
+        found = check(pairs) if pairs.head(1) else pairs.select("a", "b", F.lit(False).alias("alike"))
+        checked = pairs if checked is None else checked.unionByName(pairs)
         new = found.where("alike").select("a", "b")
         if turn and not new.head(1):
             if turn < rounds:
@@ -192,7 +229,7 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
     """(_row, _id, n, component, component_id): rows of one component share ``component``, which is null without shingles."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
-    survey = stored(rows.select("_row", "_text").mapInArrow(_survey(words), "_row long, n int, sid long, shingle long, seen long"), "op7-survey")
+    survey = stored(rows.select("_row", "_text").mapInArrow(_survey(words), "_row long, n int, sid long, sketch binary, shingle long, seen long"), "op7-survey")
     heavy = survey.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(HEAVY).toPandas()
     value, seen = heavy["shingle"].to_numpy(np.int64).view(np.uint64), heavy["seen"].to_numpy(np.int64)
     order = np.argsort(value)
@@ -207,7 +244,7 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
     met = stored(met.join(stored(alone, "op7-keys"), "key", "left_semi"), "op7-met")
     drop_stored(postings)
     sets_of = survey.where("shingle IS NULL").select("_row", "n", "sid")
-    chosen = sets_of.join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("_row").alias("_row"))
+    sketches = stored(survey.where("shingle IS NULL").join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "op7-sketches")
 
     def shingles(batches):
         for batch in batches:
@@ -216,8 +253,12 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("sid"), lists], names=["sid", "shingles"])
 
-    sets = stored(rows.join(chosen, "_row").select("sid", "_text").mapInArrow(shingles, "sid long, shingles array<bigint>"), "op7-sets")
-    parts = links(met, sets, percent)
+    def with_shingles(ids: DataFrame) -> DataFrame:
+        """Only texts of sets whose pairs are likely are read for their shingles; the ids are asked for in place."""
+        chosen = sketches.join(ids, "sid", "left_semi").select("sid", "_row")
+        return stored(rows.join(chosen, "_row").select("sid", "_text").mapInArrow(shingles, "sid long, shingles array<bigint>"), "op7-sets")
+
+    parts = links(met, sketches, with_shingles, percent)
     named = rows.select("_row", "_id").join(sets_of, "_row")
     lone = F.col("n") == 0
     nodes = named.where(~lone).groupBy("sid").agg(F.min("_id").alias("least"))
