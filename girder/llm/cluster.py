@@ -30,6 +30,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the greatest counts, ``most`` at most: those above the least power of 2**(1/16) that leaves so few.
+
+    One aggregate over some hundred classes of counts finds the bound, so no sort gathers rows on the driver.
+    """
+    level = F.floor(F.log2(F.col(count).cast("double")) * 16).cast("int")
+    total, bound = 0, None
+    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        total += row["n"]
+        if total > most:
+            break
+        bound = row["level"]
+    return counts.where(level >= bound) if bound is not None else counts.where("false")
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables written by :func:`stored` that nothing reads any more."""
     for df in tables:

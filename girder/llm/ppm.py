@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import keyed, stored
+from .cluster import keyed, most_frequent, stored
 from .text import LOWER, Rolling, U64, chunks, mix, word_bounds
 
 ORDER = 5
 MIN_SHARE = 5e-7
 #: Words, the most frequent, whose counts every task holds; those of all others meet their counts in a join.
-HEAVY_WORDS = 500_000
+HEAVY_WORDS = 250_000
 FLUSH = 6_000_000
 _WORD = Rolling(301, fold_case=True)
 
@@ -209,7 +209,7 @@ def score(docs: DataFrame, train: DataFrame | None = None, *, order: int = ORDER
     n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
     levels = pretrained(counts, order, min_share)
-    top = words.orderBy(F.desc("count"), "key").limit(heavy_words).toPandas()
+    top = most_frequent(words, "count", heavy_words).toPandas()
     value = (levels, top["key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(value)
     unit = float(np.log10(n + v + 1))
