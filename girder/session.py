@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +24,15 @@ def session(name: str = "girder", master: str | None = None, **conf: str) -> Spa
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that Python functions find it wherever the driver runs.
+
+    The archive is made in a folder of the driver's own and served from there; executors need no shared path.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_girder_is_there", False):
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/girder", "zip", Path(__file__).parents[1], "girder")
+        context.addPyFile(archive)
+        context._girder_is_there = True
