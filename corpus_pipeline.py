@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from girder.llm import decontamination, jaccard, quality, secrets, sentencepiece_bpe
 from girder.llm.cluster import stored
+from girder.session import ship
 
 #: Documents whose quality score is lower go.
 LEAST_QUALITY = 0.3
@@ -23,27 +24,32 @@ def _shaped(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    ship(spark)
     scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where(F.col("score") >= LEAST_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ship(spark)
     return jaccard.one_of_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages: contaminated ones lose them, or go where little else is left."""
+    ship(spark)
     return _shaped(decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), coverage=CONTAMINATED), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by the kind in brackets."""
+    ship(spark)
     return _shaped(secrets.scan(docs, secrets.learn(docs), keep=docs.columns, mask=True), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and digests of the ids and of what they decode to."""
+    ship(spark)
     import public_tokenizers
 
     keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]

@@ -17,16 +17,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write a table to the shared scratch space and read it back: cuts lineage and survives lost executors.
 
     The shuffles that made it are no longer needed, but Spark deletes their files only once the driver's JVM collects
-    what stands for them, by default every half hour; asking for that here keeps the disk to one step's exchanges.
+    what stands for them, by default every half hour; asking for that here keeps the disk to one step's exchanges
+    (``small`` steps are not worth it).
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    if not small:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,7 +73,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the shared scratch space; no edge reaches the driver.
     """
     spark = edges.sparkSession
-    current = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    current = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", small=True)
     seen = None
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -79,9 +81,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").union(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = stored(small, "edges")
+        short = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        short = short.union(low.select("u", F.col("m").alias("v"))).distinct()
+        after = stored(short, "edges", small=True)
         sums = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_stored(current)
         current = after

@@ -172,7 +172,7 @@ def _may_be_alike(percent: int):
     return run
 
 
-def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, rounds: int = 3) -> DataFrame:
+def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, rounds: int = 2) -> DataFrame:
     """Components (node, component) of the sets that are alike; sets without a partner don't appear.
 
     ``sketches`` has (sid, n, sketch) of every set; ``sets_of(ids)`` gives (sid, shingles) for a table of sids.
@@ -182,7 +182,7 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
     def check(pairs: DataFrame) -> DataFrame:
         one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
         two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-        left = stored(pairs.join(one, "a").join(two, "b").mapInArrow(_may_be_alike(percent), "a long, b long"), "op7-likely")
+        left = stored(pairs.join(one, "a").join(two, "b").mapInArrow(_may_be_alike(percent), "a long, b long"), "op7-likely", small=True)
         sets = sets_of(left.select(F.col("a").alias("sid")).union(left.select("b")).distinct())
         one, two = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
         exact = left.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
@@ -212,7 +212,7 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "op7-candidates")
+        pairs = stored(pairs, "op7-candidates", small=True)
         found = check(pairs) if pairs.head(1) else pairs.select("a", "b", F.lit(False).alias("alike"))
         checked = pairs if checked is None else checked.unionByName(pairs)
         new = found.where("alike").select("a", "b")
@@ -237,11 +237,11 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
     small = boundary(seen.astype(float), percent)
     postings = stored(rows.select("_text").mapInArrow(_postings(shared, small, words, percent), "key long, sid long, n int, pos int"), "op7-postings")
     # Keys are counted first with nothing beside them; copies of one set make some more keys pass, which go next.
-    twice = stored(repeated_keys(postings, "key").select("key"), "op7-repeated")
+    twice = stored(repeated_keys(postings, "key").select("key"), "op7-repeated", small=True)
     met = stored(postings.join(twice, "key", "left_semi").distinct(), "op7-met")
     drop_stored(twice)
     alone = met.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key")
-    met = stored(met.join(stored(alone, "op7-keys"), "key", "left_semi"), "op7-met")
+    met = stored(met.join(stored(alone, "op7-keys", small=True), "key", "left_semi"), "op7-met")
     drop_stored(postings)
     sets_of = survey.where("shingle IS NULL").select("_row", "n", "sid")
     sketches = stored(survey.where("shingle IS NULL").join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "op7-sketches")
