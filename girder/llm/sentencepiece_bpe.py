@@ -116,7 +116,7 @@ class Model:
         key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             known = self._fits[key] = self._boundary_holds(left, right)
         return known
@@ -231,12 +231,13 @@ def _utf8(raw: bytes) -> str:
 
 
 @lru_cache(2)
-def _loaded(name: str) -> tuple[Model, dict[str, tuple[int, str, str]]]:
+def _loaded(name: str) -> tuple[Model, dict[str, str], dict[str, str]]:
+    """The model, the ids (as text) of stretches seen, and the decoded text of those that don't decode to themselves."""
     with open(SparkFiles.get(name), "rb") as file:
-        return Model(file.read()), {}
+        return Model(file.read()), {}, {}
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_col: str = "text", ids_col: str | None = "ids", digests: bool = False, cache_words: int = 400_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_col: str = "text", ids_col: str | None = "ids", digests: bool = False, cache_words: int = 250_000) -> DataFrame:
     """The columns ``keep`` and the encoding of each text: ids (array<int>) and/or digests (n_tokens, ids_sha256, decoded_sha256).
 
     Null and empty texts have no ids and decode to an empty text. Every document is encoded whole; a stretch (a word with
@@ -256,28 +257,31 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_
     schema = StructType([*source.drop(name_of_text).schema.fields, *StructType.fromDDL(", ".join(added)).fields])
 
     def run(batches):
-        model, cache = _loaded(name)
+        model, cache, odd = _loaded(name)
 
-        def known(part: str) -> tuple[int, str, str]:
+        def known(part: str) -> str:
             ids = model._stretch(part)
             if len(cache) >= cache_words:
                 cache.clear()
-            own = cache[part] = (len(ids), ",".join(map(str, ids)), _text_of(model, ids))
+            own = cache[part] = ",".join(map(str, ids))
+            decoded = _text_of(model, ids)
+            if decoded != part.replace(SPACE, " "):
+                odd[part] = decoded
             return own
 
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
             for text in batch.column(name_of_text).to_pylist():
                 get = cache.get
-                parts = [get(p) or known(p) for p in model.stretches(text or "")]
-                joined = ",".join([p[1] for p in parts])
+                parts = model.stretches(text or "")
+                joined = ",".join([get(p) or known(p) for p in parts])
                 if ids_col:
                     out[ids_col].append([int(x) for x in joined.split(",")] if parts else [])
                 if digests:
-                    decoded = "".join([p[2] for p in parts])
+                    decoded = "".join([odd.get(p, p) for p in parts] if odd else parts).replace(SPACE, " ")
                     if model.add_prefix and decoded[:1] == " ":
                         decoded = decoded[1:]
-                    out["n_tokens"].append(sum([p[0] for p in parts]))
+                    out["n_tokens"].append(joined.count(",") + 1 if parts else 0)
                     out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             arrays = [batch.column(c) for c in keep] + [pa.array(out[a.split()[0]], _ARROW[a.split()[1]]) for a in added]
