@@ -29,9 +29,11 @@ def session(name: str = "girder", master: str | None = None, **conf: str) -> Spa
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a context, so that Python functions find it wherever the driver runs.
 
-    The archive is made in a folder of the driver's own and served from there; executors need no shared path.
+    The archive is made in a folder of the driver's own and served from there; executors need no shared path. Arrow
+    batches are kept to a thousand rows, since rows may hold long texts.
     """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if not getattr(context, "_girder_is_there", False):
         archive = shutil.make_archive(f"{tempfile.mkdtemp()}/girder", "zip", Path(__file__).parents[1], "girder")
         context.addPyFile(archive)
