@@ -1,8 +1,10 @@
 """LM scoring by prediction by partial matching over bytes, and the word-count base it is held against.
 
-The pretrained trie holds, for contexts of up to ORDER bytes, the symbols that follow with a share of at least
-``min_share`` of all training positions; so it has at most 1 / min_share entries an order however large the corpus.
-A symbol is coded in the longest context that the trie has, else by escaping to the next shorter one, where the symbols
+The model holds, for contexts of up to ORDER bytes, every symbol that followed in training (or, where a ``min_share``
+is asked for, those with that share of all training positions), so it grows with the corpus. It is never whole in one
+place: each task holds the chances of the most frequent codes (a symbol and the ORDER bytes before it); the rest of a
+text's codes go to the part of the stored counts that has their contexts, dealt by the last LOCAL bytes of the context.
+Shorter contexts have at most 2**24 codes, which each of those tasks holds. A symbol is coded in the longest context that the trie has, else by escaping to the next shorter one, where the symbols
 the longer one predicts are excluded. The chance of an escape is what the context's training count leaves to symbols
 that aren't in the trie, plus one for each that is. A text ends with the symbol 0.
 """
@@ -20,7 +22,12 @@ from .cluster import keyed, most_frequent, stored
 from .text import LOWER, Rolling, U64, chunks, mix, word_bounds
 
 ORDER = 5
-MIN_SHARE = 5e-7
+#: Contexts of this many bytes and more are dealt over the tasks by their last bytes.
+LOCAL = 3
+#: Codes, the most frequent, whose chances every task holds; all others meet the stored counts.
+HEAVY_CODES = 800_000
+#: Counted codes, and codes to be looked up, that a task is meant to have.
+PART_CODES, PART_LOOKUPS = 250_000, 4_000_000
 #: Words, the most frequent, whose counts every task holds; those of all others meet their counts in a join.
 HEAVY_WORDS = 250_000
 FLUSH = 6_000_000
@@ -75,10 +82,11 @@ class Table:
 class Trie:
     """Per order k: ``grams`` (codes of k + 1 bytes, sorted) and ``counts``; per context of k bytes its full count."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.levels = []
-        before = None
-        for k, (grams, counts, context_codes, full) in enumerate(levels):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], below: Trie | None = None):
+        """``below`` has the orders before those of ``levels``; it is shared, not copied."""
+        self.levels = list(below.levels) if below else []
+        before = below.last if below else None
+        for k, (grams, counts, context_codes, full) in enumerate(levels, len(self.levels)):
             order = np.argsort(grams)
             grams, counts = grams[order], counts[order].astype(float)
             codes, first = np.unique(grams >> U64(8), return_index=True)
@@ -90,7 +98,7 @@ class Trie:
                 "grams": Table(grams),
                 "contexts": Table(codes),
                 "log_count": np.log10(counts).astype(np.float32),
-                "log_total": np.log10(total + kinds).astype(np.float32),
+                "log_total": np.append(np.log10(total + kinds), 0).astype(np.float32),  # the last is for contexts it hasn't
                 "log_escape": np.log10((total - held + kinds) / (total + kinds)).astype(np.float32),
             }
             if before is not None:
@@ -105,7 +113,8 @@ class Trie:
                 level["left_escape"] = np.log10(np.where(empty, 1, np.maximum(unheld, 1e-9) / np.where(empty, 1, total_left))).astype(np.float32)
             before = {"codes": codes, "grams": grams, "counts": counts, "kinds": kinds, "total": total, "held": held}
             self.levels.append(level)
-        self.unseen = float(-np.log10(max(256 - len(levels[0][0]), 1)))
+        self.last = before
+        self.unseen = below.unseen if below else float(-np.log10(max(256 - len(levels[0][0]), 1)))
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """log10 of the probability of the last byte of each code after those before it."""
@@ -143,6 +152,7 @@ def _gather(order: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), kind, np.int8)), pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["kind", "key", "count"])
 
     def run(batches):
+        _heavy.cache_clear()  # a worker may still hold those of a run before
         held: tuple[list, list] = ([], [])
         size = 0
         for batch in batches:
@@ -167,34 +177,106 @@ def gather(train: DataFrame, order: int = ORDER) -> DataFrame:
     return stored(counts.groupBy("kind", "key").agg(F.sum("count").alias("count")), "op3-counts")
 
 
-def pretrained(counts: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> list[tuple] | None:
-    """The levels of a Trie from the counted codes; at most 1 / min_share grams and contexts an order reach the driver."""
-    grams = counts.where("kind = 0").select(F.col("key").alias("code"), "count")
-    total = grams.agg(F.sum("count")).first()[0]
-    if not total:
-        return None
-    least = max(1, int(np.ceil(total * min_share)))
+def levels_of(codes: np.ndarray, counts: np.ndarray, orders: range, least: int) -> list[tuple]:
+    """Levels of a Trie from counted codes of at least as many bytes: what was seen ``least`` times or more."""
     levels = []
-    for k in range(order + 1):
-        own = grams.groupBy((F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).alias("code")).agg(F.sum("count").alias("count"))
-        held = own.where(F.col("count") >= least).toPandas()
-        full = own.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("count").alias("full"), F.max("count").alias("top"))
-        full = full.where(F.col("top") >= least).select("context", "full").toPandas()
-        levels.append(tuple(x.to_numpy(np.int64).view(np.uint64) for x in (held["code"], held["count"], full["context"], full["full"])))
+    for k in orders:
+        grams, at = np.unique(codes & U64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        own = np.bincount(at, counts, len(grams)).astype(np.int64)
+        context, at = np.unique(grams >> U64(8), return_inverse=True)
+        full = np.bincount(at, own, len(context)).astype(np.int64)
+        held = own >= least
+        some = np.bincount(at[held], minlength=len(context)) > 0
+        levels.append((grams[held], own[held], context[some], full[some]))
     return levels
 
 
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy().astype(np.int64, copy=False).view(np.uint64)
+
+
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table on the driver, by Arrow: as Python rows they would take some 30 times as much memory."""
+    return [c.to_numpy() for c in df.toArrow().columns]
+
+
+def shorter_levels(grams: DataFrame, order: int, least: int) -> list[tuple]:
+    """The levels below LOCAL bytes of context."""
+    low = min(LOCAL, order)
+    if not low:
+        return []
+    own = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * low) - 1)).alias("key")).agg(F.sum("count").alias("count"))
+    codes, count = _columns(own)
+    return levels_of(codes.view(np.uint64), count, range(low), least)
+
+
+def heavy_codes_of(grams: DataFrame, least: int, most: int) -> DataFrame:
+    """(key, logp) of the most frequent codes: all were seen in their longest context, so none escapes."""
+    top = most_frequent(grams.where(F.col("count") >= least), "count", most).withColumn("context", F.shiftright("key", 8))
+    full = grams.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("count").alias("full"), F.count_if(F.col("count") >= least).alias("kinds"))
+    return top.join(full, "context").select("key", (F.log10("count") - F.log10(F.col("full") + F.col("kinds"))).alias("logp"))
+
+
+def look_up(wanted: DataFrame, n_wanted: int, grams: DataFrame, n_grams: int, shared, order: int, least: int) -> DataFrame:
+    """(_row, log): the sum over (_row, key, times) of times the log probability of the code, from the full counts.
+
+    All contexts of a code that have LOCAL bytes or more end alike, so they are in one part.
+    """
+    low = min(LOCAL, order)
+
+    def run(batches):
+        _heavy.cache_clear()  # no longer needed by this worker
+        trie, own, waiting, size = None, [], [], 0
+
+        def settled():
+            row, key, times = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            rows, at = np.unique(row, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, trie.log_probabilities(key) * times, len(rows)))], names=["_row", "log"])
+
+        for batch in batches:  # counts, whose _row is null, come first
+            n = batch.column("_row").null_count
+            key, times = _unsigned(batch.column("key")), batch.column("times").to_numpy()
+            if n:
+                own.append((key[:n], times[:n]))
+            if n == len(key):
+                continue
+            if trie is None:
+                codes, counts = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                trie, own = Trie(levels_of(codes, counts, range(low, order + 1), least), _shorter(id(shared.value), shared)), []
+            waiting.append((batch.column("_row").slice(n).to_numpy(), key[n:], times[n:]))
+            size += len(key) - n
+            if size >= 200_000:
+                yield settled()
+                waiting, size = [], 0
+        if waiting:
+            yield settled()
+
+    rows = grams.select(F.lit(None).cast("long").alias("_row"), "key", F.col("count").alias("times")).unionByName(wanted.select("_row", "key", "times"))
+    parts = max(8, -(-n_grams // PART_CODES), -(-n_wanted // PART_LOOKUPS))
+    end = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * low) - 1))
+    return rows.repartition(parts, end).sortWithinPartitions(F.col("_row").isNotNull()).mapInArrow(run, "_row long, log double")
+
+
 @lru_cache(1)
-def _trie(key: int, shared) -> Trie:
-    return Trie(shared.value[0])
+def _shorter(key: int, shared) -> Trie | None:
+    return Trie(shared.value[0]) if shared.value[0] else None
 
 
 @lru_cache(1)
-def _heavy(key: int, shared) -> tuple[Table, np.ndarray]:
-    return Table(shared.value[1]), np.append(np.log10(shared.value[2] + 1.0), 0.0)
+def _heavy(key: int, shared) -> tuple[Table, np.ndarray, Table, np.ndarray]:
+    _, words, counts, codes, logp = shared.value
+    return Table(words), np.append(np.log10(counts + 1.0), 0.0), Table(codes), np.append(logp, 0.0)
 
 
-def score(docs: DataFrame, train: DataFrame | None = None, *, order: int = ORDER, min_share: float = MIN_SHARE, heavy_words: int = HEAVY_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _times(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of document and key, and how often each occurs."""
+    order = np.lexsort((keys, doc))
+    doc, keys = doc[order], keys[order]
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])))
+    return doc[new], keys[new], np.diff(np.append(new, len(doc)))
+
+
+def score(docs: DataFrame, train: DataFrame | None = None, *, order: int = ORDER, min_share: float = 0.0, heavy_words: int = HEAVY_WORDS, heavy_codes: int = HEAVY_CODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: its id under ``id_col``, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     The model and the word counts come from all rows of ``train`` (default: ``docs``) in columns of the same names. Null
@@ -208,21 +290,31 @@ def score(docs: DataFrame, train: DataFrame | None = None, *, order: int = ORDER
     ends = train.count()
     n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
-    levels = pretrained(counts, order, min_share)
-    top = most_frequent(words, "count", heavy_words).toPandas()
-    value = (levels, top["key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64))
+    grams = counts.where("kind = 0").select("key", "count")
+    n_grams, total = grams.agg(F.count("*"), F.sum("count")).first()
+    least = max(1, int(np.ceil((total or 0) * min_share)))
+    top, times = _columns(most_frequent(words, "count", heavy_words).select("key", "count"))
+    codes_top, logp = _columns(heavy_codes_of(grams, least, heavy_codes))
+    value = (shorter_levels(grams, order, least) if total else [], top.view(np.uint64), times, codes_top.view(np.uint64), logp)
     shared = docs.sparkSession.sparkContext.broadcast(value)
     unit = float(np.log10(n + v + 1))
-    names = ["_row", "_id", "n_tokens", "n_known", "base", "score", "key", "times"]
+    names = ["kind", "_row", "_id", "n_tokens", "n_known", "base", "score", "key", "times"]
 
     def run(batches):
-        trie = _trie(id(shared.value), shared) if shared.value[0] is not None else None
-        table, logs = _heavy(id(shared.value), shared)
+        table, logs, code_table, code_logs = _heavy(id(shared.value), shared)
+
+        def apart(kind: int, row: np.ndarray, id_type, doc: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+            doc, keys, times = _times(doc, keys)
+            m = len(doc)
+            blank = [pa.nulls(m, t) for t in (id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), pa.array(row[doc]), *blank, pa.array(keys.view(np.int64)), pa.array(times)], names=names)
+
         for batch in batches:
             row, ids = batch.column("_row").to_numpy(), batch.column("_id")
             for first, last, data, offsets in chunks(batch.column("_text")):
                 codes, bounds = contexts(data, offsets, order)
-                logp = np.append(0, np.cumsum(trie.log_probabilities(codes) if trie else np.full(len(codes), -np.log10(256))))
+                at = code_table.find(codes)
+                logp = np.append(0, np.cumsum(code_logs[at] if total else np.full(len(codes), -np.log10(256))))
                 starts, stops, by_doc = word_bounds(data, offsets)
                 keys = _WORD.spans(data, starts, stops)
                 place = table.find(keys)
@@ -230,22 +322,22 @@ def score(docs: DataFrame, train: DataFrame | None = None, *, order: int = ORDER
                 known = np.bincount(doc[place >= 0], minlength=last - first) + (ends > 0)
                 base = np.bincount(doc, logs[place] - np.where(place >= 0, unit, 0), minlength=last - first) + np.log10(ends + 1) - unit
                 none = pa.nulls(last - first, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(row[first:last]), ids.slice(first, last - first), pa.array(np.diff(by_doc) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.diff(logp[bounds])), none, none], names=names)
-                rare = place < 0
-                pair = np.stack([doc[rare].astype(np.uint64), keys[rare]], axis=1)
-                if len(pair):
-                    pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-                    new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(axis=1)))
-                    times = np.diff(np.append(new, len(pair)))
-                    pair = pair[new]
-                    m = len(pair)
-                    blank = [pa.nulls(m, t) for t in (ids.type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[first + pair[:, 0].astype(np.int64)]), *blank, pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64)), pa.array(times)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(last - first, np.int8)), pa.array(row[first:last]), ids.slice(first, last - first), pa.array(np.diff(by_doc) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.diff(logp[bounds])), none, none], names=names)
+                rare, light = place < 0, np.flatnonzero(at < 0)
+                if rare.any():
+                    yield apart(1, row[first:last], ids.type, doc[rare], keys[rare])
+                if total and len(light):
+                    yield apart(2, row[first:last], ids.type, np.searchsorted(bounds, light, "right") - 1, codes[light])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = stored(rows.select("_row", "_id", "_text").mapInArrow(run, f"_row long, _id {kind}, n_tokens long, n_known long, base double, score double, key long, times long"), "op3-scored")
-    rare = scored.where("key IS NOT NULL").select("_row", "key", "times").join(words, "key", "left")
-    rare = rare.groupBy("_row").agg(F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(F.coalesce("count", F.lit(0)) + 1.0) - unit)).alias("rest"))
-    out = scored.where("key IS NULL").join(rare, "_row", "left")
-    zero = F.lit(0)
-    return out.select(F.col("_id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+    scored = stored(rows.select("_row", "_id", "_text").mapInArrow(run, f"kind tinyint, _row long, _id {kind}, n_tokens long, n_known long, base double, score double, key long, times long"), "op3-scored")
+    rare = scored.where("kind = 1").select("_row", "key", "times").join(words, "key", "left")
+    rare = rare.select("_row", F.when(F.col("count") > 0, F.col("times")).otherwise(0).alias("more"), (F.col("times") * (F.log10(F.coalesce("count", F.lit(0)) + 1.0) - unit)).alias("rest"), F.lit(0.0).alias("log"))
+    wanted = scored.where("kind = 2")
+    n_wanted = wanted.count()
+    if n_wanted:
+        rare = rare.unionByName(look_up(wanted, n_wanted, grams, n_grams, shared, order, least).select("_row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("rest"), "log"))
+    rare = rare.groupBy("_row").agg(F.sum("more").alias("more"), F.sum("rest").alias("rest"), F.sum("log").alias("log"))
+    out = scored.where("kind = 0").join(rare, "_row", "left")
+    zero, none = F.lit(0), F.lit(0.0)
+    return out.select(F.col("_id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", none)).alias("base_score"), (F.col("score") + F.coalesce("log", none)).alias("score"))

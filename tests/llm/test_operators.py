@@ -295,6 +295,49 @@ def test_ppm_against_a_plain_trie(spark, order, share):
         assert (out[i]["n_tokens"], out[i]["n_known"], out[i]["train_tokens"]) == (len(tokens), sum(count[w] > 0 for w in tokens), n)
 
 
+@pytest.mark.parametrize("heavy", [0, 40, 10**6])
+def test_ppm_keeps_rare_grams_whatever_the_corpus(spark, heavy):
+    # Of 2.4 million training symbols some are met once: a cut by share would drop them.
+    common, rare = "abcde fghij " * 10_000, "qwxyz vkjq"
+    texts = [rare, *[common] * 20, "qwxyz vkjq", "qwxzz", None]
+    docs = frame(spark, texts)
+    out = {r["doc_id"]: r["score"] for r in ppm.score(docs, docs.where("doc_id <= 20"), heavy_codes=heavy).collect()}
+    few = brute_ppm_counts([(rare, 1), (common, 20)])
+    for i in (0, 21, 22, 23):
+        assert out[i] == pytest.approx(few(texts[i]), rel=1e-4, abs=1e-4)
+    assert out[21] > -15
+
+
+def brute_ppm_counts(train, order=5):
+    """Scores from the full counts of (text, times)."""
+    lower = lambda t: bytes(order) + (t or "").encode() + b"\0"
+    seen = defaultdict(Counter)
+    for t, times in train:
+        for i in range(order, len(raw := lower(t))):
+            for k in range(order + 1):
+                seen[raw[i - k : i]][raw[i]] += times
+
+    def score(t):
+        total, raw = 0.0, lower(t)
+        for i in range(order, len(raw)):
+            excluded: Counter = Counter()
+            for k in range(order, -1, -1):
+                if not (here := seen.get(raw[i - k : i])):
+                    continue
+                left = {s: c for s, c in here.items() if s not in excluded}
+                mass = sum(left.values()) + len(left)
+                if raw[i] in left:
+                    total += math.log10(left[raw[i]] / mass)
+                    break
+                total += math.log10(len(left) / mass) if left else 0.0
+                excluded = here
+            else:
+                total -= math.log10(256 - len(seen[b""]))
+        return total
+
+    return score
+
+
 def test_text_kernels():
     import numpy as np
     import pyarrow as pa
