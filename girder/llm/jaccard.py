@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import components, drop_stored, keyed, stored
+from .cluster import components, drop_stored, keyed, numbered, steady, stored
 from .repeats import repeated_keys
 from .text import Rolling, U64, chunks, free_name, mix, word_bounds
 
@@ -285,9 +285,9 @@ def one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
 
     Rows without shingles link with nothing and all stay.
     """
+    docs = steady(docs)
     out = clustered(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
     first = out.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("f"))
     stay = first.select(F.col("f._row").alias("_row")).unionByName(out.where("component IS NULL").select("_row"))
     row = free_name(docs.columns, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(stay.withColumnRenamed("_row", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return numbered(docs, row).join(stay.withColumnRenamed("_row", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

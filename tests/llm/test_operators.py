@@ -121,6 +121,28 @@ def test_jaccard_components(spark):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def test_row_numbers_do_not_follow_the_splits(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from girder.llm import cluster
+
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")).repartition(7).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    sources = {"files": docs, "chosen": docs.where("doc_id % 3 > 0"), "shuffled": docs.repartition(5), "random": docs.where(F.rand() < 0.5), "exploded": docs.select("doc_id", F.explode(F.array(F.lit("p"), F.lit("q"))).alias("text"))}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name, source in sources.items():
+        rows = cluster.keyed(source, "doc_id", "text")
+        seen = []
+        for most in ("128m", "1k"):
+            try:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+                seen.append(sorted(map(tuple, rows.select("_row", "_id", "_text").where("_row >= 0").collect())))
+            finally:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert seen[0] == seen[1] and len({r[0] for r in seen[0]}) == len(seen[0]), name
+        assert name == "random" or len(seen[0]) == source.count()
+
+
 def test_sentencepiece_matches_the_library(spark):
     import public_tokenizers as P
     import sentencepiece
