@@ -3,7 +3,8 @@
 Every distinct paragraph position counts: a paragraph (a run between line feeds) hashes to a wide vector of 16-bit lanes
 and a document's fingerprint is the sum of its paragraphs' vectors modulo 2**16. Sums don't depend on the order, and
 adding or subtracting a paragraph's vector inserts or deletes it. The lanes form bands: in band j a paragraph touches a
-lane with probability 2**-j, so the share of equal lanes also tells how many paragraphs two documents don't share.
+lane with probability 2**-j, so the share of equal lanes also tells how many paragraphs two documents don't share,
+into the tens of millions.
 """
 
 from __future__ import annotations
@@ -17,42 +18,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BANDS, BAND_LANES = 8, 32
+BANDS, BAND_LANES = 24, 32
 LANES = BANDS * BAND_LANES
-#: A lane of its own counts the paragraphs.
-_BYTES = 2 * (LANES + 1)
+#: The last lanes count the paragraphs, modulo 2**64.
+COUNT_LANES = 4
+#: From this band on a lane's mask has no room in the 16 bits drawn for it and takes more.
+WIDE = 16
 
 
 @lru_cache(1)
 def _band_masks() -> np.ndarray:
-    return np.repeat((1 << np.arange(BANDS)) - 1, BAND_LANES).astype(np.uint16)
+    return np.repeat((1 << np.arange(BANDS)) - 1, BAND_LANES).astype(np.uint32)
 
 
 def vectors(paragraphs: list[bytes]) -> np.ndarray:
     """One row of lanes per paragraph."""
-    raw = b"".join([hashlib.shake_128(p).digest(4 * LANES) for p in paragraphs])
-    words = np.frombuffer(raw, np.uint16).reshape(len(paragraphs), 2, LANES)
-    return np.where(words[:, 0] & _band_masks() == 0, words[:, 1] | np.uint16(1), 0).astype(np.uint16)
+    wide = (BANDS - WIDE) * BAND_LANES
+    raw = b"".join([hashlib.shake_128(p).digest(4 * LANES + 2 * wide) for p in paragraphs])
+    words = np.frombuffer(raw, np.uint16).reshape(len(paragraphs), 2 * LANES + wide)
+    chance = words[:, :LANES].astype(np.uint32)
+    chance[:, LANES - wide :] |= words[:, 2 * LANES :].astype(np.uint32) << 16
+    return np.where(chance & _band_masks() == 0, words[:, LANES : 2 * LANES] | np.uint16(1), 0).astype(np.uint16)
+
+
+def _sum(paragraphs: list[bytes]) -> np.ndarray:
+    """Lanes and count of some paragraphs; a block at a time, for texts of very many."""
+    lanes = np.zeros(LANES, np.uint16)
+    for i in range(0, len(paragraphs), 1024):
+        lanes += vectors(paragraphs[i : i + 1024]).sum(axis=0, dtype=np.uint16)
+    return np.append(lanes, np.array([len(paragraphs)], "<u8").view("<u2"))
+
+
+def count(state: np.ndarray) -> int:
+    return int(np.ascontiguousarray(state[LANES:]).view("<u8")[0])
+
+
+def _counted(lanes: np.ndarray, n: int) -> np.ndarray:
+    return np.append(lanes, np.array([n % 2**64], np.uint64).view("<u2"))
 
 
 def fingerprint(text: str | None) -> np.ndarray:
     """Lanes and the count of the paragraphs of a text; an empty text has one empty paragraph, null reads as empty."""
-    paragraphs = (text or "").encode().split(b"\n")
-    out = np.empty(LANES + 1, np.uint16)
-    out[:-1] = vectors(paragraphs).sum(axis=0, dtype=np.uint16)
-    out[-1] = len(paragraphs) & 0xFFFF
-    return out
+    return _sum((text or "").encode().split(b"\n"))
 
 
 def insert(state: np.ndarray, *paragraphs: str) -> np.ndarray:
     """The fingerprint with more paragraphs; ``delete`` undoes it."""
-    more = np.append(vectors([p.encode() for p in paragraphs]).sum(axis=0, dtype=np.uint16), np.uint16(len(paragraphs) & 0xFFFF))
-    return state + more
+    more = _sum([p.encode() for p in paragraphs])
+    return _counted(state[:LANES] + more[:LANES], count(state) + len(paragraphs))
 
 
 def delete(state: np.ndarray, *paragraphs: str) -> np.ndarray:
-    more = np.append(vectors([p.encode() for p in paragraphs]).sum(axis=0, dtype=np.uint16), np.uint16(len(paragraphs) & 0xFFFF))
-    return state - more
+    more = _sum([p.encode() for p in paragraphs])
+    return _counted(state[:LANES] - more[:LANES], count(state) - len(paragraphs))
 
 
 def as_text(state: np.ndarray) -> str:
@@ -66,19 +84,19 @@ def from_text(value: str) -> np.ndarray:
 @lru_cache(1)
 def _difference_by_equal_lanes() -> np.ndarray:
     """Of each number of equal lanes, the number of unshared paragraphs that makes it likeliest."""
-    d = np.arange(0, 4096)
-    touched = np.repeat(0.5 ** np.arange(BANDS), BAND_LANES)
-    touched[:BAND_LANES] = 1 - 2.0**-15
-    expected = ((1 - touched)[None, :] ** d[:, None]).sum(axis=1)
-    return np.array([np.abs(expected - k).argmin() for k in range(LANES + 1)])
+    d = np.unique(np.append(np.arange(4096), np.geomspace(4096, 2.0 ** (BANDS + 2), 8192).astype(np.int64)))
+    touched = 0.5 ** np.arange(BANDS)
+    touched[0] = 1 - 2.0**-15
+    expected = BAND_LANES * ((1 - touched)[None, :] ** d[:, None]).sum(axis=1)
+    return np.array([d[np.abs(expected - k).argmin()] for k in range(LANES + 1)])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated Jaccard similarity of the two multisets of paragraphs; 1 exactly when the fingerprints are equal."""
     if np.array_equal(a, b):
         return 1.0
-    unshared = max(1, int(_difference_by_equal_lanes()[int((a[:-1] == b[:-1]).sum())]))
-    total = int(a[-1]) + int(b[-1])
+    unshared = max(1, int(_difference_by_equal_lanes()[int((a[:LANES] == b[:LANES]).sum())]))
+    total = count(a) + count(b)
     return max(0.0, (total - unshared) / (total + unshared))
 
 

@@ -260,6 +260,15 @@ def test_fingerprints(spark):
         assert got == sorted(want)
 
 
+def test_fingerprints_of_very_long_texts():
+    text_of = lambda name, n: "\n".join(f"{name} {i}" for i in range(n))
+    for n in (1000, 20_000, 70_000):
+        a, b, half = (fingerprint.fingerprint(t) for t in (text_of("a", n), text_of("b", n), text_of("a", n // 2) + "\n" + text_of("c", n - n // 2)))
+        assert fingerprint.count(a) == n
+        assert fingerprint.likeness(a, b) < 0.2 and 0.15 < fingerprint.likeness(a, half) < 0.55
+    assert (fingerprint.delete(fingerprint.insert(a, "x", "y"), "y", "x") == a).all()
+
+
 def brute_ppm(train, texts, order, min_share):
     lower = lambda t: bytes(order) + bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()) + b"\0"
     full = [Counter() for _ in range(order + 1)]
