@@ -98,6 +98,6 @@ def covered(runs: np.ndarray, width: int) -> np.ndarray:
 
 
 def same_windows(windows: DataFrame) -> DataFrame:
-    """Of windows (_row, start, h, g) those whose two hashes (96 bits) occur more than once, as runs of one start."""
+    """Of windows (_row, start, h, g) those whose two hashes (94 bits) occur more than once, as runs of one start."""
     twice = stored(repeated_keys(windows, "h", "g").select("h", "g"), "repeated-windows")
     return windows.join(twice, ["h", "g"], "left_semi").select("_row", "start", F.col("start").alias("end"))

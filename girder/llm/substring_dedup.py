@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .cluster import drop_stored, keyed, stored
-from .text import Rolling, U64, anchors, chunks, word_bounds
+from .text import Prints, Rolling, U64, anchors, chunks, word_bounds
 
 WIDTH = 35
-_WORD, _SHORT, _MIDDLE, _LONG, _LONG2 = (Rolling(s) for s in (401, 402, 403, 404, 405))
+_WORD, _SHORT, _MIDDLE = (Rolling(s) for s in (401, 402, 403))
+#: At the full length windows are told apart by two independent hashes, of words that two independent hashes tell apart.
+_FULL = [(Prints(s), Prints(s + 1)) for s in (411, 421)]
 
 
 def levels(width: int) -> tuple[int, int]:
@@ -75,7 +77,8 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
 
     A word goes when a window of ``width`` words of its document covers it whose words also start anywhere else. Null
     and empty texts have no words; documents shorter than a window lose nothing; repeated rows are copies and lose every
-    window; null ids are kept apart by row. All words of all documents are looked at; windows are told apart by 96 bits.
+    window; null ids are kept apart by row. All words of all documents are looked at. What is removed rests on 94 bits of
+    two independent hashes modulo a prime, of words and windows each.
     """
     short, middle = levels(width)
     rows = keyed(docs, id_col, text_col)
@@ -97,7 +100,6 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
             for at, end, data, offsets in chunks(batch.column("_text")):
                 own = ranges.slice(at, end - at)
                 starts, ends, bounds = word_bounds(data, offsets)
-                words = _WORD.spans(data, starts, ends)
                 flat = own.flatten()
                 doc = np.repeat(np.arange(end - at), np.diff(own.offsets.to_numpy()))
                 first, last = (flat.field(f).to_numpy().astype(np.int64) for f in ("first", "last"))
@@ -105,8 +107,9 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
                 start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 doc = np.repeat(doc, n)
                 place = start + bounds[doc]
-                g = (_LONG2.windows(words, width)[place] >> U64(32)).astype(np.uint32).view(np.int32) if len(place) else place.astype(np.int32)
-                h = _LONG.windows(words, width)[place].view(np.int64) if len(place) else place
+                h, g = (long.windows(word.spans(data, starts, ends), width) for word, long in _FULL)
+                h = h[place].view(np.int64) if len(place) else place
+                g = (g[place] >> U64(32)).astype(np.uint32).view(np.int32) if len(place) else place.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(row[at + doc]), pa.array(start.astype(np.int32)), pa.array(h), pa.array(g)], names=["_row", "start", "h", "g"])
 
     full = beside.where(F.col("_candidates").isNotNull()).select("_row", "_text", "_candidates")

@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .cluster import drop_stored, keyed, stored
-from .text import Rolling, U64, anchors, chunks
+from .text import Prints, Rolling, U64, anchors, chunks
 
 WIDTH, GRAM = 200, 64
 #: A gram at more anchors than this is settled window by window, by counting, so that no task holds an unbounded group.
 HOT_ANCHORS = 20_000
 RUN_BYTES = 4 << 20
-_GRAM, _LONG, _LONG2 = (Rolling(s) for s in (101, 102, 103))
+_GRAM = Rolling(101)
+_LONG, _LONG2 = Prints(102), Prints(103)
 
 
 def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -226,7 +227,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     A byte goes when a string of ``width`` bytes of its document covers it that also starts anywhere else. Null and empty
     texts have no bytes; texts shorter than ``width`` lose nothing; repeated rows are copies and lose every such string;
     null ids are kept apart by row. Grams at more than ``hot_anchors`` anchors are settled by counting each window they
-    serve (96-bit hashes, counted before they are exchanged); all others are compared byte by byte.
+    serve (94 bits of hashes modulo a prime, counted before they are exchanged); all others are compared byte by byte.
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)

@@ -71,7 +71,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of byte spans and of windows of values, from prefix sums."""
+    """Polynomial hashes modulo 2**64 of byte spans and of windows of values, from prefix sums.
+
+    Quick, but texts that collide can be constructed whatever the seed, so they only choose candidates, anchors and
+    features: a collision may cost work and never decides a result. What decides one is told apart by :class:`Prints`.
+    """
 
     def __init__(self, seed: int, fold_case: bool = False):
         rng = np.random.default_rng(seed)
@@ -114,6 +118,72 @@ class Rolling:
         return self.windows(self.table[data], width)
 
 
+_PRIME = U64((1 << 31) - 1)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Congruent modulo the prime 2**31 - 1 and much smaller."""
+    return (x & _PRIME) + (x >> U64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(x))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+class Prints:
+    """62-bit hashes of byte spans and of windows of values: two polynomials modulo 2**31 - 1, each with a base of its own.
+
+    Two different spans of n units agree with a chance of at most (n / 2**31)**2 over the bases, whatever the texts.
+    """
+
+    def __init__(self, seed: int, fold_case: bool = False):
+        rng = np.random.default_rng(seed)
+        self.tables = rng.integers(1, int(_PRIME), (2, 256), dtype=np.uint64)
+        if fold_case:
+            self.tables[:, 65:91] = self.tables[:, 97:123]
+        self.key = U64(rng.integers(1, 2**63))
+        self.bases = [int(b) for b in rng.integers(1 << 20, int(_PRIME) - 1, 2)]
+        self._up, self._down = ([np.ones(1, np.uint64)] * 2 for _ in range(2))
+
+    def _powers(self, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._up[lane]) < n:
+            size, prime = max(n, CHUNK_BYTES + 1024), int(_PRIME)
+            for held, base in ((self._up, self.bases[lane]), (self._down, pow(self.bases[lane], -1, int(_PRIME)))):
+                powers = np.ones(1, np.uint64)
+                while len(powers) < size:
+                    powers = np.concatenate([powers, _reduced(powers * U64(pow(base, len(powers), prime)))])
+                held[lane] = powers[:size]
+        return self._up[lane][:n], self._down[lane][:n]
+
+    def _lane(self, lane: int, values: np.ndarray, starts, ends) -> np.ndarray:
+        """Of values below 2**31, the polynomial of each span (two arrays of bounds, or two slices of all positions)."""
+        up, down = self._powers(lane, len(values) + 1)
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(_folded(values * up[:-1]), out=total[1:])
+        return _reduced(_reduced(total[ends] - total[starts]) * down[starts])
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each byte span."""
+        one, two = (self._lane(lane, self.tables[lane][data], starts, ends) for lane in range(2))
+        return mix(one << U64(31) | two)
+
+    def windows(self, values: np.ndarray, width: int) -> np.ndarray:
+        """Hash of each run of ``width`` consecutive values."""
+        if len(values) < width:
+            return np.zeros(0, np.uint64)
+        own = mix(values ^ self.key)
+        starts, ends = slice(0, len(values) - width + 1), slice(width, len(values) + 1)
+        return mix(self._lane(0, own >> U64(33), starts, ends) << U64(31) | self._lane(1, own & _PRIME, starts, ends))
+
+    def byte_windows(self, data: np.ndarray, width: int) -> np.ndarray:
+        if len(data) < width:
+            return np.zeros(0, np.uint64)
+        starts, ends = slice(0, len(data) - width + 1), slice(width, len(data) + 1)
+        one, two = (self._lane(lane, self.tables[lane][data], starts, ends) for lane in range(2))
+        return mix(one << U64(31) | two)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` consecutive values, by doubling."""
     done = 1
@@ -142,11 +212,9 @@ def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> t
     starts, doc = starts_within(offsets, width)
     if not len(starts):
         return doc, starts, starts, starts
-    bits = U64(28)
-    if len(hashes) >= 1 << 28:
-        raise ValueError("a document of 256 MiB or more")
+    bits = U64(31)  # for places: no string has more bytes; the other 33 order the hashes
     packed = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
-    anchor = (sliding_min(packed, width - gram + 1)[starts] & U64((1 << 28) - 1)).astype(np.int64)
+    anchor = (sliding_min(packed, width - gram + 1)[starts] & ((U64(1) << bits) - U64(1))).astype(np.int64)
     new = np.ones(len(anchor), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
