@@ -37,7 +37,9 @@ def featurise(column: pa.Array):
         spread = np.sqrt(np.maximum(sums(length**2, bounds) / np.maximum(n, 1) - mean**2, 0))
         short = sums(length <= 3, bounds) / np.maximum(n, 1)
         marked = sums(_MARK[data[ends - 1]], bounds) / np.maximum(n, 1) if len(ends) else np.zeros(len(n))
-        again = sums(np.append(hashes[1:] == hashes[:-1], False)[: len(hashes)], bounds) / np.maximum(n, 1)
+        follows = np.append(hashes[1:] == hashes[:-1], False)[: len(hashes)]
+        follows[bounds[1:][n > 0] - 1] = False  # a document's last word has none after it
+        again = sums(follows, bounds) / np.maximum(n, 1)
         distinct = _distinct(np.repeat(np.arange(len(n)), n), hashes, len(n))
         stats = np.stack([np.log1p(size), np.log1p(n), *share, mean, spread, short, marked, again, distinct / np.maximum(n, 1)], axis=1)
         yield (hashes & U64(BUCKETS - 1)).astype(np.int64), n, stats
