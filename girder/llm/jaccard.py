@@ -6,8 +6,11 @@ two of them among their first n - o + 2. Small sets enumerate the pairs of that
 sets, and the small ones just below the boundary, meet in the inverted lists of single shingles. The boundary is the
 size up to which a set has fewer pairs than its lists are expected to hold postings.
 
-Candidates are checked exactly. So that a group of n sets that are all alike costs about n checks and not their square,
-sets that meet under a key are first checked against one hub per key and size, then only those of different components.
+Sets that meet under a key are first checked against one hub per key and size, the set with the most shingles that many
+sets have, since what it is linked with becomes one component. Hubs among those left outside a key's largest component
+follow while that joins sets and pairs of different components would outnumber the postings. The pairs still apart meet
+in a join whose condition compares parity sketches, so what can't be alike never becomes a row. All that pass are
+checked by their shingles, which 62-bit hashes modulo a prime tell apart.
 """
 
 from __future__ import annotations
@@ -20,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import components, drop_stored, keyed, numbered, steady, stored
+from .cluster import components, drop_stored, keyed, most_frequent, numbered, steady, stored
 from .repeats import repeated_keys
-from .text import Rolling, U64, chunks, free_name, mix, word_bounds
+from .text import Prints, U64, chunks, free_name, mix, word_bounds
 
 WORDS, PERCENT = 5, 75
 SKETCH = 512
+#: Longs of a parity sketch.
+PARITY = 16
+#: Most rounds of hubs; any number of them gives the same links.
+HUB_ROUNDS = 4
 #: Longest inverted lists that are put last in the order; only an order, so any list of them gives the same links.
 HEAVY = 100_000
-_WORD, _SHINGLE = Rolling(701, fold_case=True), Rolling(702)
+_WORD, _SHINGLE = Prints(701, fold_case=True), Prints(702)
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -59,36 +66,47 @@ def sketch(shingles: np.ndarray) -> bytes | None:
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Of each of 64 * PARITY ranges of a scrambled hash, whether an odd number of shingles falls into it.
+
+    The sketches of two sets differ in no more bits than shingles are in one set alone.
+    """
+    odd = np.bincount((mix(shingles) >> U64(64 - (64 * PARITY).bit_length() + 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), signed=True)
 
 
 def _survey(words: int):
-    """Rows of sets (_row, n, sid, sketch) and of shingles that are frequent within a few megabytes (shingle, seen)."""
-    names = ["_row", "n", "sid", "sketch", "shingle", "seen"]
+    """Rows of sets (_row, n, sid, sketch, parity) and of shingles that are frequent within a few megabytes (shingle, seen)."""
+    names = ["_row", "n", "sid", "sketch", "parity", "shingle", "seen"]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(held), return_counts=True)
         value, count = value[count >= 4], count[count >= 4]
-        none = [pa.nulls(len(value), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary())]
+        none = [pa.nulls(len(value), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*none, pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=names)
 
     def run(batches):
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            ns, sids, sketches = [], [], []
+            ns, sids, sketches, odd = [], [], [], []
             for own in shingle_sets(batch.column("_text"), words):
                 ns.append(len(own))
                 sids.append(set_id(own))
                 sketches.append(sketch(own))
+                odd.append(parity(own))
                 held.append(own)
                 size += len(own)
                 if size > 3_000_000:
                     yield frequent(held)
                     held, size = [], 0
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(ns, pa.int32()), pa.array(sids, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate(odd) if odd else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(ns, pa.int32()), pa.array(sids, pa.int64()), pa.array(sketches, pa.binary()), lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
         if held:
             yield frequent(held)
 
@@ -108,12 +126,15 @@ def boundary(heavy_counts: np.ndarray, percent: int = PERCENT) -> int:
 
 
 def _postings(heavy, small: int, words: int, percent: int):
-    """Rows (key, sid, n, pos) of every set: single shingles (pos from 0) and, of small sets, pairs (pos -1)."""
+    """Rows (key, sid, n, pos, core) of every set: single shingles (pos from 0) and, of small sets, pairs (pos -1).
+
+    ``core`` says how many of a thousand of the set's shingles are heavy ones.
+    """
 
     def run(batches):
         value, rank = heavy.value
         for batch in batches:
-            keys, sids, ns, places = [], [], [], []
+            keys, sids, ns, places, cores = [], [], [], [], []
             for own in shingle_sets(batch.column("_text"), words):
                 n = len(own)
                 if not n:
@@ -121,6 +142,7 @@ def _postings(heavy, small: int, words: int, percent: int):
                 sid, o = set_id(own), least_overlap(n, percent)
                 at = np.minimum(np.searchsorted(value, own), max(len(value) - 1, 0))
                 known = value[at] == own if len(value) else np.zeros(n, bool)
+                core = int(1000 * known.sum() // n)
                 if known.any():
                     last = own[known][np.lexsort((own[known], rank[at[known]]))]
                     own = np.concatenate([own[~known], last])
@@ -130,17 +152,19 @@ def _postings(heavy, small: int, words: int, percent: int):
                     a, b = np.minimum(begin[i], begin[j]), np.maximum(begin[i], begin[j])
                     keys.append(mix(a * U64(0x9E3779B97F4A7C15) + mix(b + U64(1))))
                     places.append(np.full(len(i), -1, np.int32))
+                    cores.append(np.full(len(i), core, np.int16))
                     sids.append(np.full(len(i), sid))
                     ns.append(np.full(len(i), n, np.int32))
                 if n > small or n >= least_overlap(small + 1, percent):
                     begin = own[: n - o + 1]
                     keys.append(begin)
                     places.append(np.arange(len(begin), dtype=np.int32))
+                    cores.append(np.full(len(begin), core, np.int16))
                     sids.append(np.full(len(begin), sid))
                     ns.append(np.full(len(begin), n, np.int32))
             if keys:
-                columns = [np.concatenate(keys).view(np.int64), np.concatenate(sids), np.concatenate(ns), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "sid", "n", "pos"])
+                columns = [np.concatenate(keys).view(np.int64), np.concatenate(sids), np.concatenate(ns), np.concatenate(places), np.concatenate(cores)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "sid", "n", "pos", "core"])
 
     return run
 
@@ -172,70 +196,79 @@ def _may_be_alike(percent: int):
     return run
 
 
-def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, rounds: int = 2) -> DataFrame:
+def _parities_allow(percent: int):
+    """Whether the parity sketches of a and b leave room for the overlap, sizes and sketches being at hand."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    differ = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("a.parity")[0].bitwiseXOR(F.col("b.parity")[0])))
+    # With d shingles in one set alone, the overlap is (na + nb - d) / 2 and the union (na + nb + d) / 2.
+    return F.lit(100) * (na + nb - differ) >= F.lit(percent) * (na + nb + differ)
+
+
+def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, rounds: int = HUB_ROUNDS) -> DataFrame | None:
     """Components (node, component) of the sets that are alike; sets without a partner don't appear.
 
-    ``sketches`` has (sid, n, sketch) of every set; ``sets_of(ids)`` gives (sid, shingles) for a table of sids.
+    ``sketches`` has (sid, n, sketch, parity) of every set; ``sets_of(ids)`` gives (sid, shingles) for a table of sids.
     """
-    edges, parts, checked = None, None, None
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
 
-    def check(pairs: DataFrame) -> DataFrame:
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The links (a, b) among candidate pairs."""
         one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
         two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
         left = stored(pairs.join(one, "a").join(two, "b").mapInArrow(_may_be_alike(percent), "a long, b long"), "op7-likely", small=True)
         sets = sets_of(left.select(F.col("a").alias("sid")).union(left.select("b")).distinct())
         one, two = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
         exact = left.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
-        alike = F.lit(100) * F.col("o") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("o"))
-        out = stored(exact.select("a", "b", alike.alias("alike")), "op7-pairs")
-        drop_stored(sets)
+        out = stored(exact.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("o"))).select("a", "b"), "op7-links")
+        drop_stored(left, sets)
         return out
 
-    band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
-    for turn in range(rounds + 1):
-        own = postings if parts is None else postings.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left")
-        own = own.withColumn("component", F.coalesce("component", "sid") if parts is not None else F.col("sid"))
-        if turn < rounds:
-            order = F.xxhash64("component", F.lit(turn)) if turn else F.col("sid")
-            hubs = own.groupBy("key", band.alias("band")).agg(F.min(F.struct(order.alias("o"), "sid", "n", "pos", "component")).alias("h"), F.count("*").alias("m"))
-            near = own.withColumn("band", F.explode(F.array(band, band - 1, band + 1))).join(hubs, ["key", "band"]).select(F.struct("sid", "n", "pos", "component").alias("a"), F.col("h").alias("b"))
-            near = near.where((F.col("a.component") != F.col("b.component")) & _possible("a", "b", percent))
-            near = near.groupBy(F.col("a.sid").alias("s"), F.col("b.sid").alias("hub")).agg(F.count("*").alias("votes"))
-            if turn == 0:  # most sets need but the hub they meet most often
-                near = near.groupBy("s").agg(F.max(F.struct("votes", "hub")).alias("top")).select("s", F.col("top.hub").alias("hub"))
-            pairs = near.select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b")).distinct()
-        else:
-            mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-            own = own.join(mixed, "key", "left_semi").select("key", F.struct("sid", "n", "pos", "component").alias("m"))
-            pairs = own.select("key", F.col("m").alias("a")).join(own.select("key", F.col("m").alias("b")), "key")
-            pairs = pairs.where((F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component")) & _possible("a", "b", percent))
-            pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "op7-candidates", small=True)
-        found = check(pairs) if pairs.head(1) else pairs.select("a", "b", F.lit(False).alias("alike"))
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        new = found.where("alike").select("a", "b")
-        if turn and not new.head(1):
-            if turn < rounds:
-                continue
-            return parts
-        edges = new if edges is None else edges.unionByName(new)
-        parts = components(edges)
-    return parts
+    def to_hubs(own: DataFrame) -> DataFrame:
+        """Of postings, each set beside the hub that it meets under the most keys."""
+        hubs = own.groupBy("key", band.alias("band")).agg(F.min(F.struct(-F.col("core"), "sid", "n", "pos", "component")).alias("b"))
+        near = own.withColumn("band", F.explode(F.array(band, band - 1, band + 1))).join(hubs, ["key", "band"]).select(F.struct("sid", "n", "pos", "component").alias("a"), "b")
+        near = near.where((F.col("a.component") != F.col("b.component")) & _possible("a", "b", percent))
+        votes = near.groupBy(F.col("a.sid").alias("s"), F.col("b.sid").alias("hub")).agg(F.count("*").alias("votes"))
+        best = votes.groupBy("s").agg(F.max(F.struct("votes", "hub")).alias("top"))
+        return best.select(F.least("s", "top.hub").alias("a"), F.greatest("s", "top.hub").alias("b")).distinct()
+
+    found = alike(stored(to_hubs(postings.withColumn("component", F.col("sid"))), "op7-candidates", small=True))
+    parts = components(found)
+    for turn in range(rounds):
+        named = postings.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        members = named.groupBy("key", "component").agg(F.count("*").alias("m"))
+        largest = members.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        mixed = stored(largest.where("top.m < all").select("key", F.col("top.component").alias("largest"), ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "op7-mixed", small=True)
+        own = stored(named.join(mixed, "key"), "op7-apart", small=True)
+        n, pairs = own.agg(F.count("*")).first()[0], mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        drop_stored(mixed)
+        if pairs <= 4 * n or turn == rounds - 1:
+            break
+        more = alike(stored(to_hubs(own.where("component <> largest")), "op7-candidates", small=True))
+        if not more.head(1):
+            break
+        drop_stored(own)
+        found = found.unionByName(more)
+        parts = components(found)
+    own = own.join(sketches.select("sid", "parity"), "sid").select("key", F.struct("sid", "n", "pos", "component", "parity").alias("m"))
+    meet = own.select("key", F.col("m").alias("a")).alias("l").join(own.select("key", F.col("m").alias("b")).alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component")) & _possible("a", "b", percent) & _parities_allow(percent))
+    last = alike(stored(meet.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct(), "op7-candidates"))
+    return components(found.unionByName(last)) if last.head(1) else parts
 
 
 def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_row, _id, n, component, component_id): rows of one component share ``component``, which is null without shingles."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
-    survey = stored(rows.select("_row", "_text").mapInArrow(_survey(words), "_row long, n int, sid long, sketch binary, shingle long, seen long"), "op7-survey")
-    heavy = survey.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(HEAVY).toPandas()
-    value, seen = heavy["shingle"].to_numpy(np.int64).view(np.uint64), heavy["seen"].to_numpy(np.int64)
+    survey = stored(rows.select("_row", "_text").mapInArrow(_survey(words), "_row long, n int, sid long, sketch binary, parity array<bigint>, shingle long, seen long"), "op7-survey")
+    counts = stored(survey.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")), "op7-heavy", small=True)
+    heavy = most_frequent(counts, "seen", HEAVY).toArrow()
+    drop_stored(counts)
+    value, seen = heavy["shingle"].to_numpy().view(np.uint64), heavy["seen"].to_numpy()
     order = np.argsort(value)
     shared = spark.sparkContext.broadcast((value[order], seen[order]))
     small = boundary(seen.astype(float), percent)
-    postings = stored(rows.select("_text").mapInArrow(_postings(shared, small, words, percent), "key long, sid long, n int, pos int"), "op7-postings")
+    postings = stored(rows.select("_text").mapInArrow(_postings(shared, small, words, percent), "key long, sid long, n int, pos int, core short"), "op7-postings")
     # Keys are counted first with nothing beside them; copies of one set make some more keys pass, which go next.
     twice = stored(repeated_keys(postings, "key").select("key"), "op7-repeated", small=True)
     met = stored(postings.join(twice, "key", "left_semi").distinct(), "op7-met")
@@ -244,7 +277,7 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
     met = stored(met.join(stored(alone, "op7-keys", small=True), "key", "left_semi"), "op7-met")
     drop_stored(postings)
     sets_of = survey.where("shingle IS NULL").select("_row", "n", "sid")
-    sketches = stored(survey.where("shingle IS NULL").join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "op7-sketches")
+    sketches = stored(survey.where("shingle IS NULL").join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")), "op7-sketches")
 
     def shingles(batches):
         for batch in batches:
@@ -274,7 +307,8 @@ def cluster(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_c
     Two documents link when 100 * intersection >= percent * union of their sets of ``words``-word shingles (A-Z in lower
     case; fewer words make one shingle). Null, empty and blank texts have no shingle and link with nothing, so
     component_id is their own id. Rows with equal sets, repeated rows included, are one node; null ids never are the
-    least unless no other is there. No partner is given up: hubs only spare checks inside a component.
+    least unless no other is there. No partner is given up: hubs only spare checks inside a
+    component, sketches only pairs that they prove unlike.
     """
     out = clustered(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
     return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
