@@ -25,17 +25,17 @@ from pyspark.sql import functions as F
 
 from .cluster import components, drop_stored, keyed, most_frequent, numbered, steady, stored
 from .repeats import repeated_keys
-from .text import Prints, U64, chunks, free_name, mix, word_bounds
+from .text import Prints, U64, WordHash, chunks, free_name, mix, word_bounds
 
 WORDS, PERCENT = 5, 75
 SKETCH = 512
 #: Longs of a parity sketch.
-PARITY = 16
+PARITY = 8
 #: Most rounds of hubs; any number of them gives the same links.
 HUB_ROUNDS = 4
 #: Longest inverted lists that are put last in the order; only an order, so any list of them gives the same links.
 HEAVY = 100_000
-_WORD, _SHINGLE = Prints(701, fold_case=True), Prints(702)
+_WORD, _SHINGLE = WordHash(701, fold_case=True), Prints(702)
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -197,11 +197,12 @@ def _may_be_alike(percent: int):
 
 
 def _parities_allow(percent: int):
-    """Whether the parity sketches of a and b leave room for the overlap, sizes and sketches being at hand."""
-    na, nb = F.col("a.n"), F.col("b.n")
-    differ = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("a.parity")[0].bitwiseXOR(F.col("b.parity")[0])))
-    # With d shingles in one set alone, the overlap is (na + nb - d) / 2 and the union (na + nb + d) / 2.
-    return F.lit(100) * (na + nb - differ) >= F.lit(percent) * (na + nb + differ)
+    """Whether the parity sketches of two postings (p0.., q0..) of n and m shingles leave room for the overlap."""
+    differ = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0")))
+    for i in range(1, PARITY):
+        differ += F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}")))
+    # With d shingles in one set alone, the overlap is (n + m - d) / 2 and the union (n + m + d) / 2.
+    return F.lit(100) * (F.col("n") + F.col("m") - differ) >= F.lit(percent) * (F.col("n") + F.col("m") + differ)
 
 
 def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, rounds: int = HUB_ROUNDS) -> DataFrame | None:
@@ -250,9 +251,14 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
         drop_stored(own)
         found = found.unionByName(more)
         parts = components(found)
-    own = own.join(sketches.select("sid", "parity"), "sid").select("key", F.struct("sid", "n", "pos", "component", "parity").alias("m"))
-    meet = own.select("key", F.col("m").alias("a")).alias("l").join(own.select("key", F.col("m").alias("b")).alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component")) & _possible("a", "b", percent) & _parities_allow(percent))
-    last = alike(stored(meet.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct(), "op7-candidates"))
+    bits = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY)]
+    own = own.join(sketches.select("sid", *bits), "sid").select("key", "sid", "n", "pos", "component", *[f"p{i}" for i in range(PARITY)])
+    beside = own.toDF("key2", "sid2", "m", "pos2", "component2", *[f"q{i}" for i in range(PARITY)])
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    rest = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("pos2") - 1)
+    places = (F.col("pos") < 0) | (rest * (100 + percent) >= percent * (F.col("n") + F.col("m")))
+    meet = own.join(beside, (F.col("key") == F.col("key2")) & (F.col("sid") < F.col("sid2")) & (F.col("component") != F.col("component2")) & sizes & places & _parities_allow(percent))
+    last = alike(stored(meet.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct(), "op7-candidates"))
     return components(found.unionByName(last)) if last.head(1) else parts
 
 

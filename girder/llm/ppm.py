@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import keyed, most_frequent, stored
-from .text import LOWER, Prints, U64, chunks, mix, word_bounds
+from .text import LOWER, U64, WordHash, chunks, mix, word_bounds
 
 ORDER = 5
 #: Contexts of this many bytes and more are dealt over the tasks by their last bytes.
@@ -31,7 +31,7 @@ PART_CODES, PART_LOOKUPS = 250_000, 4_000_000
 #: Words, the most frequent, whose counts every task holds; those of all others meet their counts in a join.
 HEAVY_WORDS = 250_000
 FLUSH = 6_000_000
-_WORD = Prints(301, fold_case=True)
+_WORD = WordHash(301, fold_case=True)
 #: Bytes in lower case of A-Z; U+0000, which is the end's symbol, reads as a byte that UTF-8 never has.
 _SYMBOL = LOWER.copy()
 _SYMBOL[0] = 0xFF
@@ -284,7 +284,7 @@ def score(docs: DataFrame, train: DataFrame | None = None, *, order: int = ORDER
 
     The model and the word counts come from all rows of ``train`` (default: ``docs``) in columns of the same names. Null
     texts read as empty, whose only token is the end. Rows are scored one by one, so repeated rows score alike; with no
-    training rows the counts are 0 and bytes are equally likely. Words are told apart by 62-bit hashes modulo a prime.
+    training rows the counts are 0 and bytes are equally likely. Words are told apart by 64-bit hashes.
     """
     rows = keyed(docs, id_col, text_col)
     train = docs if train is None else train

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .cluster import drop_stored, keyed, stored
-from .text import Prints, Rolling, U64, anchors, chunks, word_bounds
+from .text import Prints, Rolling, U64, WordHash, anchors, chunks, word_bounds
 
 WIDTH = 35
-_WORD, _SHORT, _MIDDLE = (Rolling(s) for s in (401, 402, 403))
+_WORD = WordHash(401)
+_SHORT, _MIDDLE = Rolling(402), Rolling(403)
 #: At the full length windows are told apart by two independent hashes, of words that two independent hashes tell apart.
-_FULL = [(Prints(s), Prints(s + 1)) for s in (411, 421)]
+_FULL = [(WordHash(s), Prints(s + 1)) for s in (411, 421)]
 
 
 def levels(width: int) -> tuple[int, int]:
@@ -78,7 +79,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     A word goes when a window of ``width`` words of its document covers it whose words also start anywhere else. Null
     and empty texts have no words; documents shorter than a window lose nothing; repeated rows are copies and lose every
     window; null ids are kept apart by row. All words of all documents are looked at. What is removed rests on 94 bits of
-    two independent hashes modulo a prime, of words and windows each.
+    two hashes of the window, each with a hash of the words of its own.
     """
     short, middle = levels(width)
     rows = keyed(docs, id_col, text_col)

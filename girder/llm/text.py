@@ -7,6 +7,7 @@ A chunk is a run of whole documents laid end to end: ``data`` holds their UTF-8
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -132,16 +133,14 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 
 class Prints:
-    """62-bit hashes of byte spans and of windows of values: two polynomials modulo 2**31 - 1, each with a base of its own.
+    """62-bit hashes of windows of bytes or values: two polynomials modulo 2**31 - 1, each with a base of its own.
 
-    Two different spans of n units agree with a chance of at most (n / 2**31)**2 over the bases, whatever the texts.
+    Two different windows of n units agree with a chance of at most (n / 2**31)**2 over the bases, whatever the texts.
     """
 
-    def __init__(self, seed: int, fold_case: bool = False):
+    def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.tables = rng.integers(1, int(_PRIME), (2, 256), dtype=np.uint64)
-        if fold_case:
-            self.tables[:, 65:91] = self.tables[:, 97:123]
         self.key = U64(rng.integers(1, 2**63))
         self.bases = [int(b) for b in rng.integers(1 << 20, int(_PRIME) - 1, 2)]
         self._up, self._down = ([np.ones(1, np.uint64)] * 2 for _ in range(2))
@@ -156,34 +155,58 @@ class Prints:
                 held[lane] = powers[:size]
         return self._up[lane][:n], self._down[lane][:n]
 
-    def _lane(self, lane: int, values: np.ndarray, starts, ends) -> np.ndarray:
-        """Of values below 2**31, the polynomial of each span (two arrays of bounds, or two slices of all positions)."""
+    def _lane(self, lane: int, values: np.ndarray, width: int) -> np.ndarray:
+        """Of values below 2**31, the polynomial of each window."""
         up, down = self._powers(lane, len(values) + 1)
         total = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(_folded(values * up[:-1]), out=total[1:])
-        return _reduced(_reduced(total[ends] - total[starts]) * down[starts])
-
-    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of each byte span."""
-        one, two = (self._lane(lane, self.tables[lane][data], starts, ends) for lane in range(2))
-        return mix(one << U64(31) | two)
+        return _reduced(_reduced(total[width:] - total[:-width]) * down[: len(values) - width + 1])
 
     def windows(self, values: np.ndarray, width: int) -> np.ndarray:
         """Hash of each run of ``width`` consecutive values."""
         if len(values) < width:
             return np.zeros(0, np.uint64)
         own = mix(values ^ self.key)
-        starts, ends = slice(0, len(values) - width + 1), slice(width, len(values) + 1)
-        return mix(self._lane(0, own >> U64(33), starts, ends) << U64(31) | self._lane(1, own & _PRIME, starts, ends))
+        return mix(self._lane(0, own >> U64(33), width) << U64(31) | self._lane(1, own & _PRIME, width))
 
     def byte_windows(self, data: np.ndarray, width: int) -> np.ndarray:
         if len(data) < width:
             return np.zeros(0, np.uint64)
-        starts, ends = slice(0, len(data) - width + 1), slice(width, len(data) + 1)
-        one, two = (self._lane(lane, self.tables[lane][data], starts, ends) for lane in range(2))
+        one, two = (self._lane(lane, self.tables[lane][data], width) for lane in range(2))
         return mix(one << U64(31) | two)
 
 
+class WordHash:
+    """64-bit hashes of words: their bytes, eight at a time, stirred into a keyed state that starts with the length.
+
+    The scramble isn't linear, so no text collides by its shape. Words of more than ``LONG`` bytes go through BLAKE2.
+    """
+
+    LONG = 256
+    _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def __init__(self, seed: int, fold_case: bool = False):
+        rng = np.random.default_rng(seed)
+        self.key, self.step = (U64(x) | U64(1) for x in rng.integers(1, 2**63, 2, dtype=np.uint64))
+        self.fold_case = fold_case
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each byte span."""
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[:-8] = LOWER[data] if self.fold_case else data
+        eights = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+        size = ends - starts
+        out = mix(self.key ^ (size.astype(np.uint64) * self.step) ^ (eights[starts] & self._MASKS[np.minimum(size, 8)]))
+        more, at = np.flatnonzero((size > 8) & (size <= self.LONG)), 8
+        while len(more):
+            left = size[more] - at
+            out[more] = mix((out[more] + self.step) ^ (eights[starts[more] + at] & self._MASKS[np.minimum(left, 8)]))
+            more, at = more[left > 8], at + 8
+        for i in np.flatnonzero(size > self.LONG):
+            out[i] = int.from_bytes(blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(self.key).to_bytes(8)).digest())
+        return out
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` consecutive values, by doubling."""
     done = 1
