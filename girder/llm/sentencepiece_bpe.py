@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 from .text import free_name
 
 SPACE = "▁"
+#: About what the stretches that a worker remembers may take.
+CACHE_BYTES = 60 << 20
 #: Field numbers of the model file's messages, and its kinds of pieces.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -142,7 +144,7 @@ class Model:
         at_start: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (size, i) in self.matcher.iter(text):
             at_start[end - size + 1].append((size, i))
-        open_positions = (1 << (n + 1)) - 1
+        failed = bytearray((n >> 3) + 1)  # a bit for each position that no way leads on from
         path: list[tuple[int, int, int]] = []  # (start, which of the pieces there, id)
         at, choice = 0, None
         while at < n:
@@ -156,7 +158,8 @@ class Model:
             before = path[-1][2] if path else -1
             while choice >= 0:
                 size, i = options[choice]
-                if open_positions >> (at + size) & 1 and (before < 0 or self.fits(before, i)):
+                after = at + size
+                if not failed[after >> 3] >> (after & 7) & 1 and (before < 0 or self.fits(before, i)):
                     break
                 choice -= 1
             if choice >= 0:
@@ -164,7 +167,7 @@ class Model:
                 at += size
                 choice = None
             else:
-                open_positions &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 at, taken, i = path.pop()
                 while i < 0:  # an unknown character has no other reading
                     at, taken, i = path.pop()
@@ -231,18 +234,20 @@ def _utf8(raw: bytes) -> str:
 
 
 @lru_cache(2)
-def _loaded(name: str) -> tuple[Model, dict[str, str], dict[str, str]]:
-    """The model, the ids (as text) of stretches seen, and the decoded text of those that don't decode to themselves."""
+def _loaded(name: str) -> tuple[Model, dict[str, str], dict[str, str], list[int]]:
+    """The model, the ids (as text) of stretches seen, the decoded text of those that don't decode to themselves, and about
+    how many bytes both take."""
     with open(SparkFiles.get(name), "rb") as file:
-        return Model(file.read()), {}, {}
+        return Model(file.read()), {}, {}, [0]
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_col: str = "text", ids_col: str | None = "ids", digests: bool = False, cache_words: int = 250_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_col: str = "text", ids_col: str | None = "ids", digests: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """The columns ``keep`` and the encoding of each text: ids (array<int>) and/or digests (n_tokens, ids_sha256, decoded_sha256).
 
-    Null and empty texts have no ids and decode to an empty text. Every document is encoded whole; a stretch (a word with
-    its space) seen before is taken from a cache of at most ``cache_words`` entries. The model file travels to the
-    executors with the job. Repeated rows give repeated results; columns of the added names are replaced.
+    Null and empty texts have no ids and decode to an empty text. Every document is encoded whole, in time that grows
+    with its length; a stretch (a word with its space) of up to 64 characters seen before is taken from a cache of about
+    ``cache_bytes`` bytes a worker. The model file travels to the executors with the job. Repeated rows give repeated
+    results, and no choice between equal merges is left open; columns of the added names are replaced.
     """
     import os
 
@@ -257,13 +262,15 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_
     schema = StructType([*source.drop(name_of_text).schema.fields, *StructType.fromDDL(", ".join(added)).fields])
 
     def run(batches):
-        model, cache, odd = _loaded(name)
+        model, cache, odd, held = _loaded(name)
 
         def known(part: str) -> str:
             ids = model._stretch(part)
-            if len(cache) >= cache_words:
-                cache.clear()
-            own = cache[part] = ",".join(map(str, ids))
+            own = ",".join(map(str, ids))
+            held[0] += 200 + len(part)
+            if len(part) <= 64:
+                held[0] += len(part) + len(own)
+                cache[part] = own
             decoded = _text_of(model, ids)
             if decoded != part.replace(SPACE, " "):
                 odd[part] = decoded
@@ -272,6 +279,10 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
             for text in batch.column(name_of_text).to_pylist():
+                if held[0] > cache_bytes:  # between texts: a text's own stretches stay until it is decoded
+                    cache.clear()
+                    odd.clear()
+                    held[0] = 0
                 get = cache.get
                 parts = model.stretches(text or "")
                 joined = ",".join([get(p) or known(p) for p in parts])
