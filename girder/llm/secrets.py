@@ -2,8 +2,9 @@
 
 The patterns' matches are labelled credentials. Per kind, a prefix tree of a bounded sample of them (as sequences of
 character classes) is folded into a probabilistic automaton by merging states whose outgoing shares are compatible under
-the Hoeffding bound. Every other run of credential characters is a candidate; where an automaton makes its format
-likelier than the ordinary runs' does, by a margin a character, it is a span of kind ``format``.
+the Hoeffding bound. Every other run of credential characters, from the shortest credential's length on, is a candidate;
+where an automaton makes its format likelier than the ordinary runs' does, by a margin a character and by the odds
+against any run being a credential, it is a span of kind ``format``.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ CLASS = {c: n for n, cs in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvw
 _SIZES = Counter(CLASS.values())
 _END = len(_SIZES)
 SAMPLE = 400
+#: Credentials and ordinary runs of more characters are scored like all others but not learned from.
+LEARNED = 4096
+#: In nats: by how much a format must beat ordinary runs, a character and altogether (odds of 1 to e**12).
+MARGIN, ODDS = 0.5, 12.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -146,41 +151,50 @@ class Background:
 
 
 class Formats:
-    def __init__(self, examples: dict[str, list[str]], ordinary: list[str], margin: float = 0.5, least: int = 8):
-        self.margin = margin
-        self.automata = [FormatAutomaton([classes(v) for v in values]) for _, values in sorted(examples.items()) if len(values) >= least]
+    def __init__(self, examples: dict[str, list[str]], ordinary: list[str], margin: float = MARGIN, odds: float = ODDS, least: int = 8):
+        """An automaton for each kind with at least ``least`` examples; without any, no run is likely to be a credential."""
+        self.margin, self.odds = margin, odds
+        learned = {kind: values for kind, values in sorted(examples.items()) if len(values) >= least}
+        self.automata = [FormatAutomaton([classes(v) for v in values]) for values in learned.values()]
+        self.shortest = min((len(v) for values in learned.values() for v in values), default=0)
         self.ordinary = Background([classes(v) for v in ordinary])
         self._known: dict[str, bool] = {}
 
     def likely(self, value: str) -> bool:
-        """Whether some format beats ordinary runs by the margin a character, and the run mixes letters with digits."""
+        """Whether some format beats ordinary runs by the margin a character and by the odds."""
         known = self._known.get(value)
         if known is None:
             own = classes(value)
-            known = False
-            if 0 in own and len(set(own)) > 1 and self.automata:
-                best = max(a.log_likelihood(own) for a in self.automata)
-                known = best - self.ordinary.log_likelihood(own) > self.margin * len(own)
-            if len(self._known) > 200_000:
-                self._known.clear()
-            self._known[value] = known
+            best = max(a.log_likelihood(own) for a in self.automata)
+            known = best - self.ordinary.log_likelihood(own) > max(self.margin * len(own), self.odds)
+            if len(value) <= 64:
+                if len(self._known) > 200_000:
+                    self._known.clear()
+                self._known[value] = known
         return known
 
     def spans(self, text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-        """Candidates that some format makes likely and no pattern's match touches."""
-        taken = [(start, end) for start, _, end, _ in base]
-        out = []
-        for m in CANDIDATE.finditer(text):
+        """Candidates that some format makes likely and no pattern's match touches; marks at a run's end aren't part of it."""
+        if not self.automata:
+            return []
+        out, at = [], 0
+        taken = sorted((start, end) for start, _, end, _ in base)
+        for m in re.finditer(f"[A-Za-z0-9+/_.=-]{{{self.shortest},}}", text):
             value = m[0].rstrip(".=-_/+") or m[0]
             start, end = m.start(), m.start() + len(value)
-            if len(value) >= 16 and not value.isalpha() and not any(s < end and start < e for s, e in taken) and self.likely(value):
+            if len(value) < self.shortest or not self.likely(value):
+                continue
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            if not any(s < end and start < e for s, e in taken[at:]):
                 out.append((start, len(KINDS), end, value))
         return out
 
 
 def learn(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE) -> Formats:
     """Formats from at most ``sample`` distinct credentials a kind and ``10 * sample`` distinct ordinary runs, those with
-    the least hashes over all documents. Each task sends no more than that many; the bound doesn't grow."""
+    the least hashes over all documents (ties by the value) of those of up to LEARNED characters. Each task sends no more
+    than that many; the bound doesn't grow. Null and empty texts have none; an empty table gives formats that nothing has."""
     source = docs.select(F.col(f"`{text_col}`").alias("_text"))
 
     def run(batches):
@@ -188,7 +202,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE) -> F
 
         def add(kind: str, value: str, most: int) -> None:
             own = least[kind]
-            if value not in own:
+            if len(value) <= LEARNED and value not in own:
                 own[value] = hashlib.md5(value.encode()).hexdigest()
                 if len(own) > 4 * most:
                     least[kind] = dict(sorted(own.items(), key=lambda x: x[1])[:most])
@@ -197,11 +211,11 @@ def learn(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE) -> F
             for text in batch.column("_text").to_pylist():
                 base = base_spans(text or "")
                 for _, kind, _, value in base:
-                    add(KINDS[kind], value[:64], sample)
+                    add(KINDS[kind], value, sample)
                 taken = {value for *_, value in base}
                 for value in CANDIDATE.findall(text or ""):
                     if value not in taken:
-                        add("ordinary", value[:64], 10 * sample)
+                        add("ordinary", value, 10 * sample)
         rows = [(k, h, v) for k, own in least.items() for v, h in sorted(own.items(), key=lambda x: x[1])[: sample * (10 if k == "ordinary" else 1)]]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3, names=["kind", "hash", "value"])
 
