@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,8 @@ BANDS, BAND_LANES = 24, 32
 LANES = BANDS * BAND_LANES
 #: The last lanes count the paragraphs, modulo 2**64.
 COUNT_LANES = 4
+#: Ids a run that the driver sorts to find the runs' bounds.
+SAMPLED = 30
 #: From this band on a lane's mask has no room in the 16 bits drawn for it and takes more.
 WIDE = 16
 
@@ -100,29 +103,60 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (total - unshared) / (total + unshared))
 
 
-def documents_with_next(docs: DataFrame, *, id_col: str, text_col: str, buckets: int | None = None) -> DataFrame:
+def _cuts(rows: DataFrame, runs: int) -> list:
+    """Ascending ids that part the rows into about ``runs`` runs of like size, from some ids a run chosen by their hashes."""
+    every = max(1, rows.count() // (SAMPLED * runs))
+    chosen = rows.where(F.col("_id").isNotNull() & (F.pmod(F.xxhash64("_id"), F.lit(every)) == 0)).select("_id").toArrow().column(0)
+    ids = sorted(chosen.to_pylist())
+    return sorted({ids[len(ids) * i // runs] for i in range(1, runs)}) if ids else []
+
+
+def _dealer(shared, tops: bool):
+    """Rows (_run, _borrowed, _id, _text) from (_id, _text); with ``tops`` unknown yet, (_run, _id) from (_id).
+
+    Run 0 has ids from the highest cut upwards; null ids end the last run. Of the rows of a run's greatest id, each task
+    also deals the one of least text to the run before, as a borrowed row.
+    """
+
+    def run(batches):
+        cuts, before = shared.value
+        place = lambda i: len(cuts) - bisect_right(cuts, i) if i is not None else len(cuts)
+        heads: dict = {}
+        for batch in batches:
+            ids = batch.column("_id")
+            values = ids.to_pylist()
+            runs = pa.array([place(i) for i in values], pa.int32())
+            if not tops:
+                yield pa.RecordBatch.from_arrays([runs, ids], names=["_run", "_id"])
+                continue
+            texts = batch.column("_text")
+            for k, i in enumerate(values):
+                if i in before and (i not in heads or texts[k].as_py() < heads[i]):
+                    heads[i] = texts[k].as_py()
+            yield pa.RecordBatch.from_arrays([runs, pa.array(np.zeros(len(values), bool)), ids, texts], names=["_run", "_borrowed", "_id", "_text"])
+            kind, text_kind = ids.type, texts.type
+        if heads:
+            columns = [pa.array([before[i] for i in heads], pa.int32()), pa.array([True] * len(heads)), pa.array(list(heads), kind), pa.array(list(heads.values()), text_kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_run", "_borrowed", "_id", "_text"])
+
+    return run
+
+
+def documents_with_next(docs: DataFrame, *, id_col: str, text_col: str, runs: int | None = None) -> DataFrame:
     """Rows in runs: per partition, documents by falling id (nulls last, then by text), each run ending with the first
     row of the next one (_borrowed), the last with the first row of all.
 
-    Runs are ranges of ids between sampled quantiles. Only one row per run is copied, found by one aggregate on ids.
+    Runs are ranges of ids, two a split of the input; the driver knows a few ids of each. Rows of one id are in one run.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    n = buckets or min(20_000, max(8, 2 * rows.rdd.getNumPartitions()))
-    cuts = sorted(set(rows.stat.approxQuantile("_id", [i / n for i in range(1, n)], 0.25 / n)), reverse=True) if n > 1 else []
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    # Run 0 has ids from the highest cut upwards; null ids end the last run.
-    run = F.when(F.col("_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: F.col("_id") < c)))
-    rows = rows.withColumn("_run", run)
-    firsts = [(r["_run"], r["top"]) for r in rows.groupBy("_run").agg(F.max("_id").alias("top")).orderBy("_run").collect()]
-    if not firsts:
-        return rows.withColumn("_borrowed", F.lit(False))
-    before = {top: firsts[i - 1][0] for i, (_, top) in enumerate(firsts)}
-    heads = rows.where(F.coalesce(F.col("_id").isin([t for t in before if t is not None]), F.lit(False)) | (F.col("_id").isNull() & F.lit(None in before)))
-    heads = heads.groupBy("_run", "_id").agg(F.min("_text").alias("_text"))
-    target = F.coalesce(*[F.when(F.col("_id").eqNullSafe(F.lit(t).cast("long")), F.lit(r)) for t, r in before.items()])
-    heads = heads.select("_id", "_text", target.alias("_run"), F.lit(True).alias("_borrowed"))
-    both = rows.withColumn("_borrowed", F.lit(False)).unionByName(heads)
-    return both.repartition(len(firsts), "_run").sortWithinPartitions("_run", "_borrowed", F.col("_id").desc_nulls_last(), "_text")
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    cuts = _cuts(rows, runs or max(8, 2 * rows.rdd.getNumPartitions()))
+    dealt = rows.select("_id").mapInArrow(_dealer(context.broadcast((cuts, {})), False), f"_run int, _id {kind}")
+    tops = dealt.groupBy("_run").agg(F.max("_id").alias("top")).orderBy("_run").collect()
+    before = {r["top"]: tops[i - 1]["_run"] for i, r in enumerate(tops)}
+    dealt = rows.mapInArrow(_dealer(context.broadcast((cuts, before)), True), f"_run int, _borrowed boolean, _id {kind}, _text string")
+    return dealt.repartition(max(1, len(tops)), "_run").sortWithinPartitions("_run", "_borrowed", F.col("_id").desc_nulls_last(), "_text")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,27 +176,42 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """Fingerprints of each text and of its edited text, and how alike they are.
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next document by falling id
-    (rows of one id by text, null ids last; after the last document comes the first). Unshared paragraphs are subtracted
-    and added rather than hashed anew. Null texts are empty; an empty table gives an empty result.
+    (rows of one id by text, null ids last; after the last document comes the first). Ids may be of any type that has an
+    order. Unshared paragraphs are subtracted and added rather than hashed anew. Null texts are empty; an empty table
+    gives an empty result.
     """
     rows = documents_with_next(docs, id_col=id_col, text_col=text_col)
+    kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches):
         from itertools import chain
 
         waiting: tuple | None = None
         out: list[tuple] = []
-        for run_no, borrowed, doc_id, text in chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("_run", "_borrowed", "_id", "_text")), strict=True) for b in batches):
+        id_type = None
+
+        def typed(batches):
+            nonlocal id_type
+            for batch in batches:
+                id_type = batch.column("_id").type
+                yield batch
+
+        for run_no, borrowed, doc_id, text in chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("_run", "_borrowed", "_id", "_text")), strict=True) for b in typed(batches)):
+            if borrowed and not waiting:
+                continue  # several tasks may have borrowed the row; the first of least text has been met
             state = fingerprint(text)
             if waiting and waiting[0] == run_no:
                 out.append(_edited(waiting[1], waiting[2], waiting[3], text, state))
             waiting = None if borrowed else (run_no, doc_id, text, state)
             if len(out) >= 512:
-                yield _batch(out)
+                yield _batch(out, names, id_type)
                 out = []
-        yield _batch(out)
+        if out:
+            yield _batch(out, names, id_type)
+
+    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    return rows.select("_run", "_borrowed", "_id", "_text").mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("_run", "_borrowed", "_id", "_text").mapInArrow(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _edited(doc_id, text: str, state: np.ndarray, following: str, next_state: np.ndarray) -> tuple:
@@ -178,8 +227,6 @@ def _edited(doc_id, text: str, state: np.ndarray, following: str, next_state: np
     return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), as_text(state), as_text(changed), likeness(state, changed), likeness(state, next_state)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+def _batch(rows: list[tuple], names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
