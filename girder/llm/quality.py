@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import training
-from .text import SPACE, Rolling, U64, chunks, word_bounds
+from .text import SPACE, U64, WordHash, chunks, word_bounds
 
 BUCKETS, FACTORS = 1 << 15, 8
 MAX_TRAINING_ROWS = 8000
-_HASH = Rolling(501, fold_case=True)
+_HASH = WordHash(501, fold_case=True)
 _UPPER, _DIGIT, _MARK, _HIGH, _LINE = (np.zeros(256, bool) for _ in range(5))
 _UPPER[65:91] = _DIGIT[48:58] = _HIGH[128:] = _LINE[10] = True
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -112,25 +112,30 @@ class FactorisationMachine:
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAINING_ROWS, modulus: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine | None:
     """Fit on at most ``max_rows`` labelled rows that are not held out; without any, None."""
-    rows = training.labelled_sample(docs, labels, "quality", modulus=modulus, held_out=held_out, max_rows=max_rows, id_col=id_col, text_col=text_col)
-    if not rows:
+    sample = training.labelled_sample(docs, labels, "quality", _by_text, modulus=modulus, held_out=held_out, max_rows=max_rows, id_col=id_col, text_col=text_col)
+    if not len(sample):
         return None
-    parts = list(featurise(training.text_array(rows)))
-    model = FactorisationMachine(parts[0][2].shape[1])
-    model.fit(parts, np.array([r[1] for r in rows], float))
+    words, stats = training.numbers_of(sample), np.array(sample.column("stats").to_pylist())
+    model = FactorisationMachine(stats.shape[1])
+    model.fit([(np.concatenate(words), np.array([len(w) for w in words]), stats)], sample.column("_label").to_numpy().astype(float))
     return model
 
 
+def _by_text(column: pa.Array):
+    for words, counts, stats in featurise(column):
+        yield from zip(np.split(words, np.cumsum(counts)[:-1]), stats, strict=True)
+
+
 def _scores(model: FactorisationMachine | None, column: pa.Array) -> np.ndarray:
     return np.full(len(column), 0.5) if model is None else model.scores(column)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` (default all) and ``score``: the likelihood that a text's quality label is 1.
+def classify(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns ``keep`` (default all) and ``score_col``: the likelihood that a text's quality label is 1.
 
     Scores depend on the text alone, so repeated rows score alike; null texts read as empty and are scored by their
-    statistics; with no labelled rows every score is 0.5. A column named score is replaced. One scan fits the model
+    statistics; with no labelled rows every score is 0.5. A column named ``score_col`` is replaced. One scan fits the model
     (a bounded sample), one scores every row; nothing is shuffled but the sample.
     """
     model = train(docs, labels, max_rows=max_rows, id_col=id_col, text_col=text_col)
-    return training.score_documents(docs, model, _scores, keep=keep or docs.columns, text_col=text_col)
+    return training.score_documents(docs, model, _scores, keep=keep or docs.columns, text_col=text_col, score_col=score_col)

@@ -2,7 +2,8 @@
 
 Filters of several widths slide over the words of a whole text, each keeps its greatest response, and a logistic layer
 reads those. Embeddings start at zero but for a first lane with the word's log-odds among the training rows, so words
-never seen answer nothing. Cut-offs are calibrated by language; the score itself never reads the language.
+never seen answer nothing. Cut-offs are calibrated by language on labelled rows that the net isn't fitted on; the score
+itself never reads the language.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from .text import Rolling, U64, chunks, mix, word_bounds
 BUCKETS, LANES, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 #: Bytes of the beginnings of a word that have embeddings of their own, added to the word's.
 PREFIXES = (4, 6, 8)
-MAX_TRAINING_ROWS = 6000
+#: Labelled rows that are sampled, and of how many of them one is kept from the fit for the cut-offs.
+MAX_TRAINING_ROWS, CALIBRATION = 7000, 7
 _HASH = Rolling(601, fold_case=True)
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -113,14 +115,17 @@ class TextCnn:
                     grads[f"f{k}"] = grad + 1e-4 * p[f"f{k}"]
                 adam.step(grads)
 
+    def score(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return training.sigmoid(self.pooled(words, bounds)[0] @ self.params["out"] + self.params["bias"])
+
     def scores(self, column: pa.Array) -> np.ndarray:
-        out = [training.sigmoid(self.pooled(words, bounds)[0] @ self.params["out"] + self.params["bias"]) for words, bounds in featurise(column)]
+        out = [self.score(words, bounds) for words, bounds in featurise(column)]
         return np.concatenate(out).astype(float) if out else np.zeros(0)
 
 
 def calibrate(model: TextCnn, scores: np.ndarray, target: np.ndarray, langs: list, least: int = 20) -> None:
-    """Per language the cut-off with the best F1 on the training rows; languages with fewer than ``least`` toxic rows
-    share the one of all rows (under the key None)."""
+    """Per language the cut-off with the best F1 on these rows; languages with fewer than ``least`` toxic rows share the
+    one of all rows (under the key None). Of equal F1 the highest cut-off counts."""
 
     def best(s: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(-s, kind="stable")
@@ -139,20 +144,31 @@ def calibrate(model: TextCnn, scores: np.ndarray, target: np.ndarray, langs: lis
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAINING_ROWS, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> TextCnn | None:
-    """Fit on at most ``max_rows`` labelled rows that are not held out; without any, None."""
+    """Fit on most of at most ``max_rows`` labelled rows that are not held out, calibrate on the others; without any, None.
+
+    Of fewer than 50 rows all serve both ends.
+    """
     more = (lang_col,) if lang_col in docs.columns else ()
-    rows = training.labelled_sample(docs, labels, "toxic", modulus=modulus, held_out=held_out, max_rows=max_rows, id_col=id_col, text_col=text_col, more=more)
-    if not rows:
+    sample = training.labelled_sample(docs, labels, "toxic", _by_text, modulus=modulus, held_out=held_out, max_rows=max_rows, id_col=id_col, text_col=text_col, more=more)
+    if not len(sample):
         return None
-    column = training.text_array(rows)
-    own = [words[a:b] for words, bounds in featurise(column) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    target = np.array([r[1] for r in rows], float)
+    own = [x.reshape(-1, 1 + len(PREFIXES)) for x in training.numbers_of(sample)]
+    target = sample.column("_label").to_numpy().astype(float)
+    apart = np.arange(len(own)) % CALIBRATION == 0 if len(own) >= 50 else np.zeros(len(own), bool)
     model = TextCnn()
-    model.fit(own, target)
-    calibrate(model, model.scores(column), target, [r[2] if more else None for r in rows])
+    model.fit([own[i] for i in np.flatnonzero(~apart)], target[~apart])
+    rest = np.flatnonzero(apart) if apart.any() else np.arange(len(own))
+    scores = np.concatenate([model.score(own[i], np.array([0, len(own[i])])) for i in rest])
+    langs = sample.column(f"_{lang_col}").to_pylist() if more else [None] * len(own)
+    calibrate(model, scores, target[rest], [langs[i] for i in rest])
     return model
 
 
+def _by_text(column: pa.Array):
+    for words, bounds in featurise(column):
+        yield from ((words[a:b], ()) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
 def _scores(model: TextCnn | None, column: pa.Array) -> np.ndarray:
     return np.full(len(column), 0.5) if model is None else model.scores(column)
 
