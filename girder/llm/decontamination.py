@@ -1,7 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
 Documents stream through the automaton word by word; it always knows the longest suffix read so far that occurs in
-some item. Where that suffix reaches the window length, its last words are hit.
+some item. Where that suffix reaches the window length, its last words are hit. Spans of hit words are removed where
+they exceed a length, or where all of them exceed a share of the document.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
+#: Words of items in one automaton, which takes about a kilobyte a word in a worker.
+BLOCK_WORDS = 200_000
+#: Words of a benchmark passage that is removed whatever its share of the document.
+LONGEST = 50
 #: Bytes that separate words, and the fold of A-Z.
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -125,11 +130,11 @@ class SuffixAutomaton:
         return runs, found
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of at most ``block_words`` words (an item alone may be longer), streamed to the driver."""
-    block: list[tuple[str, list[bytes]]] = []
+def item_blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items in blocks of at most ``block_words`` words (an item alone may be longer), streamed to the driver one by one."""
+    block: list[tuple[str | None, list[bytes]]] = []
     size = 0
-    rows = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), text_col)
+    rows = items.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{text_col}`"))
     for name, text in rows.toLocalIterator():
         sequence = words(text)
         if not sequence:
@@ -137,18 +142,29 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, block_words: int
         if block and size + len(sequence) > block_words:
             yield block
             block, size = [], 0
-        block.append((str(name), sequence))
+        block.append((name, sequence))
         size += len(sequence)
     if block:
         yield block
 
 
-def find_hits(docs: DataFrame, items: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = 1_000_000) -> DataFrame:
+def shared_blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> list:
+    """A broadcast per block: the driver holds one block at a time, and of all others what Spark stores of a broadcast."""
+    context = items.sparkSession.sparkContext
+    return [context.broadcast(block) for block in item_blocks(items, item_col, text_col, block_words)]
+
+
+def _by_name(names: set) -> list:
+    """Sorted, the items without a name last."""
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
+def find_hits(docs: DataFrame, items: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, blocks: list | None = None) -> DataFrame:
     """The columns ``keep`` (default all) of each document, and hit_words (all its words), hit_runs (array of [start, end)
     word positions), hit_items (sorted ids).
 
     Words are folded and split as the contract says; a null text has none, and with no items nothing is hit. Repeated
-    rows are judged alike. Columns that ``docs`` already has under the three names are replaced. The items are a query
+    rows are judged alike. Items of one id count as one; items whose id is null count as one, named null and last. Columns that ``docs`` already has under the three names are replaced. The items are a query
     set taken in blocks of ``block_words`` words, which bounds every automaton and broadcast; each block is one more
     pass over the rows in the same stage.
     """
@@ -158,9 +174,9 @@ def find_hits(docs: DataFrame, items: DataFrame, *, keep: list[str] | None = Non
     carried = list(dict.fromkeys([*keep, text_col]))
     out = docs.select(*[F.col(f"`{c}`") for c in carried], F.lit(0).cast("long").alias("hit_words"), F.array().cast("array<array<bigint>>").alias("hit_runs"), F.array().cast("array<string>").alias("hit_items"))
     last = out.select(*[F.col(f"`{c}`") for c in keep], *own).schema
-    blocks = list(item_blocks(items, item_col, item_text_col, block_words)) or [[]]
-    for i, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    blocks = blocks if blocks is not None else shared_blocks(items, item_col, item_text_col, block_words)
+    blocks = blocks or [docs.sparkSession.sparkContext.broadcast([])]
+    for i, shared in enumerate(blocks):
         schema = last if i == len(blocks) - 1 else out.schema
         out = out.mapInArrow(_scanner(shared, text_col, window, schema.names), schema)
     return out
@@ -177,7 +193,7 @@ def _scanner(shared, text_col: str, window: int, names: list[str]):
                 new, more = automaton.scan(sequence)
                 counts.append(len(sequence))
                 runs.append(union_runs(run + new) if run else new)
-                found.append(sorted(more.union(before)))
+                found.append(_by_name(more.union(before)))
             yield replaced(batch, {"hit_words": counts, "hit_runs": runs, "hit_items": found}).select(names)
 
     return scan
@@ -210,35 +226,43 @@ def cut_words(text: str, runs: list[list[int]]) -> str:
     return b" ".join(x for x in kept if x).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", coverage: float = 0.05, drop_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
-    """The documents without benchmark passages, in the columns they came with.
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.05, longest: int = LONGEST, drop_coverage: float = 0.5, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents without benchmark passages, in the columns they came with, whatever their names.
 
-    A document whose hit words are at least ``coverage`` of its words loses them (again and again, until what is left
-    stays under that limit); from ``drop_coverage`` on, or when no word is left, the document goes. Others stay as they
-    are, those with null or empty texts included.
+    A document whose hit words are at least ``coverage`` of its words loses them; otherwise it loses the runs of more
+    than ``longest`` hit words. That is done again and again, until what is left stays under both limits. From
+    ``drop_coverage`` on, or when no word is left, the document goes. Others stay as they are, null and empty texts
+    included; repeated rows are treated alike; with no items nothing changes.
     """
-    hits = find_hits(docs, items, text_col=text_col, window=window)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(list(item_blocks(items, "item_id", "text", 1_000_000)))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    plain = docs.toDF(*names)
+    blocks = shared_blocks(items, item_col, item_text_col, block_words)
+    hits = find_hits(plain, items, text_col=text, window=window, blocks=blocks)
 
     def cut(batches):
         automata: list[SuffixAutomaton] = []
+
+        def beyond(hit: list[list[int]], total: int) -> list[list[int]]:
+            if sum(e - s for s, e in hit) >= coverage * total:
+                return hit
+            return [[s, e] for s, e in hit if e - s > longest]
+
         for batch in batches:
-            texts, counts, runs = (batch.column(c).to_pylist() for c in (text_col, "hit_words", "hit_runs"))
+            texts, counts, runs = (batch.column(c).to_pylist() for c in (text, "hit_words", "hit_runs"))
             keep = []
             for i, (total, hit) in enumerate(zip(counts, runs, strict=True)):
                 n = sum(e - s for s, e in hit)
                 if n and n >= drop_coverage * total:
                     keep.append(False)
                     continue
-                while n and n >= coverage * total:
-                    automata = automata or [SuffixAutomaton(block, window) for block in shared.value]
-                    texts[i] = cut_words(texts[i], hit)
+                while hit and (gone := beyond(hit, total)):
+                    automata = automata or [SuffixAutomaton(block.value, window) for block in blocks]
+                    texts[i] = cut_words(texts[i], gone)
                     left = words(texts[i])
                     hit = union_runs([run for automaton in automata for run in automaton.scan(left)[0]])
-                    n, total = sum(e - s for s, e in hit), len(left)
+                    total = len(left)
                 keep.append(total > 0 or not runs[i])
-            yield replaced(batch, {text_col: texts}).filter(pa.array(keep, pa.bool_())).select(names)
+            yield replaced(batch, {text: texts}).filter(pa.array(keep, pa.bool_())).select(names)
 
-    names = docs.columns
-    return hits.mapInArrow(cut, docs.schema)
+    return hits.mapInArrow(cut, plain.schema).toDF(*docs.columns)
