@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.llm import decontamination, jaccard, quality, secrets, sentencepiece_bpe
-from girder.llm.cluster import stored
+from girder.llm.cluster import drop_stored, stored
+from girder.llm.text import free_name
 from girder.session import ship
 
 #: Documents whose quality score is lower go.
@@ -18,37 +19,57 @@ CONTAMINATED = 0.05
 def _shaped(out: DataFrame, docs: DataFrame) -> DataFrame:
     """In the columns the stage was given, n_chars counted anew."""
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject, in the columns they came with, whatever their names.
+
+    Null and empty texts are scored by their statistics and may go; repeated rows are judged alike; with no labelled
+    rows every score is 0.5 and all stay; an empty table stays empty.
+    """
     ship(spark)
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = free_name(docs.columns, "score")
+    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score_col=score)
+    return scored.where(F.col(score) >= LEAST_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one of least id, of rows with one id the first.
+
+    Null, empty and blank texts are like nothing and all stay; null ids come after all others; an empty table stays
+    empty; all columns stay, whatever their names.
+    """
     ship(spark)
     return jaccard.one_of_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages: contaminated ones lose them, or go where little else is left."""
+    """Documents without benchmark passages: contaminated ones lose them, or go where little else is left.
+
+    Null and empty texts have no words and stay; repeated rows are treated alike; an empty table, or an empty benchmark,
+    changes nothing; all columns stay, whatever their names, but n_chars is counted anew.
+    """
     ship(spark)
     return _shaped(decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), coverage=CONTAMINATED), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by the kind in brackets."""
+    """All documents, their secrets replaced by the kind in brackets.
+
+    Null texts stay null, empty ones empty; repeated rows are masked alike; of spans that overlap the first one
+    names the kind, of those that start together the kind listed first; an empty table stays empty; all columns stay, whatever their names, but n_chars is counted anew.
+    """
     ship(spark)
     return _shaped(secrets.scan(docs, secrets.learn(docs), keep=docs.columns, mask=True), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, and digests of the ids and of what they decode to."""
+    """Token ids of all documents, and digests of the ids and of what they decode to, beside doc_id, lang and source.
+
+    Null and empty texts have no ids; repeated rows are encoded alike; an empty table stays empty; other columns go.
+    """
     ship(spark)
     import public_tokenizers
 
@@ -64,7 +85,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL can't train the classifier or infer the formats, so the stages are held against brute force in the tests.
+#: SQL can't train the classifier or infer the formats, so each stage is held against brute force in tests/llm.
 ORACLE_SQL = None
 
 
