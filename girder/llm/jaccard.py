@@ -80,7 +80,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def _survey(words: int):
-    """Rows of sets (_row, n, sid, sketch, parity) and of shingles that are frequent within a few megabytes (shingle, seen)."""
+    """Rows of sets (_row, n, sid, sketch, parity) and of shingles that are frequent within some megabytes (shingle, seen)."""
     names = ["_row", "n", "sid", "sketch", "parity", "shingle", "seen"]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -101,7 +101,7 @@ def _survey(words: int):
                 odd.append(parity(own))
                 held.append(own)
                 size += len(own)
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield frequent(held)
                     held, size = [], 0
             n = len(ns)

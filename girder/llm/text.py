@@ -19,7 +19,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def free_name(taken: list[str], name: str = "_text") -> str:
@@ -89,7 +89,7 @@ class Rolling:
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            size = max(n, CHUNK_BYTES + 1024)
+            size = 1 << (n - 1).bit_length()
             for name, base in (("_up", self.base), ("_down", self.inverse)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -147,7 +147,7 @@ class Prints:
 
     def _powers(self, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up[lane]) < n:
-            size, prime = max(n, CHUNK_BYTES + 1024), int(_PRIME)
+            size, prime = 1 << (n - 1).bit_length(), int(_PRIME)
             for held, base in ((self._up, self.bases[lane]), (self._down, pow(self.bases[lane], -1, int(_PRIME)))):
                 powers = np.ones(1, np.uint64)
                 while len(powers) < size:
