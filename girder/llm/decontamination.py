@@ -238,10 +238,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     text = names[docs.columns.index(text_col)]
     plain = docs.toDF(*names)
     blocks = shared_blocks(items, item_col, item_text_col, block_words)
-    hits = find_hits(plain, items, text_col=text, window=window, blocks=blocks)
+    one = len(blocks) < 2  # then a document is scanned and cut in one go
+    source = plain if one else find_hits(plain, items, text_col=text, window=window, blocks=blocks)
 
     def cut(batches):
-        automata: list[SuffixAutomaton] = []
+        automata: list[SuffixAutomaton] = [SuffixAutomaton(blocks[0].value, window)] if one and blocks else []
+
+        def hits(text: str | None) -> tuple[int, list[list[int]]]:
+            sequence = words(text)
+            return len(sequence), union_runs([run for automaton in automata for run in automaton.scan(sequence)[0]])
 
         def beyond(hit: list[list[int]], total: int) -> list[list[int]]:
             if sum(e - s for s, e in hit) >= coverage * total:
@@ -249,20 +254,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
             return [[s, e] for s, e in hit if e - s > longest]
 
         for batch in batches:
-            texts, counts, runs = (batch.column(c).to_pylist() for c in (text, "hit_words", "hit_runs"))
-            keep = []
-            for i, (total, hit) in enumerate(zip(counts, runs, strict=True)):
-                n = sum(e - s for s, e in hit)
+            texts = batch.column(text).to_pylist()
+            first = map(hits, texts) if one else zip(*(batch.column(c).to_pylist() for c in ("hit_words", "hit_runs")), strict=True)
+            keep, changed = [], False
+            for i, (total, hit) in enumerate(first):
+                n, any_hit = sum(e - s for s, e in hit), bool(hit)
                 if n and n >= drop_coverage * total:
                     keep.append(False)
                     continue
                 while hit and (gone := beyond(hit, total)):
                     automata = automata or [SuffixAutomaton(block.value, window) for block in blocks]
-                    texts[i] = cut_words(texts[i], gone)
-                    left = words(texts[i])
-                    hit = union_runs([run for automaton in automata for run in automaton.scan(left)[0]])
-                    total = len(left)
-                keep.append(total > 0 or not runs[i])
-            yield replaced(batch, {text: texts}).filter(pa.array(keep, pa.bool_())).select(names)
-
-    return hits.mapInArrow(cut, plain.schema).toDF(*docs.columns)
+                    texts[i], changed = cut_words(texts[i], gone), True
+                    total, hit = hits(texts[i])
+                keep.append(total > 0 or not any_hit)
+            out = replaced(batch, {text: texts}) if changed else batch
+            yield out.filter(pa.array(keep, pa.bool_())).select(names)
+
+    return source.mapInArrow(cut, plain.schema).toDF(*docs.columns)
