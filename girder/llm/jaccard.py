@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import components, drop_stored, keyed, most_frequent, numbered, steady, stored
+from .cluster import components, drop_stored, keyed, merged_components, most_frequent, numbered, steady, stored
 from .repeats import repeated_keys
 from .text import Prints, U64, WordHash, chunks, free_name, mix, word_bounds
 
@@ -233,8 +233,9 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
         best = votes.groupBy("s").agg(F.max(F.struct("votes", "hub")).alias("top"))
         return best.select(F.least("s", "top.hub").alias("a"), F.greatest("s", "top.hub").alias("b")).distinct()
 
-    found = alike(stored(to_hubs(postings.withColumn("component", F.col("sid"))), "op7-candidates", small=True))
-    parts = components(found)
+    candidates = stored(to_hubs(postings.withColumn("component", F.col("sid"))), "op7-candidates", small=True)
+    parts = components(alike(candidates))
+    drop_stored(candidates)
     for turn in range(rounds):
         named = postings.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         members = named.groupBy("key", "component").agg(F.count("*").alias("m"))
@@ -249,8 +250,7 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
         if not more.head(1):
             break
         drop_stored(own)
-        found = found.unionByName(more)
-        parts = components(found)
+        parts = merged_components(parts, more)
     bits = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY)]
     own = own.join(sketches.select("sid", *bits), "sid").select("key", "sid", "n", "pos", "component", *[f"p{i}" for i in range(PARITY)])
     beside = own.toDF("key2", "sid2", "m", "pos2", "component2", *[f"q{i}" for i in range(PARITY)])
@@ -259,7 +259,7 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
     places = (F.col("pos") < 0) | (rest * (100 + percent) >= percent * (F.col("n") + F.col("m")))
     meet = own.join(beside, (F.col("key") == F.col("key2")) & (F.col("sid") < F.col("sid2")) & (F.col("component") != F.col("component2")) & sizes & places & _parities_allow(percent))
     last = alike(stored(meet.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct(), "op7-candidates"))
-    return components(found.unionByName(last)) if last.head(1) else parts
+    return merged_components(parts, last) if last.head(1) else parts
 
 
 def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
