@@ -52,9 +52,22 @@ def slug_ladder(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def glob_pattern(glob: str) -> str:
-    """A whole-string regular expression for * and ? patterns; letters keep their case."""
-    body = "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in glob)
-    return f"^{body}$"
+    """A whole-string regular expression for patterns of *, ?, [set] and [!set]; letters keep their case."""
+    body, at = [], 0
+    while at < len(glob):
+        ch, at = glob[at], at + 1
+        end = glob.find("]", at + (glob[at : at + 1] == "!") + 1) if ch == "[" else -1
+        if ch == "*":
+            body.append(".*")
+        elif ch == "?":
+            body.append(".")
+        elif end > 0:
+            negated, members = glob[at] == "!", glob[at + (glob[at] == "!") : end]
+            body.append("[" + "^" * negated + "".join(f"\\{c}" if c in "\\[]^&" else c for c in members) + "]")
+            at = end + 1
+        else:
+            body.append(re.escape(ch))
+    return f"(?s)^{''.join(body)}$"
 
 
 def matches_any_glob(c: Column, globs: list[str]) -> Column:

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Kernels that need the whole graph in each task take at most this many edges; larger graphs go by component.
-MAX_EDGES = 2_000_000
-
+from ..session import cut_lineage
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the session names; one is set only where none is, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:/tmp/girder-checkpoints")
-    return df.checkpoint()
+#: Centrality and paths hold the whole graph in each task; they take at most this many edges, which is checked first.
+MAX_EDGES = 2_000_000
+#: Partitions of edges that are thinned together.
+FAN_IN = 8
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -159,76 +156,277 @@ def _bridges(pairs: list) -> tuple[list, set]:
     return found, cuts
 
 
-def _by_component(edges: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over the edges of one component at a time. A component is a unit of work: these kernels need it whole."""
-    label = components(edges)
-    return edges.join(label, F.col("src") == F.col("id")).select("component", "src", "dst").groupBy("component").applyInPandas(run, schema)
+def _forest(pairs: list, breadth_first: bool) -> tuple[list, list]:
+    """(edges of a spanning forest, the others) of a multigraph."""
+    if not breadth_first:
+        root: dict = {}
+
+        def top(v):
+            while (up := root.setdefault(v, v)) != v:
+                root[v] = v = root[up] if up in root else up
+            return v
+
+        kept, rest = [], []
+        for a, b in pairs:
+            x, y = top(a), top(b)
+            (kept if x != y else rest).append((a, b))
+            root[x] = y
+        return kept, rest
+    near: dict = defaultdict(list)
+    for i, (a, b) in enumerate(pairs):
+        near[a].append((b, i))
+        near[b].append((a, i))
+    seen, used = set(), set()
+    for start in near:
+        if start in seen:
+            continue
+        seen.add(start)
+        queue = deque([start])
+        while queue:
+            for w, i in near[queue.popleft()]:
+                if w not in seen:
+                    seen.add(w)
+                    used.add(i)
+                    queue.append(w)
+    return [p for i, p in enumerate(pairs) if i in used], [p for i, p in enumerate(pairs) if i not in used]
+
+
+def _thinned(pairs: list, for_vertices: bool) -> list:
+    """At most twice as many edges as vertices, with the same bridges, or the same cut vertices, whatever edges are added
+    later (a sparse certificate): a forest and a forest of the rest. For cut vertices both are breadth-first and parallel
+    edges are one; for bridges any forests do, and a parallel edge is an edge."""
+    plain = [(a, b) for a, b in pairs if a != b]
+    if for_vertices:
+        plain = sorted({(min(p), max(p)) for p in plain})
+    first, rest = _forest(plain, for_vertices)
+    return first + _forest(rest, for_vertices)[0]
+
+
+def _certificate(edges: DataFrame, for_vertices: bool) -> DataFrame:
+    """(src, dst) in one partition, thinned: partitions are thinned by themselves, then a few together, until one is left.
+
+    So no task holds more than FAN_IN times two edges a vertex.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(frames):
+        pairs = [p for f in frames for p in zip(f["src"].tolist(), f["dst"].tolist(), strict=True)]
+        yield pd.DataFrame(_thinned(pairs, for_vertices), columns=["src", "dst"])
+
+    parts = edges.rdd.getNumPartitions()
+    out = edges.select("src", "dst").mapInPandas(run, f"src {kind}, dst {kind}")
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        out = out.coalesce(parts) if parts == 1 else out.repartition(parts)
+        out = cut_lineage(out.mapInPandas(run, f"src {kind}, dst {kind}"))
+    return out.coalesce(1)
 
 
 def bridges(edges: DataFrame) -> DataFrame:
+    """(src, dst), src < dst, of the edges whose loss parts a component; parallel edges and loops are none."""
     kind = edges.schema["src"].dataType.simpleString()
-    return _by_component(edges, lambda pdf: pd.DataFrame(_bridges(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)))[0], columns=["src", "dst"]), f"src {kind}, dst {kind}")
+
+    def run(frames):
+        pairs = [p for f in frames for p in zip(f["src"].tolist(), f["dst"].tolist(), strict=True)]
+        yield pd.DataFrame(_bridges(pairs)[0], columns=["src", "dst"])
+
+    return _certificate(edges, False).mapInPandas(run, f"src {kind}, dst {kind}")
 
 
 def articulation(edges: DataFrame) -> DataFrame:
+    """(id) of the vertices whose loss parts a component."""
     kind = edges.schema["src"].dataType.simpleString()
-    return _by_component(edges, lambda pdf: pd.DataFrame({"id": sorted(_bridges(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)))[1])}), f"id {kind}")
 
+    def run(frames):
+        pairs = [p for f in frames for p in zip(f["src"].tolist(), f["dst"].tolist(), strict=True)]
+        yield pd.DataFrame({"id": sorted(_bridges(pairs)[1])})
+
+    return _certificate(edges, True).mapInPandas(run, f"id {kind}")
 
-def _louvain(pairs: list, sweeps: int = 20) -> dict:
-    """Communities of one level of local moves in a fixed order of vertices."""
-    adjacency = _adjacency(pairs)
-    m2 = sum(len(v) for v in adjacency.values()) or 1
-    label = {v: v for v in adjacency}
-    weight = {v: len(adjacency[v]) for v in adjacency}
+
+def _by_component(edges: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the edges of one component at a time: a component is a unit of work, which these kernels need whole.
+
+    A component of more than MAX_EDGES edges is refused rather than taken into one task.
+    """
+    label = components(edges)
+    rows = edges.join(label, F.col("src") == F.col("id")).select("component", "src", "dst")
+    most = rows.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > MAX_EDGES:
+        raise ValueError(f"a component of {most} edges; at most {MAX_EDGES} fit a task")
+    return rows.groupBy("component").applyInPandas(run, schema)
+
+
+def _moved(weights: dict, sweeps: int) -> dict:
+    """One level of local moves over weighted neighbours {v: {w: weight}}, loops at v itself, in a fixed order."""
+    degree = {v: sum(near.values()) + near.get(v, 0.0) for v, near in weights.items()}  # a loop has two ends
+    total = sum(degree.values()) or 1.0
+    label = {v: v for v in weights}
+    volume = dict(degree)
     for _ in range(sweeps):
         moved = False
-        for v, near in adjacency.items():
-            k, own = len(near), label[v]
-            weight[own] -= k
-            links: dict = defaultdict(int)
-            for w in near:
-                links[label[w]] += 1
-            best = min(links.keys() | {own}, key=lambda c: (-(links[c] - k * weight[c] / m2), c))
-            if links[best] - k * weight[best] / m2 <= links[own] - k * weight[own] / m2:
-                best = own
-            weight[best] += k
+        for v, near in weights.items():
+            own, k = label[v], degree[v]
+            volume[own] -= k
+            links: dict = defaultdict(float)
+            for w, x in near.items():
+                if w != v:
+                    links[label[w]] += x
+            gain = lambda c: links[c] - k * volume[c] / total  # noqa: B023, E731
+            best = min({*links, own}, key=lambda c: (-gain(c), c))  # noqa: B023
+            best = own if gain(best) <= gain(own) + 1e-12 else best
+            volume[best] += k
             moved |= best != own
             label[v] = best
         if not moved:
             break
-    least: dict = {}
-    for v in adjacency:
-        least.setdefault(label[v], v)
-    return {v: least[c] for v, c in label.items()}
+    return label
+
+
+def _louvain(pairs: list, sweeps: int = 50) -> dict:
+    """Multilevel modularity: local moves, then communities become vertices, until nothing moves."""
+    weights: dict = {v: dict.fromkeys(near, 1.0) for v, near in _adjacency(pairs).items()}
+    member = {v: v for v in weights}
+    while True:
+        label = _moved(weights, sweeps)
+        if all(v == c for v, c in label.items()):
+            break
+        member = {v: label[c] for v, c in member.items()}
+        merged: dict = defaultdict(lambda: defaultdict(float))
+        for v, near in weights.items():
+            for w, x in near.items():
+                merged[label[v]][label[w]] += x if v != w and label[v] != label[w] else x / 2 if v != w else x
+        weights = {v: dict(sorted(near.items())) for v, near in sorted(merged.items())}
+    return member
+
+
+def _edge_betweenness(adjacency: dict) -> dict:
+    """Per edge (a < b) how many shortest paths run over it, shared among equals."""
+    out: dict = defaultdict(float)
+    for source in adjacency:
+        distance, paths, before, order = {source: 0}, defaultdict(float, {source: 1.0}), defaultdict(list), []
+        queue = deque([source])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for w in adjacency[v]:
+                if w not in distance:
+                    distance[w] = distance[v] + 1
+                    queue.append(w)
+                if distance[w] == distance[v] + 1:
+                    paths[w] += paths[v]
+                    before[w].append(v)
+        share: dict = defaultdict(float)
+        for w in reversed(order):
+            for v in before[w]:
+                flow = paths[v] / paths[w] * (1 + share[w])
+                share[v] += flow
+                out[min(v, w), max(v, w)] += flow
+    return out
+
+
+def _parts(adjacency: dict) -> dict:
+    """Each vertex with the least vertex it reaches."""
+    name: dict = {}
+    for start in sorted(adjacency):
+        if start not in name:
+            name[start] = start
+            queue = deque([start])
+            while queue:
+                for w in adjacency[queue.popleft()]:
+                    if w not in name:
+                        name[w] = start
+                        queue.append(w)
+    return name
+
+
+def _split_by_betweenness(pairs: list, n: int) -> dict:
+    """Parts after the edges of most shortest paths went one by one (ties: the least edge), until there are ``n``."""
+    adjacency = {v: set(near) for v, near in _adjacency(pairs).items()}
+    name = _parts(adjacency)
+    while len(set(name.values())) < n:
+        flow = _edge_betweenness({v: sorted(near) for v, near in adjacency.items()})
+        if not flow:
+            break
+        a, b = min(flow, key=lambda e: (-round(flow[e], 9), e))
+        adjacency[a].discard(b)
+        adjacency[b].discard(a)
+        name = _parts(adjacency)
+    return name
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """(id, community): a community is named by its least member; the same on every run."""
+def _fiedler(pairs: list, dense: int = 1500, steps: int = 5000) -> dict:
+    """Two sides by the sign of the Laplacian's second eigenvector, each named by its least member; zeros go with the first
+    vertex. Larger graphs take the vector by power iteration."""
+    adjacency = _adjacency(pairs)
+    nodes = list(adjacency)
+    n = len(nodes)
+    if n < 2:
+        return {v: v for v in nodes}
+    place = {v: i for i, v in enumerate(nodes)}
+    rows = np.repeat(np.arange(n), [len(adjacency[v]) for v in nodes])
+    cols = np.array([place[w] for v in nodes for w in adjacency[v]])
+    degree = np.bincount(rows, minlength=n).astype(float)
+    if n <= dense:
+        laplacian = np.diag(degree)
+        laplacian[rows, cols] -= 1
+        vector = np.linalg.eigh(laplacian)[1][:, 1]
+    else:
+        shift = 2 * degree.max()
+        vector = np.random.default_rng(0).normal(size=n)
+        for _ in range(steps):
+            vector -= vector.mean()
+            new = shift * vector - degree * vector + np.bincount(rows, vector[cols], n)
+            new /= np.linalg.norm(new)
+            done = np.abs(new - vector).max() < 1e-10
+            vector = new
+            if done:
+                break
+    vector = np.where(np.abs(vector) < 1e-9, 0.0, vector)
+    side = vector * (1 if vector[np.flatnonzero(vector)[0]] > 0 else -1) >= 0
+    least = {s: min(v for v, x in zip(nodes, side, strict=True) if x == s) for s in set(side.tolist())}
+    return {v: least[bool(s)] for v, s in zip(nodes, side, strict=True)}
+
+
+def communities(edges: DataFrame, method: str = "louvain", parts: int = 2) -> DataFrame:
+    """(id, community) by ``louvain``, ``edge_betweenness`` (``parts`` a component) or ``fiedler`` (two a component).
+
+    A community is named by its least member; the same on every run.
+    """
     kind = edges.schema["src"].dataType.simpleString()
+    split = {"louvain": _louvain, "edge_betweenness": lambda p: _split_by_betweenness(p, parts), "fiedler": _fiedler}[method]
 
     def run(pdf):
-        out = _louvain(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)))
-        return pd.DataFrame(sorted(out.items()), columns=["id", "community"])
+        label = split(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)))
+        least: dict = {}
+        for v in sorted(label):
+            least.setdefault(label[v], v)
+        return pd.DataFrame(sorted((v, least[c]) for v, c in label.items()), columns=["id", "community"])
 
     return _by_component(edges, run, f"id {kind}, community {kind}")
 
 
-def hops(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
-    """(source, id, hops): least number of edges from each source, up to a depth."""
-    links = both_ways(edges).where("src <> dst").distinct()
-    seen = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"))
-    front = seen
-    for d in range(1, depth + 1):
+def hops(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, id, hops): least number of edges from each source, up to a depth if one is given."""
+    links = cut_lineage(both_ways(edges).where("src <> dst").distinct())
+    seen = front = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"))
+    d = 0
+    while depth is None or d < depth:
+        d += 1
         step = front.join(links, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id")).distinct()
-        front = step.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("hops", F.lit(d))
-        seen = cut_lineage(seen.unionByName(front))
-        front = seen.where(F.col("hops") == d)
+        front = cut_lineage(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("hops", F.lit(d)))
+        if not front.head(1):
+            break
+        seen = seen.unionByName(front)
     return seen
 
 
-def path_edges(edges: DataFrame, pairs: DataFrame, max_paths: int = 10, max_edges: int = MAX_EDGES) -> DataFrame:
-    """Distinct edges (src < dst) on shortest paths of the first ``max_paths`` pairs (source, target) by id."""
+def path_edges(edges: DataFrame, pairs: DataFrame, max_paths: int | None = None, max_edges: int = MAX_EDGES) -> DataFrame:
+    """Distinct edges (src < dst) on a shortest path of each pair (source, target), with the least of the pairs whose path
+    takes them (path_from, path_to) and that path's length. ``max_paths`` keeps the first pairs that have a path, by id.
+
+    Of equal paths the one over the least vertices counts.
+    """
     plain = both_ways(edges).where("src < dst").distinct()
     if plain.limit(max_edges + 1).count() > max_edges:
         raise ValueError(f"more than {max_edges} edges; use hops")
@@ -238,7 +436,7 @@ def path_edges(edges: DataFrame, pairs: DataFrame, max_paths: int = 10, max_edge
     def run(frames):
         adjacency = _adjacency(shared.value)
         for frame in frames:
-            rows = set()
+            rows = []
             for s, t in zip(frame["source"], frame["target"], strict=True):
                 came, queue = {s: None}, deque([s])
                 while queue and t not in came:
@@ -247,13 +445,21 @@ def path_edges(edges: DataFrame, pairs: DataFrame, max_paths: int = 10, max_edge
                         if w not in came:
                             came[w] = v
                             queue.append(w)
-                v = t if t in came else None
+                path, v = [], t if t in came else None
                 while v is not None and came[v] is not None:
-                    rows.add((min(v, came[v]), max(v, came[v])))
+                    path.append((min(v, came[v]), max(v, came[v])))
                     v = came[v]
-            yield pd.DataFrame(sorted(rows), columns=["src", "dst"])
-
-    return pairs.orderBy("source", "target").limit(max_paths).mapInPandas(run, f"src {kind}, dst {kind}").distinct()
+                rows += [(a, b, s, t, len(path)) for a, b in path]
+            yield pd.DataFrame(rows, columns=["src", "dst", "path_from", "path_to", "length"])
+
+    own = pairs.select("source", "target").distinct()
+    found = own.repartition(max(8, edges.sparkSession.sparkContext.defaultParallelism)).mapInPandas(run, f"src {kind}, dst {kind}, path_from {kind}, path_to {kind}, length int")
+    if max_paths is not None:
+        found = cut_lineage(found)
+        first = found.select("path_from", "path_to").distinct().orderBy("path_from", "path_to").limit(max_paths)
+        found = found.join(first, ["path_from", "path_to"], "left_semi")
+    least = found.groupBy("src", "dst").agg(F.min(F.struct("path_from", "path_to", "length")).alias("p"))
+    return least.select("src", "dst", "p.*")
 
 
 def cliques(members: DataFrame, group: str, member: str, max_members: int) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .relational import positions
+from .selectors import SPATIAL
+
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int, up: bool, distinct: bool = False) -> DataFrame:
     """(start, node, depth): ancestors (``up``) or descendants of the start nodes over edges (parent_id, child_id).
@@ -27,8 +31,13 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int, up: bool, distinct: bo
 
 def recursive(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
     """Run a recursive query, each level once and from the one before. The depth cap ends it, so rows need no limit."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(sql, **frames)
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        return spark.sql(sql, **frames)
+    finally:
+        spark.conf.set(name, before)
 
 
 def nearest_with_value(ancestors: DataFrame, values: DataFrame) -> DataFrame:
@@ -58,11 +67,54 @@ def tree_paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """(id, level): the longest way from a root, over at most ``depth`` steps; nodes on a cycle get the cap."""
-    level = nodes.select("id", F.lit(0).alias("level"))
-    reach = walk(edges, nodes, depth, up=True).groupBy("start").agg(F.max("depth").alias("_d"))
-    return level.join(reach.withColumnRenamed("start", "id"), "id", "left").select("id", F.coalesce("_d", "level").alias("level"))
+def topological_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, level, on_cycle, position): an order in which every node comes after all its parents.
+
+    ``level`` is the longest way from a node without parents. Nodes with parents still open are taken level by level,
+    as many rounds as the longest way has steps, each over the edges that are left; no path is walked twice. What a cycle
+    keeps from ever being ready comes last, one level further than all others, marked ``on_cycle``. ``position`` counts
+    from 1 by level, then id.
+    """
+    open_ = cut_lineage(nodes.select("id").distinct())
+    left = cut_lineage(edges.select("parent_id", "child_id").where("parent_id <> child_id").distinct())
+    done, level = None, 0
+    while open_.head(1):
+        blocked = left.select(F.col("child_id").alias("id")).distinct()
+        ready = cut_lineage(open_.join(blocked, "id", "left_anti").select("id", F.lit(level).alias("level"), F.lit(False).alias("on_cycle")))
+        if not ready.head(1):
+            ready = open_.select("id", F.lit(level).alias("level"), F.lit(True).alias("on_cycle"))
+            done = ready if done is None else done.unionByName(ready)
+            break
+        done = ready if done is None else done.unionByName(ready)
+        open_ = cut_lineage(open_.join(ready, "id", "left_anti"))
+        left = cut_lineage(left.join(ready.select(F.col("id").alias("parent_id")), "parent_id", "left_anti"))
+        level += 1
+    if done is None:
+        return nodes.select("id", F.lit(0).alias("level"), F.lit(False).alias("on_cycle"), F.lit(0).cast("long").alias("position")).limit(0)
+    return positions(done, ["level", "id"])
+
+
+def traverse(tree: DataFrame, kind: str, starts: DataFrame, types: DataFrame | None = None, depth: int = 32) -> DataFrame:
+    """(start, node, depth) of a containment tree (parent_id, child_id) for ids ``starts`` (id).
+
+    ``parent`` and ``children`` are one step, ``ancestors`` and ``descendants`` up to ``depth``; ``storey_of`` and
+    ``building_of`` are the nearest ancestor of that type (types: id, entity), ``products_in`` the descendants that are
+    products. Starts that lead nowhere give no row.
+    """
+    if kind in ("parent", "children"):
+        return walk(tree, starts, 1, up=kind == "parent")
+    if kind in ("ancestors", "descendants"):
+        return walk(tree, starts, depth, up=kind == "ancestors", distinct=True)
+    if types is None:
+        raise ValueError(f"{kind} needs the types of the nodes")
+    named = types.select(F.col("id").alias("node"), "entity")
+    if kind == "products_in":
+        return walk(tree, starts, depth, up=False, distinct=True).join(named.where(~F.col("entity").isin(*SPATIAL)), "node").select("start", "node", "depth")
+    entity = {"storey_of": "IfcBuildingStorey", "building_of": "IfcBuilding"}.get(kind)
+    if entity is None:
+        raise ValueError(f"no such traversal: {kind!r}")
+    up = walk(tree, starts, depth, up=True).join(named.where(F.col("entity") == entity), "node")
+    return up.groupBy("start").agg(F.min(F.struct("depth", "node")).alias("n")).select("start", "n.node", "n.depth")
 
 
 def subset_with_ancestors(tree: DataFrame, kept: DataFrame, dropped: DataFrame, depth: int) -> DataFrame:

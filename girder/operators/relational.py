@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number
+from ..session import cut_lineage
 
 
 def orient_pairs(pairs: DataFrame, source: DataFrame, forced: str | None = None) -> DataFrame:
@@ -155,3 +156,21 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     row = df.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
     part = row.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("p"))
     return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "p"))), lambda x: x["p"]), "\n"), 256).alias("fingerprint"))
+
+
+def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """The rows with their place in a total order, from 1, without gathering them: sorted by ranges, counted by range.
+
+    The sorted rows are written to the checkpoint folder, so both uses see the same ranges.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut_lineage(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
+    """The rows with the rank of a value; equal ones share the least place."""
+    places = positions(df.select(value), [value], "_place").groupBy(value).agg(F.min("_place").alias(name))
+    return df.join(places, df[value].eqNullSafe(places[value])).drop(places[value])

@@ -30,8 +30,9 @@ SPACE_FUNCTIONS = [
 
 
 def space_function(long_name: Column, name: Column, reference: Column) -> Column:
-    """The slug of the first label that gives one."""
-    return F.coalesce(*[slug_ladder(c, SPACE_FUNCTIONS) for c in (long_name, name, reference)])
+    """The slug of the first rule whose pattern is found in the labels, taken together; blank labels don't count."""
+    labels = F.concat_ws(" ", *[F.nullif(F.trim(c), F.lit("")) for c in (long_name, name, reference)])
+    return slug_ladder(F.upper(labels), SPACE_FUNCTIONS)
 
 
 def check_specs(elements: DataFrame, key: str, specs: list[tuple[str, str, Column, Column, str]]) -> DataFrame:

@@ -101,8 +101,10 @@ def keep_listed(df: DataFrame, keep: DataFrame, key: str, removed: bool = False)
 
 
 def ignored(path: Column, globs: list[str]) -> Column:
-    """Whether a ``pset.prop`` path matches one of the patterns."""
-    return matches_any_glob(path, globs)
+    """Whether a property matches a pattern: its whole ``pset.prop`` path, the property behind ``*.``, or the set before
+    ``.*``. A path is parted at its last dot."""
+    prop, pset = F.substring_index(path, ".", -1), F.regexp_extract(path, r"(?s)^(.*)\.[^.]*$", 1)
+    return matches_any_glob(path, globs) | matches_any_glob(prop, [g[2:] for g in globs if g.startswith("*.")]) | matches_any_glob(pset, [g[:-2] for g in globs if g.endswith(".*")])
 
 
 def route(name: Column, prefixes: dict[str, str], default: str | None = None) -> Column:
@@ -113,17 +115,26 @@ def route(name: Column, prefixes: dict[str, str], default: str | None = None) ->
     return out
 
 
-def longest_prefix(df: DataFrame, text: str, key: str, prefixes: DataFrame, prefix: str, delimiters: str = "[-_. #]") -> DataFrame:
-    """Per key the longest prefix of its text that ends there or before a delimiter; none gives null.
+#: What may follow a discipline's code in a file name, and the mark of a registered upload before it.
+CODE_ENDS, UPLOAD_MARK = "[_\\- \\t]", "(?i)^dd[0-9a-f]{8}-"
 
-    ``prefixes`` is a lookup table. The join is on equal prefixes: each text is cut at its delimiters (a handful of
-    cuts), so no pair of rows is compared without an equal key.
+
+def longest_prefix(df: DataFrame, text: str, key: str, prefixes: DataFrame, prefix: str, delimiters: str = CODE_ENDS, mark: str = UPLOAD_MARK) -> DataFrame:
+    """Per key the longest prefix of its file name that ends there or before a delimiter; none gives null.
+
+    The folder, the extension and an upload's mark don't count. Failing that, the name's first token (before an
+    underscore, then a dash), trimmed, where it is on the list. ``prefixes`` is a lookup table. The join is on equal
+    prefixes: each text is cut at its delimiters (a handful of cuts), so no rows are compared without an equal key.
     """
-    cuts = F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.substring(F.col(text), F.lit(1), n))
-    ends = F.filter(cuts, lambda c: (F.length(c) == F.length(text)) | F.substring(F.col(text), F.length(c) + 1, F.lit(1)).rlike(f"^{delimiters}$"))
-    tried = df.select(key, F.explode_outer(ends).alias("_cut"))
-    hit = tried.join(prefixes.select(F.col(prefix).alias("_cut")).distinct(), "_cut")
-    best = hit.groupBy(key).agg(F.max_by("_cut", F.length("_cut")).alias(prefix))
+    base = F.regexp_replace(F.col(text), "^.*/", "")
+    rest = F.regexp_replace(F.regexp_replace(base, r"(?s)^(\.*[^.].*)\.[^.]*$", "$1"), mark, "")
+    rows = df.select(key, rest.alias("_rest"))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_rest"), F.lit(1))), lambda n: F.substring(F.col("_rest"), F.lit(1), n))
+    ends = F.filter(cuts, lambda c: (F.length(c) == F.length("_rest")) | F.substring(F.col("_rest"), F.length(c) + 1, F.lit(1)).rlike(f"^{delimiters}$"))
+    tokens = [F.when(F.col("_rest").contains(s), F.struct(F.lit(-i).alias("order"), F.trim(F.substring_index("_rest", s, 1)).alias("cut"))) for i, s in enumerate(("_", "-"), 1)]
+    tried = F.concat(F.transform(ends, lambda c: F.struct(F.length(c).alias("order"), c.alias("cut"))), F.array_compact(F.array(*tokens)))
+    hit = rows.select(key, F.explode(tried).alias("t")).select(key, "t.*").join(prefixes.select(F.col(prefix).alias("cut")).distinct(), "cut")
+    best = hit.groupBy(key).agg(F.max_by("cut", "order").alias(prefix))
     return df.join(best, key, "left")
 
 

@@ -1,7 +1,8 @@
 """Joins of boxes and points over a grid of cells, and what is decided from them.
 
-No join compares all pairs: boxes are spread over the cells they touch, pairs meet in equal cells, and a pair counts only
-in the cell that holds the lower corner of what they share, so nothing has to be made distinct afterwards.
+No join compares all pairs: boxes are spread over the cells they touch, of a size that goes with their own, pairs meet in
+equal cells, and a pair counts only in the cell that holds the lower corner of what they share, so nothing has to be made
+distinct afterwards. However large a box, it touches a few cells.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import cut_lineage
 
 #: Classes of hosts, of runs and of equipment of building services, of spaces, of structure.
 HOSTS = ("IfcWall", "IfcWallStandardCase", "IfcWallElementedCase", "IfcSlab", "IfcRoof", "IfcColumn", "IfcBeam", "IfcMember", "IfcPlate", "IfcCovering", "IfcCurtainWall")
@@ -24,26 +26,59 @@ def discipline(entity: Column) -> Column:
     return F.when(entity.isin(*RUNS, *EQUIPMENT), "mep").when(entity.isin(*STRUCTURE), "structural").when(entity.isin(*HOSTS), "architectural").when(entity.isin(*SPACES), "spatial").otherwise("other")
 
 
-def cells(df: DataFrame, size: float, grow: float = 0.0, prefix: str = "") -> DataFrame:
-    """One row per cell (cx, cy) that a box, grown on all sides, touches."""
-    lo = lambda a: X.cell(F.col(f"{prefix}min_{a}") - grow, size)
-    hi = lambda a: X.cell(F.col(f"{prefix}max_{a}") + grow, size)
-    return df.withColumn("cx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("cy", F.explode(F.sequence(lo("y"), hi("y"))))
+def _level(size: float, grow: float, prefix: str, axes: str) -> Column:
+    """The least level whose cells, of ``size`` times two to that power, are no smaller than the grown box."""
+    extent = F.greatest(*[F.col(f"{prefix}max_{a}") - F.col(f"{prefix}min_{a}") + 2 * grow for a in axes], F.lit(size))
+    return F.ceil(F.log2(extent / size)).cast("int")
+
+
+def levels(df: DataFrame, size: float, grow: float = 0.0, prefix: str = "", axes: str = "xy") -> list[int]:
+    """The levels of a table of boxes, at most one for each doubling of the extent."""
+    return sorted(r[0] for r in df.select(_level(size, grow, prefix, axes).alias("n")).where("n IS NOT NULL").distinct().collect())
+
+
+def _at(level: Column | str, size: float) -> Column:
+    return F.pow(F.lit(2.0), level) * size
+
+
+def cells(df: DataFrame, size: float, grow: float = 0.0, prefix: str = "", axes: str = "xy", coarser: list[int] = ()) -> DataFrame:
+    """One row per cell (cell, an array that starts with its level) that a box, grown on all sides, touches.
+
+    A box touches at most two cells an axis of its own level (column ``{prefix}level``), and of each coarser one asked for.
+    """
+    own = f"{prefix}level"
+    every = F.array_union(F.array(own), F.filter(F.array(*[F.lit(n) for n in coarser]).cast("array<int>"), lambda n: n > F.col(own)))
+    out = df.withColumn(own, _level(size, grow, prefix, axes)).withColumn("_n", F.explode(every))
+    for a in axes:
+        lo, hi = (F.floor((F.col(f"{prefix}{side}_{a}") + by) / _at("_n", size)).cast("long") for side, by in (("min", -grow), ("max", grow)))
+        out = out.withColumn(f"_c{a}", F.explode(F.sequence(lo, hi)))
+    return out.withColumn("cell", F.array(F.col("_n").cast("long"), *[f"_c{a}" for a in axes])).drop("_n", *[f"_c{a}" for a in axes])
+
+
+def cells_of_points(points: DataFrame, size: float, of_levels: list[int], axes: str = "xy") -> DataFrame:
+    """One row per level: the cell that holds the point."""
+    out = points.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in of_levels]).cast("array<int>")))
+    return out.withColumn("cell", F.array(F.col("_n").cast("long"), *[F.floor(F.col(a) / _at("_n", size)).cast("long") for a in axes])).drop("_n")
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def box_pairs(a: DataFrame, b: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
-    """Pairs (columns a_*, b_*) whose boxes, a's grown by ``grow``, touch in plan; each pair once."""
-    left, right = cells(_prefixed(a, "a_"), size, grow, "a_"), cells(_prefixed(b, "b_"), size, 0.0, "b_")
-    corner = lambda ax: X.cell(F.greatest(F.col(f"a_min_{ax}") - grow, F.col(f"b_min_{ax}")), size)
-    touch = [F.col(f"a_min_{ax}") - grow <= F.col(f"b_max_{ax}") for ax in "xy"] + [F.col(f"b_min_{ax}") <= F.col(f"a_max_{ax}") + grow for ax in "xy"]
-    out = left.join(right, ["cx", "cy"]).where((F.col("cx") == corner("x")) & (F.col("cy") == corner("y")))
-    for t in touch:
-        out = out.where(t)
-    return out.drop("cx", "cy")
+def box_pairs(a: DataFrame, b: DataFrame, size: float, grow: float = 0.0, axes: str = "xy") -> DataFrame:
+    """Pairs (columns a_*, b_*) whose boxes, a's grown by ``grow``, touch along the axes; each pair once.
+
+    Two boxes meet in cells as large as the larger of them; the pair counts in the one that holds the lower corner of
+    what they share.
+    """
+    a, b = _prefixed(a, "a_"), _prefixed(b, "b_")
+    of_a, of_b = levels(a, size, grow, "a_", axes), levels(b, size, 0.0, "b_", axes)
+    out = cells(a, size, grow, "a_", axes, of_b).join(cells(b, size, 0.0, "b_", axes, of_a), "cell").where(F.col("cell")[0] == F.greatest("a_level", "b_level"))
+    for i, ax in enumerate(axes):
+        corner = F.greatest(F.col(f"a_min_{ax}") - grow, F.col(f"b_min_{ax}"))
+        out = out.where(F.col("cell")[i + 1] == F.floor(corner / _at(F.col("cell")[0], size)).cast("long"))
+        out = out.where((F.col(f"a_min_{ax}") - grow <= F.col(f"b_max_{ax}")) & (F.col(f"b_min_{ax}") <= F.col(f"a_max_{ax}") + grow))
+    return out.drop("cell", "a_level", "b_level")
 
 
 def _gaps() -> tuple[list[Column], Column]:
@@ -80,7 +115,7 @@ def clashes(a: DataFrame, b: DataFrame | None, mode: str, size: float, tolerance
     Without b the boxes of a meet each other, each pair once; ids are in ``guid``.
     """
     grow = clearance if mode == "clearance" else 0.0
-    pairs = box_pairs(a, a if b is None else b, size, grow)
+    pairs = box_pairs(a, a if b is None else b, size, grow, "xyz")
     if b is None:
         pairs = pairs.where("a_guid < b_guid")
     o, gap = _gaps()
@@ -91,41 +126,45 @@ def clashes(a: DataFrame, b: DataFrame | None, mode: str, size: float, tolerance
 
 def point_in_box(points: DataFrame, boxes: DataFrame, size: float, tolerance: float = 0.0) -> DataFrame:
     """Points (x, y, z) beside each box (columns s_*) that contains them, within a tolerance."""
-    right = cells(_prefixed(boxes, "s_"), size, tolerance, "s_")
-    left = points.withColumn("cx", X.cell(F.col("x"), size)).withColumn("cy", X.cell(F.col("y"), size))
-    out = left.join(right, ["cx", "cy"])
+    right = _prefixed(boxes, "s_")
+    own = levels(right, size, tolerance, "s_", "xyz")
+    out = cells_of_points(points, size, own, "xyz").join(cells(right, size, tolerance, "s_", "xyz"), "cell")
     for ax in "xyz":
         out = out.where(F.col(ax).between(F.col(f"s_min_{ax}") - tolerance, F.col(f"s_max_{ax}") + tolerance))
-    return out.drop("cx", "cy")
+    return out.drop("cell", "s_level")
 
 
-def near_boxes(points: DataFrame, boxes: DataFrame, key: str, reach: float, k: int) -> DataFrame:
-    """The k nearest boxes (s_*, distance) of each point within reach; ties by the box's guid."""
-    right = cells(_prefixed(boxes, "s_"), reach, reach, "s_")
-    left = points.withColumn("cx", X.cell(F.col("x"), reach)).withColumn("cy", X.cell(F.col("y"), reach))
-    out = left.join(right, ["cx", "cy"]).drop("cx", "cy").withColumn("distance", X.box_distance(F.col("x"), F.col("y"), F.col("z"), "s_"))
+def near_boxes(points: DataFrame, boxes: DataFrame, key: str, reach: float, k: int, apart: Column | None = None, axes: str = "xyz") -> DataFrame:
+    """The k nearest boxes (s_*, distance) of each point within reach; ties by the box's guid. ``apart`` says which pairs count."""
+    right = _prefixed(boxes, "s_")
+    own = levels(right, 2 * reach, reach, "s_", axes)
+    out = cells_of_points(points, 2 * reach, own, axes).join(cells(right, 2 * reach, reach, "s_", axes), "cell").drop("cell", "s_level")
+    out = out if apart is None else out.where(apart)
+    out = out.withColumn("distance", X.box_distance(F.col("x"), F.col("y"), F.col("z"), "s_"))
     w = Window.partitionBy(key).orderBy("distance", "s_guid")
     return out.where(F.col("distance") <= reach).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_box(points: DataFrame, boxes: DataFrame, key: str, reach: float) -> DataFrame:
+def nearest_box(points: DataFrame, boxes: DataFrame, key: str, reach: float, apart: Column | None = None, axes: str = "xyz") -> DataFrame:
     """The nearest box of every point however far: the reach doubles for those that found none.
 
-    The number of rounds is the logarithm of the extent over the reach; each looks only at cells.
+    The number of rounds is the logarithm of the extent over the reach. Each looks only at cells, for the points still
+    without a box, and is written to the checkpoint folder before the next.
     """
     extent = points.agg(F.min(F.least("x", "y", "z")).alias("a"), F.max(F.greatest("x", "y", "z")).alias("b")).first()
     other = boxes.agg(F.min(F.least("min_x", "min_y", "min_z")).alias("a"), F.max(F.greatest("max_x", "max_y", "max_z")).alias("b")).first()
     if extent["a"] is None or other["a"] is None:
-        return near_boxes(points, boxes, key, reach, 1)
+        return near_boxes(points, boxes, key, reach, 1, apart, axes)
     span = 2 * (max(extent["b"], other["b"]) - min(extent["a"], other["a"]))
-    out, left = None, points
+    left = cut_lineage(points)
+    out = None
     while True:
-        found = near_boxes(left, boxes, key, reach, 1)
+        found = cut_lineage(near_boxes(left, boxes, key, reach, 1, apart, axes))
         out = found if out is None else out.unionByName(found)
-        if reach > span:
-            return out
         left = left.join(found.select(key), key, "left_anti")
-        reach *= 4
+        if reach > span or not left.head(1):
+            return out
+        reach *= 2
 
 
 def face_adjacency(boxes: DataFrame, storey: str, tolerance: float, least_shared: float, size: float) -> DataFrame:

@@ -13,13 +13,25 @@ def _supply(t):
     return t.lineitem.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"))
 
 
-def tree(t, n: int = 1000):
-    """A forest over event ids: node i hangs on i div 3, roots are multiples of 100."""
-    e = t.events.where((F.col("event_id") < n) & (F.col("event_id") % 100 != 0))
-    return e.select(F.floor(F.col("event_id") / 3).cast("long").alias("src"), F.col("event_id").alias("dst"))
+def tree(t):
+    """A forest over all events: a signup is a root, any other event i hangs on event i div 3."""
+    up = F.floor(F.col("event_id") / 3).cast("long")
+    return t.events.where((F.col("event_type") != "signup") & (up != F.col("event_id"))).select(up.alias("src"), F.col("event_id").alias("dst"))
 
 
-TREE = "tree AS (SELECT event_id // 3 AS src, event_id AS dst FROM events WHERE event_id < 1000 AND event_id % 100 <> 0)"
+TREE = "tree AS (SELECT event_id // 3 AS src, event_id AS dst FROM events WHERE event_type <> 'signup' AND event_id // 3 <> event_id)"
+
+
+def _whole(t):
+    """Orders on customers, customers and suppliers on nations, suppliers beside parts: one large component with cycles."""
+    key = lambda c, table: (F.col(c).cast("long") * 10 + table)
+    links = [(t.orders, ("o_orderkey", 1), ("o_custkey", 2)), (t.customer, ("c_custkey", 2), ("c_nationkey", 3)), (t.supplier, ("s_suppkey", 4), ("s_nationkey", 3)), (t.lineitem, ("l_suppkey", 4), ("l_partkey", 5))]
+    out = [df.select(key(*a).alias("src"), key(*b).alias("dst")) for df, a, b in links]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+#: Suppliers and parts hang together without bridges or cut vertices, but for parts with one supplier.
+_LONE = """one AS (SELECT l_partkey AS part, min(l_suppkey) AS supplier FROM lineitem GROUP BY 1 HAVING count(*) = 1), sole AS (SELECT s_nationkey AS nation, min(s_suppkey) AS supplier FROM supplier GROUP BY 1 HAVING count(*) = 1)"""
 
 
 @query("SELECT id, count(*) AS degree FROM (SELECT l_suppkey AS id FROM lineitem UNION ALL SELECT l_partkey + 1000000 FROM lineitem) GROUP BY 1")
@@ -33,48 +45,71 @@ def neighbours(t):
     return out.select("id", F.array_join(F.array_sort(F.transform("neighbours", lambda x: x.cast("string"))), ",").alias("neighbours"))
 
 
-@query(f"WITH RECURSIVE {TREE}, sym AS (SELECT src, dst FROM tree UNION SELECT dst, src FROM tree), w(id, hops) AS (SELECT 1, 0 UNION SELECT sym.dst, hops + 1 FROM w JOIN sym ON sym.src = w.id WHERE hops < 4) SELECT id, min(hops) AS hops FROM w GROUP BY 1")
+@query("WITH RECURSIVE w(id, hops, under) AS (SELECT 0, 0, false UNION ALL SELECT event_id, hops + 1, under OR event_id = 1 FROM w JOIN events ON event_id // 3 = w.id AND event_id > 0) SELECT id, CASE WHEN under THEN hops - 1 ELSE hops + 1 END AS hops FROM w")
 def shortest_hops(t):
-    return G.hops(tree(t), t.rows([(1,)], "id long"), 4).select("id", "hops")
+    """From one event to all others over the links i to i div 3, however far."""
+    links = t.events.where("event_id > 0").select(F.floor(F.col("event_id") / 3).cast("long").alias("src"), F.col("event_id").alias("dst"))
+    return G.hops(links, t.rows([(1,)], "id long")).select("id", "hops")
 
 
-@query(f"WITH {TREE} SELECT src, dst FROM tree")
+@query(f"""WITH {_LONE} SELECT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT o_orderkey * 10 + 1 AS a, o_custkey * 10 + 2 AS b FROM orders UNION ALL SELECT c_custkey * 10 + 2, CAST(c_nationkey AS BIGINT) * 10 + 3 FROM customer
+  UNION ALL SELECT supplier * 10 + 4, CAST(nation AS BIGINT) * 10 + 3 FROM sole UNION ALL SELECT supplier * 10 + 4, part * 10 + 5 FROM one)""")
 def bridges(t):
-    """Every edge of a forest is a bridge, which SQL can say."""
-    return G.bridges(tree(t))
+    """G11 over all tables: every order, every customer, parts with one line and nations with one supplier hang on one edge."""
+    return G.bridges(_whole(t))
 
 
-@query(f"WITH {TREE} SELECT id FROM (SELECT src AS id FROM tree UNION ALL SELECT dst FROM tree) GROUP BY id HAVING count(*) > 1")
+@query(f"""WITH {_LONE} SELECT o_custkey * 10 + 2 AS id FROM orders UNION SELECT CAST(c_nationkey AS BIGINT) * 10 + 3 FROM customer UNION SELECT supplier * 10 + 4 FROM one UNION SELECT supplier * 10 + 4 FROM sole
+  UNION SELECT min(l_suppkey) * 10 + 4 FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1""")
 def articulation(t):
-    """In a forest the cut vertices are those of degree two or more."""
-    return G.articulation(tree(t))
+    """G12 over all tables: what customers, nations and suppliers carry alone is parted from the rest without them."""
+    return G.articulation(_whole(t))
 
 
-def _capped(t):
-    """A small graph with cycles: nations linked by shared orders of one customer band."""
-    n = t.nation.select(F.col("n_nationkey").alias("a"))
-    return n.select(F.col("a").cast("long").alias("src"), ((F.col("a") * 7 + 3) % 25).cast("long").alias("dst")).union(n.select(F.col("a").cast("long"), ((F.col("a") + 1) % 25).cast("long")))
+def _trade(t):
+    """Links between the brands of parts and the nations of suppliers over all returned lines, suppliers on their nations."""
+    s = t.supplier.select("s_suppkey", F.col("s_nationkey").cast("long").alias("n"))
+    brand = F.regexp_extract("p_brand", "[0-9]+", 0).cast("long") * 10 + 1
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), brand.alias("brand"))
+    lines = t.lineitem.where("l_returnflag = 'R'").join(parts, "l_partkey").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return lines.groupBy("brand", "n").agg(F.count("*").alias("c")).select(F.col("brand").alias("src"), (F.col("n") * 10 + 2).alias("dst")).union(s.select(F.col("s_suppkey") * 10 + 3, F.col("n") * 10 + 2))
 
 
 @query()
 def betweenness(t):
-    return G.centrality(_capped(t)).select("id", "betweenness")
+    return G.centrality(_trade(t)).select("id", "betweenness")
 
 
 @query()
 def closeness(t):
-    return G.centrality(_capped(t)).select("id", "closeness")
+    return G.centrality(_trade(t)).select("id", "closeness")
 
 
 @query()
 def communities(t):
-    return G.communities(_capped(t))
+    """Multilevel modularity over all suppliers and parts of returned lines."""
+    return G.communities(_trade(t))
+
+
+@query()
+def fiedler_sides(t):
+    return G.communities(_trade(t), "fiedler")
+
+
+@query()
+def betweenness_parts(t):
+    """Nations and regions parted where most shortest paths run."""
+    n = t.nation.select((F.col("n_nationkey").cast("long") * 10).alias("src"), (F.col("n_regionkey").cast("long") * 10 + 1).alias("dst"))
+    near = t.nation.where("n_nationkey % 5 <> 4").select((F.col("n_nationkey").cast("long") * 10).alias("src"), ((F.col("n_nationkey").cast("long") + 1) * 10).alias("dst"))
+    return G.communities(n.union(near), "edge_betweenness", 3)
 
 
 @query()
 def path_edges(t):
-    pairs = t.nation.select(F.lit(0).cast("long").alias("source"), F.col("n_nationkey").cast("long").alias("target")).where("target > 0")
-    return G.path_edges(_capped(t), pairs, 10)
+    """Paths between all nations of the trade graph."""
+    nodes = t.nation.select((F.col("n_nationkey").cast("long") * 10 + 2).alias("source"))
+    pairs = nodes.join(nodes.select(F.col("source").alias("target")), F.col("source") < F.col("target"))
+    return G.path_edges(_trade(t), pairs)
 
 
 @query(f"""WITH RECURSIVE {B}, w AS (SELECT guid, x, y, z FROM b WHERE entity = 'IfcWall'), e AS (SELECT a.guid AS src, c.guid AS dst FROM w a JOIN w c ON power(a.x-c.x,2) + power(a.y-c.y,2) + power(a.z-c.z,2) <= 0.0016),

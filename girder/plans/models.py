@@ -26,9 +26,10 @@ def lineage_up(t):
     return L.walk(e, e.select(F.col("child_id").alias("id")).distinct(), 10, up=True)
 
 
-@query(f"WITH RECURSIVE {TREE}, a(start, node, depth) AS (SELECT 7, dst, 1 FROM tree WHERE src = 7 UNION ALL SELECT 7, t.dst, depth + 1 FROM a JOIN tree t ON t.src = a.node WHERE depth < 10) SELECT start, node, depth FROM a")
+@query(f"WITH RECURSIVE {TREE}, a(start, node, depth) AS (SELECT event_id, dst, 1 FROM events JOIN tree ON src = event_id WHERE event_type = 'signup' UNION ALL SELECT a.start, t.dst, depth + 1 FROM a JOIN tree t ON t.src = a.node WHERE depth < 10) SELECT start, node, depth FROM a")
 def lineage_down(t):
-    return L.walk(_edges(t), t.rows([(7,)], "id long"), 10, up=False)
+    """All descendants of all roots."""
+    return L.walk(_edges(t), t.events.where("event_type = 'signup'").select(F.col("event_id").alias("id")), 10, up=False)
 
 
 @query(f"{_UP} SELECT start, arg_min(v, depth * 1000000 + node) AS value FROM a JOIN (SELECT event_id AS id, event_type AS v FROM events WHERE event_id % 4 = 0) x ON x.id = a.node GROUP BY 1")
@@ -37,9 +38,10 @@ def nearest_value(t):
     return L.nearest_with_value(up, t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("value")))
 
 
-@query(f"WITH RECURSIVE {TREE}, a(node, depth, path) AS (SELECT 100, 0, '100' UNION ALL SELECT t.dst, depth + 1, path || '/' || t.dst FROM a JOIN tree t ON t.src = a.node WHERE depth < 5) SELECT node, depth, path FROM a")
+@query(f"WITH RECURSIVE {TREE}, a(node, depth, path) AS (SELECT event_id, 0, CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'signup' UNION ALL SELECT t.dst, depth + 1, path || '/' || t.dst FROM a JOIN tree t ON t.src = a.node WHERE depth < 5) SELECT node, depth, path FROM a")
 def path_tree(t):
-    return L.tree_paths(_edges(t), t.rows([(100,)], "id long"), 5)
+    """The trees of all roots, five levels deep."""
+    return L.tree_paths(_edges(t), t.events.where("event_type = 'signup'").select(F.col("event_id").alias("id")), 5)
 
 
 @query(f"WITH {TREE} SELECT dst AS child_id, src || ':' || event_type AS parents FROM tree JOIN events ON event_id = src")
@@ -48,30 +50,58 @@ def job_lineage(t):
     return out.select("child_id", F.array_join(F.transform("parents", lambda p: F.concat(p["parent_id"].cast("string"), F.lit(":"), p["name"])), ",").alias("parents"))
 
 
-@query("SELECT n_regionkey AS parent, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS children FROM nation GROUP BY 1")
-def traverse_children(t):
-    c = t.nation.groupBy(F.col("n_regionkey").alias("parent")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("c"))
-    return c.select("parent", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("children"))
+def _containment(t):
+    """A model's tree: a project, regions as sites, nations as buildings, customers as storeys, orders as elements."""
+    key = lambda c, table: F.col(c).cast("long") * 10 + table
+    p = t.region.select(F.lit(0).cast("long").alias("parent_id"), key("r_regionkey", 1).alias("child_id"))
+    p = p.union(t.nation.select(key("n_regionkey", 1), key("n_nationkey", 2))).union(t.customer.select(key("c_nationkey", 2), key("c_custkey", 3)))
+    entity = F.element_at(F.array(*[F.lit(x) for x in ("IfcSite", "IfcBuilding", "IfcBuildingStorey", "IfcWall")]), (F.col("child_id") % 10).cast("int"))
+    tree = p.union(t.orders.select(key("o_custkey", 3), key("o_orderkey", 4)))
+    return tree, tree.select(F.col("child_id").alias("id"), entity.alias("entity")).union(t.rows([(0, "IfcProject")], "id long, entity string"))
 
 
-@query("SELECT l_orderkey AS element, l_linenumber AS line, o_custkey AS storey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def traverse_storey_of(t):
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("element"), F.col("l_linenumber").alias("line"), F.col("o_custkey").alias("storey"))
+_TREE = """m AS (SELECT 0 AS p, CAST(r_regionkey AS BIGINT) * 10 + 1 AS c FROM region UNION ALL SELECT CAST(n_regionkey AS BIGINT) * 10 + 1, CAST(n_nationkey AS BIGINT) * 10 + 2 FROM nation
+  UNION ALL SELECT CAST(c_nationkey AS BIGINT) * 10 + 2, c_custkey * 10 + 3 FROM customer UNION ALL SELECT o_custkey * 10 + 3, o_orderkey * 10 + 4 FROM orders)"""
 
 
-@query(f"{_UP} SELECT id, coalesce(max(depth), 0) AS level FROM (SELECT src AS id FROM tree UNION SELECT dst FROM tree) n LEFT JOIN a ON a.start = n.id GROUP BY 1")
+def _traversal(kind: str, sql: str):
+    """One traversal from every node of the tree (from buildings down, for those that go all the way)."""
+
+    def run(t):
+        tree, types = _containment(t)
+        starts = types.where("entity = 'IfcBuilding'") if kind in ("descendants", "products_in") else types
+        return L.traverse(tree, kind, starts.select("id"), types)
+
+    run.__name__ = f"traverse_{kind}"
+    return query(f"WITH {_TREE} {sql}")(run)
+
+
+_traversal("parent", "SELECT c AS start, p AS node, 1 AS depth FROM m")
+_traversal("children", "SELECT p AS start, c AS node, 1 AS depth FROM m")
+_traversal("ancestors", "SELECT c AS start, p AS node, 1 AS depth FROM m UNION ALL SELECT a.c, b.p, 2 FROM m a JOIN m b ON a.p = b.c UNION ALL SELECT a.c, x.p, 3 FROM m a JOIN m b ON a.p = b.c JOIN m x ON b.p = x.c UNION ALL SELECT a.c, y.p, 4 FROM m a JOIN m b ON a.p = b.c JOIN m x ON b.p = x.c JOIN m y ON x.p = y.c")
+_traversal("descendants", "SELECT p AS start, c AS node, 1 AS depth FROM m WHERE p % 10 = 2 UNION ALL SELECT a.p, b.c, 2 FROM m a JOIN m b ON a.c = b.p WHERE a.p % 10 = 2")
+_traversal("storey_of", "SELECT c AS start, p AS node, 1 AS depth FROM m WHERE c % 10 = 4")
+_traversal("building_of", "SELECT c AS start, p AS node, 1 AS depth FROM m WHERE c % 10 = 3 UNION ALL SELECT a.c, b.p, 2 FROM m a JOIN m b ON a.p = b.c WHERE a.c % 10 = 4")
+_traversal("products_in", "SELECT a.p AS start, b.c AS node, 2 AS depth FROM m a JOIN m b ON a.c = b.p WHERE a.p % 10 = 2")
+
+
+_DAG = "dag AS (SELECT src, dst FROM tree UNION SELECT event_id // 2, event_id FROM events WHERE event_type = 'error' AND event_id > 0)"
+
+
+@query(f"WITH RECURSIVE {TREE}, {_DAG}, n AS (SELECT src AS id FROM dag UNION SELECT dst FROM dag), a(id, d) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT dst FROM dag) UNION SELECT dst, d + 1 FROM a JOIN dag ON src = a.id), l AS (SELECT id, max(d) AS level FROM a GROUP BY 1) SELECT id, level, false AS on_cycle, row_number() OVER (ORDER BY level, id) AS position FROM l")
 def topo_order(t):
-    e = _edges(t)
-    nodes = e.select(F.col("parent_id").alias("id")).union(e.select("child_id")).distinct()
-    return L.topological_levels(e, nodes, 10)
+    """Over links i to i div 3, and of errors also to i div 2, so nodes have several parents and ways to them."""
+    more = t.events.where("event_type = 'error' AND event_id > 0").select(F.floor(F.col("event_id") / 2).cast("long").alias("parent_id"), F.col("event_id").alias("child_id"))
+    e = _edges(t).union(more).distinct()
+    return L.topological_order(e, e.select(F.col("parent_id").alias("id")).union(e.select("child_id")).distinct())
 
 
-@query(f"""{_UP}, kept AS (SELECT dst AS id FROM tree WHERE dst % 50 = 1), clo AS (SELECT id FROM kept UNION SELECT node FROM a JOIN kept ON start = id), c2 AS (SELECT id FROM clo WHERE id % 7 <> 0)
-  SELECT c2.id, arg_min(node, depth) FILTER (node % 7 <> 0) AS parent_id FROM c2 LEFT JOIN a ON a.start = c2.id GROUP BY 1""")
+@query(f"""{_UP}, x AS (SELECT event_id AS id FROM events WHERE event_type = 'view'), kept AS (SELECT event_id AS id FROM events WHERE event_type = 'purchase'), clo AS (SELECT id FROM kept UNION SELECT node FROM a JOIN kept ON start = id), c2 AS (SELECT id FROM clo WHERE id NOT IN (SELECT id FROM x))
+  SELECT c2.id, arg_min(node, depth) FILTER (node NOT IN (SELECT id FROM x)) AS parent_id FROM c2 LEFT JOIN a ON a.start = c2.id GROUP BY 1""")
 def subset_with_ancestors(t):
-    e = _edges(t)
-    every = e.select(F.col("parent_id").alias("id")).union(e.select("child_id")).distinct()
-    return L.subset_with_ancestors(e, e.where("child_id % 50 = 1").select(F.col("child_id").alias("id")), every.where("id % 7 = 0"), 10)
+    """All purchases with their ancestors; views are skipped."""
+    of_type = lambda x: t.events.where(F.col("event_type") == x).select(F.col("event_id").alias("id"))
+    return L.subset_with_ancestors(_edges(t), of_type("purchase"), of_type("view"), 10)
 
 
 _SPEC = "SELECT o_orderkey AS guid, 'Walls|status is F' AS rule, o_orderstatus = 'F' AS passed, CASE WHEN o_orderstatus <> 'F' THEN 'wrong status' END AS reason FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, 'Doors|price', o_totalprice > 100000, CASE WHEN NOT o_totalprice > 100000 THEN 'too cheap' END FROM orders"
@@ -131,10 +161,13 @@ def containment_edges(t):
     return a.unionByName(t.customer.select(F.lit("aggregates").alias("relation"), F.col("c_custkey").alias("child"), F.col("c_nationkey").cast("long").alias("parent")))
 
 
-@query("SELECT DISTINCT 'flow_connected' AS relation, least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem WHERE l_linenumber = 1 AND l_partkey <> l_suppkey UNION ALL SELECT DISTINCT 'member_of_system', l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 2")
+@query("SELECT DISTINCT 'flow_connected' AS relation, least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem WHERE l_partkey <> l_suppkey UNION ALL SELECT 'member_of_system', s_suppkey, CAST(s_nationkey AS BIGINT) FROM supplier UNION ALL SELECT DISTINCT 'connected_port', l_orderkey, l_partkey FROM lineitem")
 def system_edges(t):
-    flow = R.unordered(t.lineitem.where("l_linenumber = 1"), "l_partkey", "l_suppkey").select(F.lit("flow_connected").alias("relation"), "low", "high")
-    return flow.unionByName(t.lineitem.where("l_linenumber = 2").select(F.lit("member_of_system").alias("relation"), F.col("l_partkey").alias("low"), F.col("l_suppkey").alias("high")).distinct())
+    """Elements that ports connect, elements in systems, ports on elements."""
+    flow = R.unordered(t.lineitem, "l_partkey", "l_suppkey").select(F.lit("flow_connected").alias("relation"), "low", "high")
+    member = t.supplier.select(F.lit("member_of_system").alias("relation"), F.col("s_suppkey").alias("low"), F.col("s_nationkey").cast("long").alias("high"))
+    ports = t.lineitem.select(F.lit("connected_port").alias("relation"), F.col("l_orderkey").alias("low"), F.col("l_partkey").alias("high")).distinct()
+    return flow.unionByName(member).unionByName(ports)
 
 
 @query("SELECT CASE WHEN l_returnflag = 'A' THEN 'analytical' ELSE 'physical' END AS relation, least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2, 3")
@@ -214,8 +247,10 @@ def space_measures(t):
     return m.unpivot(["p_partkey"], ["measure_size", "measure_price"], "relation", "value")
 
 
-@query("SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 'trapphus' WHEN p_type = 'LARGE' THEN 'korridor' WHEN p_type = 'PROMO' THEN 'bostad' END AS function FROM part")
+@query("SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 'trapphus' WHEN p_type = 'LARGE' AND p_size % 2 = 0 THEN 'centralort' WHEN p_type = 'LARGE' THEN 'korridor' WHEN p_type = 'PROMO' THEN 'bostad' END AS function FROM part")
 def space_functions(t):
-    label = F.when(F.col("p_type") == "SMALL", "Trapphus 2").when(F.col("p_type") == "LARGE", "x korridor").otherwise("")
-    name = F.when(F.col("p_type") == "PROMO", "3 rok")
-    return t.part.select("p_partkey", V.space_function(label, name, F.lit(None).cast("string")).alias("function"))
+    """An earlier rule wins even where a later label has it."""
+    long_name = F.when(F.col("p_type") == "SMALL", "Trapphus 2").when(F.col("p_type") == "LARGE", "x korridor").otherwise(" ")
+    name = F.when(F.col("p_type") == "PROMO", "3 rok").when(F.col("p_size") % 2 == 0, "plan 2")
+    reference = F.when((F.col("p_type") == "LARGE") & (F.col("p_size") % 2 == 0), "El central 3")
+    return t.part.select("p_partkey", V.space_function(long_name, name, reference).alias("function"))

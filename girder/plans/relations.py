@@ -130,7 +130,7 @@ def correlation_metrics(t):
   SELECT (SELECT round(corr(a, b), 6) FROM r) AS spearman, (SELECT count(*) FROM x JOIN y USING (s_suppkey)) AS shared""")
 def rank_metrics(t):
     """Spearman by ranks and top-k overlap, of one value a graph node (a bounded comparison of engines)."""
-    s = t.supplier.withColumn("a", F.rank().over(Window.orderBy("s_acctbal"))).withColumn("b", F.rank().over(Window.orderBy("s_nationkey")))
+    s = R.ranked(R.ranked(t.supplier, "s_acctbal", "a"), "s_nationkey", "b")
     rho = s.agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
     x = t.supplier.orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20).select("s_suppkey")
     y = t.supplier.orderBy(F.desc("s_nationkey"), "s_suppkey").limit(20).select("s_suppkey")
@@ -143,10 +143,10 @@ def quantity_summary(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(q).cast("double").alias("total"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.round((F.sum(q) / F.count("*")).cast("double"), 4).alias("mean"))
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE user_id < 20")
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events")
 def object_history(t):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return t.events.where("user_id < 20").select("user_id", "event_id", F.row_number().over(w).alias("n"))
+    return t.events.select("user_id", "event_id", F.row_number().over(w).alias("n"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -177,12 +177,11 @@ def stacked_footprints(t):
     return rows.where("to_id IS NOT NULL AND st <> s_nationkey").select("k", "from_id", "to_id")
 
 
-@query("SELECT DISTINCT a.o_custkey AS zone_a, b.o_custkey AS zone_b, a.o_orderpriority AS label FROM (SELECT DISTINCT o_custkey, o_orderpriority, s FROM (SELECT *, dense_rank() OVER (ORDER BY o_custkey) AS s FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_custkey < 300))) a JOIN (SELECT DISTINCT o_custkey, o_orderpriority, dense_rank() OVER (ORDER BY o_custkey) AS s FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_custkey < 300)) b ON b.s = a.s + 1 AND a.o_orderpriority = b.o_orderpriority")
+@query("SELECT DISTINCT a.o_custkey AS zone_a, b.o_custkey AS zone_b, a.o_orderpriority AS label FROM (SELECT DISTINCT o_custkey, o_orderpriority, s FROM (SELECT *, dense_rank() OVER (ORDER BY o_custkey) AS s FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders))) a JOIN (SELECT DISTINCT o_custkey, o_orderpriority, dense_rank() OVER (ORDER BY o_custkey) AS s FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)) b ON b.s = a.s + 1 AND a.o_orderpriority = b.o_orderpriority")
 def storey_zone_vertical(t):
-    """Zones of consecutive storeys with one label. Storeys are ranked once each (there are few), then joined."""
-    zones = t.orders.where("o_custkey < 300").select("o_custkey", "o_orderpriority").distinct()
-    rank = zones.select("o_custkey").distinct().withColumn("s", F.row_number().over(Window.orderBy("o_custkey")))
-    z = zones.join(F.broadcast(rank), "o_custkey")
+    """Zones of consecutive storeys with one label. Storeys are ranked once each, by ranges, then joined."""
+    zones = t.orders.select("o_custkey", "o_orderpriority").distinct()
+    z = zones.join(R.positions(zones.select("o_custkey").distinct(), ["o_custkey"], "s"), "o_custkey")
     nxt = z.select((F.col("s") - 1).alias("s"), "o_orderpriority", F.col("o_custkey").alias("zone_b"))
     return z.join(nxt, ["s", "o_orderpriority"]).select(F.col("o_custkey").alias("zone_a"), "zone_b", F.col("o_orderpriority").alias("label"))
 
@@ -202,10 +201,10 @@ def dominant_vote(t):
 
 
 @query("""SELECT user_id, event_id FROM (SELECT *, count(v) OVER (PARTITION BY user_id) AS has, row_number() OVER (PARTITION BY user_id ORDER BY (v IS NULL), (try_cast(v AS DOUBLE) IS NULL), try_cast(v AS DOUBLE) NULLS LAST, v, event_id) AS n
-  FROM (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN 'room' || (event_id % 7) ELSE CAST(event_id % 11 AS VARCHAR) END AS v FROM events WHERE event_id < 800)) WHERE has = 0 OR n = 1""")
+  FROM (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN 'room' || (event_id % 7) ELSE CAST(event_id % 11 AS VARCHAR) END AS v FROM events)) WHERE has = 0 OR n = 1""")
 def winner_by_sort_value(t):
     v = F.when(F.col("event_type") == "error", None).when(F.col("event_type") == "click", F.concat(F.lit("room"), (F.col("event_id") % 7).cast("string"))).otherwise((F.col("event_id") % 11).cast("string"))
-    return R.winners(t.events.where("event_id < 800").withColumn("v", v), "user_id", "v", "event_id").select("user_id", "event_id")
+    return R.winners(t.events.withColumn("v", v), "user_id", "v", "event_id").select("user_id", "event_id")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size = 1 THEN 'kept' WHEN p_type = 'SMALL' THEN 'R1' WHEN p_size > 25 THEN 'R2' WHEN p_brand LIKE 'Brand#1%' THEN 'R3' END AS assigned FROM part")
@@ -295,21 +294,21 @@ def page(t):
     return S.history_page(t.events, "value", ["ts", "value"], True, "event_id", 15, 30).select("event_id", "value")
 
 
-@query("SELECT event_id, lower(json_extract_string(props, '$.k')) AS k FROM events ORDER BY k, event_id LIMIT 40")
+@query("SELECT event_id, lower(json_extract_string(props, '$.k')) AS k FROM events ORDER BY k, event_id")
 def sort_by_meta(t):
     k = F.lower(F.get_json_object("props", "$.k"))
-    return t.events.select("event_id", k.alias("k")).orderBy("k", "event_id").limit(40)
+    return t.events.select("event_id", k.alias("k")).orderBy("k", "event_id")
 
 
-@query("SELECT p_partkey FROM part ORDER BY p_type, p_size DESC, p_partkey LIMIT 30")
+@query("SELECT p_partkey FROM part ORDER BY p_type, p_size DESC, p_partkey")
 def sort_list(t):
-    return t.part.orderBy("p_type", F.desc("p_size"), "p_partkey").limit(30).select("p_partkey")
+    return t.part.orderBy("p_type", F.desc("p_size"), "p_partkey").select("p_partkey")
 
 
-@query("SELECT s_name FROM supplier ORDER BY try_cast(nullif(regexp_extract(s_name, '[0-9]+'), '') AS BIGINT) NULLS LAST, s_name LIMIT 25")
+@query("SELECT s_name FROM supplier ORDER BY try_cast(nullif(regexp_extract(s_name, '[0-9]+'), '') AS BIGINT) NULLS LAST, s_name")
 def natural_sort(t):
     n = F.nullif(F.regexp_extract("s_name", "[0-9]+", 0), F.lit("")).try_cast("long")
-    return t.supplier.orderBy(n.asc_nulls_last(), "s_name").limit(25).select("s_name")
+    return t.supplier.orderBy(n.asc_nulls_last(), "s_name").select("s_name")
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem ORDER BY 1, 2")

@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import selectors as S
+from ..session import shared_folder
 from ..sources import tables as T
 from .catalog import query
 
 
 def _scratch(t, name: str) -> str:
-    """A folder all executors share: below the checkpoint folder, or a local one where none is set, as in tests."""
+    """A folder all executors share."""
     import uuid
 
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or "file:/tmp/girder-checkpoints"
+    root = shared_folder(t.spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -95,11 +96,11 @@ def job_scan(t):
 
 
 @query("""SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS guid_a, CAST(l_suppkey AS VARCHAR) AS guid_b, CAST(l_linenumber AS DOUBLE) AS distance, l_returnflag AS kind
-  FROM lineitem WHERE l_linenumber <= 2 AND l_returnflag <> 'N'
-  UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), NULL, l_returnflag FROM lineitem WHERE l_linenumber <= 2 AND l_returnflag = 'N'""")
+  FROM lineitem WHERE l_returnflag <> 'N'
+  UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), NULL, l_returnflag FROM lineitem WHERE l_returnflag = 'N'""")
 def clash_report_pairs(t):
     """Reports in both layouts, flattened; text distances become null."""
-    rows = t.lineitem.where("l_linenumber <= 2").select(
+    rows = t.lineitem.select(
         F.col("l_orderkey").cast("string").alias("a"), F.col("l_suppkey").cast("string").alias("b"), F.col("l_returnflag").alias("f"),
         F.when(F.col("l_returnflag") == "N", "near").otherwise(F.col("l_linenumber").cast("string")).alias("d")).distinct()
     one = F.struct(F.lit("set").alias("name"), F.map_from_arrays(F.array(F.concat_ws("-", "a", "b")), F.array(F.struct(F.col("a").alias("a_global_id"), F.col("b").alias("b_global_id"), F.col("f").alias("type"), F.col("d").alias("distance")))).alias("clashes"))
@@ -124,9 +125,13 @@ def triples_out(t):
     return T.turtle(links.union(links).union(names)).select(F.regexp_replace("line", "urn://", "urn:").alias("line"))
 
 
-@query("SELECT p_partkey, CASE WHEN f = p_name THEN p_name ELSE concat(f, '-', substr(sha256(p_name), 1, 8)) END AS safe FROM (SELECT p_partkey, p_name, substr(regexp_replace(p_name, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 40) AS f FROM part)")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g') || '_' || lower(p_type) || '.ifc' WHEN 1 THEN regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g') || '_Agora.bcfzip'
+  WHEN 2 THEN 'file.ifc' WHEN 3 THEN regexp_replace(substr(repeat(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g') || 'x', 60), 1, 180), '-$', '') || '.ifc' ELSE regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g') END AS safe FROM part""")
 def safe_names(t):
-    return t.part.select("p_partkey", T.safe_name(F.col("p_name")).alias("safe"))
+    """Accents, blanks, an extension in capitals, nothing usable, a stem that is too long, and no extension."""
+    i, n = F.col("p_partkey") % 5, F.col("p_name")
+    raw = F.when(i == 0, F.concat(F.lit("up/loads/.. "), n, F.lit(" _ "), F.lower("p_type"), F.lit("(.IFC"))).when(i == 1, F.concat(n, F.lit(" Ågörâ.BCFZIP"))).when(i == 2, "- ü̈  ._.Ifc".replace("ü", "")).when(i == 3, F.concat(F.repeat(F.concat(F.regexp_replace(n, "[^A-Za-z0-9]+", "-"), F.lit("x")), 60), F.lit(".ifc"))).otherwise(F.concat(F.lit("a/"), n, F.lit("_ ")))
+    return t.part.select("p_partkey", T.safe_name(raw).alias("safe"))
 
 
 @query("SELECT p_partkey AS \"GlobalId\", p_name AS \"Name\" FROM part WHERE p_type NOT IN ('PROMO', 'ECONOMY')")
@@ -224,9 +229,11 @@ def live_state(t):
     return t.events.where("event_type <> 'purchase'").select("event_id")
 
 
-@query("SELECT p_partkey FROM part WHERE NOT (regexp_full_match(p_name, 'red .*') OR regexp_full_match(p_name, '.* ring') OR regexp_full_match(p_name, 'b..e bolt'))")
+@query("SELECT p_partkey FROM part WHERE NOT (p_name LIKE 'red %' OR p_type = 'LARGE' OR (substr(p_type, 1, 1) IN ('S', 'M') AND p_name LIKE '% ring') OR (p_type NOT LIKE 'P%' AND regexp_full_match(p_name, 'b..e bolt')))")
 def glob_ignore(t):
-    return t.part.where(~S.ignored(F.col("p_name"), ["red *", "* ring", "b??e bolt"])).select("p_partkey")
+    """by property, by set, by both with a class of letters, and by all but a class."""
+    path = F.concat(F.lit("Pset_"), F.col("p_type"), F.lit("."), F.col("p_name"))
+    return t.part.where(~S.ignored(path, ["*.red *", "Pset_LARGE.*", "Pset_[SM]*.* ring", "Pset_[!P]*.b??e bolt"])).select("p_partkey")
 
 
 @query("SELECT count(*) AS n, count_if(l_discount < 0.05) AS low_confidence, count_if(l_returnflag = 'N') AS wrong_status FROM lineitem")
@@ -240,10 +247,16 @@ def prefix_route(t):
     return t.part.select("p_partkey", S.route(F.col("p_name"), {"red": "electrical", "blue": "plumbing"}).alias("route"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_name = 'red bolt' THEN 'red bolt' WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' END AS prefix FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN CASE WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' END WHEN p_partkey % 4 = 2 THEN NULL
+  WHEN p_name = 'red bolt' THEN 'red bolt' WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' END AS prefix FROM part""")
 def longest_prefix(t):
+    """the longest code before a blank, dash or tab; behind an upload's mark; none before a dot; the first token, trimmed."""
+    i, n = F.col("p_partkey") % 4, F.col("p_name")
+    first = F.substring_index(n, " ", 1)
+    name = F.when(i == 0, F.concat(F.lit("a/"), n, F.lit("-plan.ifc"))).when(i == 1, F.concat(F.lit("DD00ab12cd-"), n, F.lit("\t2.ifc"))).when(i == 2, F.concat(F.lit("x#"), n, F.lit(".ifc"))).otherwise(F.concat(F.lit(" "), first, F.lit(" _plan.ifc")))
     table = t.rows([("red",), ("red bolt",), ("blue",), ("sm",)], "prefix string")
-    return S.longest_prefix(t.part.select("p_partkey", "p_name"), "p_name", "p_partkey", table, "prefix").select("p_partkey", "prefix")
+    rows = t.part.select("p_partkey", name.alias("name"))
+    return S.longest_prefix(rows, "name", "p_partkey", table, "prefix").select("p_partkey", "prefix")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS arg, event_id % 3 = 1 AS flag FROM events")

@@ -71,10 +71,10 @@ def point_in_box(t):
 _DIST = "sqrt(power(greatest(s.min_x - e.x, e.x - s.max_x, 0), 2) + power(greatest(s.min_y - e.y, e.y - s.max_y, 0), 2) + power(greatest(s.min_z - e.z, e.z - s.max_z, 0), 2))"
 
 
-@query(f"WITH {B} SELECT guid, round(d, 6) AS distance FROM (SELECT e.guid, {_DIST} AS d, row_number() OVER (PARTITION BY e.guid ORDER BY {_DIST}, s.guid) AS n FROM b e JOIN b s ON s.entity = 'IfcSpace' AND s.label = 0 AND e.entity = 'IfcWall') WHERE n = 1")
+@query(f"WITH {B} SELECT guid, round(d, 6) AS distance FROM (SELECT e.guid, {_DIST} AS d, row_number() OVER (PARTITION BY e.guid ORDER BY {_DIST}, s.guid) AS n FROM b e JOIN b s ON s.entity = 'IfcSpace' AND e.entity = 'IfcWall') WHERE n = 1")
 def nearest_box(t):
     b = boxes(t)
-    out = P.nearest_box(b.where("entity = 'IfcWall'").select("guid", "x", "y", "z"), b.where("entity = 'IfcSpace' AND label = 0").select(*_BOX), "guid", 0.05)
+    out = P.nearest_box(b.where("entity = 'IfcWall'").select("guid", "x", "y", "z"), b.where("entity = 'IfcSpace'").select(*_BOX), "guid", 0.05)
     return out.select("guid", F.round("distance", 6).alias("distance"))
 
 
@@ -185,15 +185,15 @@ def half_partition(t):
 @query(f"""WITH {B}, f AS ({_FACE}), iso AS (SELECT * FROM b WHERE guid NOT IN (SELECT guid_a FROM f UNION SELECT guid_b FROM f))
   SELECT guid_a, guid_b FROM (SELECT i.guid AS guid_a, o.guid AS guid_b, row_number() OVER (PARTITION BY i.guid ORDER BY power(i.x-o.x,2) + power(i.y-o.y,2), o.guid) AS n FROM iso i JOIN b o ON o.guid <> i.guid AND o.label = i.label) WHERE n = 1""")
 def isolated_nearest(t):
-    """Nodes in no edge get one to the nearest centre of their storey (labels have bounded members here)."""
+    """Nodes in no edge get one to the nearest centre of their storey, met over a grid."""
     b = boxes(t)
     f = P.face_adjacency(b.select(*_BOX), "label", 0.05, 0.1, CELL)
     linked = f.select(F.col("guid_a").alias("guid")).union(f.select("guid_b"))
     iso = b.join(linked, "guid", "left_anti")
-    other = b.select(F.col("guid").alias("guid_b"), F.col("x").alias("ox"), F.col("y").alias("oy"), "label")
-    d = F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)
-    pairs = iso.join(other, "label").where("guid <> guid_b")
-    return pairs.groupBy(F.col("guid").alias("guid_a")).agg(F.min(F.struct(d.alias("d"), F.col("guid_b"))).alias("m")).select("guid_a", F.col("m.guid_b").alias("guid_b"))
+    points = iso.select("guid", "label", "x", "y", F.lit(0.0).alias("z"))
+    centres = b.select("guid", "label", *[(F.lit(0.0) if ax == "z" else F.col(ax)).alias(f"{side}_{ax}") for side in ("min", "max") for ax in "xyz"])
+    near = P.nearest_box(points, centres, "guid", 0.05, (F.col("label") == F.col("s_label")) & (F.col("guid") != F.col("s_guid")), "xy")
+    return near.select(F.col("guid").alias("guid_a"), F.col("s_guid").alias("guid_b"))
 
 
 @query(f"""WITH {B} SELECT guid, round((max_x-min_x)*(max_y-min_y), 6) AS area, round((max_x-min_x)*(max_y-min_y)*(max_z-min_z), 6) AS volume, CAST(floor(min_x / 0.25) AS BIGINT) AS cx, round(sqrt(x*x + y*y), 6) AS plan, round(CASE WHEN z - min_z > 0.1 THEN least(max_z, min_z + 0.1) ELSE z END, 6) AS sample_z,

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import jobs as J
 from .catalog import query
 
-#: Error texts worth another try, and those that aren't; others are.
-RETRYABLE = r"(?i)Work-horse terminated|waitpid returned|signal \d+|timeout|timed out|ConnectionError|MemoryError|ENOMEM|Temporary failure|isolation strategies exhausted|kernel failure|Broken pipe|child.*exit"
-FINAL = r"(?i)VisitError|SyntaxError|JSONDecodeError|Invalid.*selector|KeyError|ValueError|FileNotFoundError|No such file|Recipe.*not found|Invalid JSON"
-
 
 @query("SELECT user_id % 10 AS old_file, user_id % 3 AS new_file, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) > 0 GROUP BY 1, 2")
 def diff_list(t):
@@ -26,9 +22,7 @@ def json_sizes(t):
     c = F.col("event_id")
     added = F.when(c % 3 == 0, "[]").when(c % 3 == 1, "[1]").otherwise('["a",2]')
     changed = F.when(c % 2 == 0, '{"x":1,"y":2}').otherwise('"none"')
-    size = lambda x: F.coalesce(F.json_array_length(x).cast("long"), F.lit(0).cast("long"))
-    keys = F.when(F.ltrim(changed).startswith("{"), F.size(F.json_object_keys(changed)).cast("long")).otherwise(F.lit(0).cast("long"))
-    return t.events.select("event_id", size(added).alias("added"), keys.alias("changed"))
+    return t.events.select("event_id", J.array_size(added).alias("added"), J.object_size(changed).alias("changed"))
 
 
 @query("SELECT event_id, ts FROM events WHERE event_type ILIKE '%ERR%' AND props ILIKE '%\"K\"%' ORDER BY ts DESC, event_id DESC LIMIT 1")
@@ -54,8 +48,7 @@ def gather(t):
 def retry_class(t):
     i = F.col("doc_id") % 4
     message = F.when(i == 0, "Timeout: KeyError").when(i == 1, "keyerror x").when(i == 2, "signal 9").otherwise("odd")
-    retryable = F.when(message.rlike(RETRYABLE), True).when(message.rlike(FINAL), False).otherwise(True)
-    return t.documents.select("doc_id", retryable.alias("retryable"), (retryable & (F.col("doc_id") % 5 < 3)).alias("can_retry"))
+    return t.documents.select("doc_id", J.retryable(message).alias("retryable"), J.can_retry(message, F.col("doc_id") % 5, 3).alias("can_retry"))
 
 
 @query("""WITH d AS (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) AS prefix FROM part WHERE p_partkey % 4 <> 0), l AS (SELECT * FROM (VALUES ('RED'), ('BLUE_X'), ('GREENISH'), ('THE SMALL')) v(layer)),
@@ -63,49 +56,40 @@ def retry_class(t):
   p AS (SELECT prefix, arg_max(layer, score * 1000 - length(layer)) AS layer, max(score) AS score FROM s GROUP BY 1)
   SELECT p_partkey, CASE WHEN score >= 65 THEN layer ELSE d.prefix END AS layer, CASE WHEN score >= 65 THEN 'matched_existing' ELSE 'new_layer_from_prefix' END AS reason FROM d JOIN p USING (prefix)""")
 def layer_plan(t):
-    """Linked documents are out; each prefix takes the best layer or becomes one. Prefixes and layers are few."""
-    layers = ["RED", "BLUE_X", "GREENISH", "THE SMALL"]
+    """Linked documents are out; each prefix takes the best layer or becomes one."""
     linked = t.part.where("p_partkey % 4 = 0").select("p_partkey")
-    docs = t.part.join(linked, "p_partkey", "left_anti").withColumn("prefix", F.upper(F.substring_index("p_name", " ", 1)))
-    p = F.col("prefix")
-
-    def score(layer: str):
-        x = F.lit(layer)
-        return F.when(p == x, 100).when(p == layer.split("_")[0], 95).when(x.startswith(p) | p.startswith(x), 80).when(x.contains(p) | p.contains(x), 65).otherwise(0)
-
-    best = F.greatest(*[F.struct(score(x).alias("score"), F.lit(-len(x)).alias("short"), F.lit(x).alias("layer")) for x in layers])
-    out = docs.withColumn("best", best)
-    ok = F.col("best.score") >= 65
-    return out.select("p_partkey", F.when(ok, F.col("best.layer")).otherwise(p).alias("layer"), F.when(ok, "matched_existing").otherwise("new_layer_from_prefix").alias("reason"))
+    return J.plan_layers(t.part, linked, "p_partkey", F.upper(F.substring_index("p_name", " ", 1)), ["RED", "BLUE_X", "GREENISH", "THE SMALL"])
 
 
 @query("SELECT count(*) AS registered, count_if(p_partkey % 3 = 0) AS created, count_if(p_partkey % 3 <> 0) AS create_failed, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS layers FROM part WHERE p_partkey % 4 <> 0")
 def plan_summary(t):
-    created = t.part.where("p_partkey % 3 = 0").select("p_partkey", F.lit(True).alias("ok"))
-    rows = t.part.where("p_partkey % 4 <> 0").join(created, "p_partkey", "left")
-    return rows.agg(F.count("*").alias("registered"), F.count("ok").alias("created"), F.count_if(F.col("ok").isNull()).alias("create_failed"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("layers"))
+    """N11."""
+    return J.plan_summary(t.part.where("p_partkey % 4 <> 0"), t.part.where("p_partkey % 3 = 0"), "p_partkey", "p_type")
 
 
 @query("SELECT n_name, r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) USING (i)")
 def combine_by_position(t):
-    """Two short item lists zipped by place."""
-    a = t.nation.select("n_name", F.row_number().over(Window.orderBy("n_nationkey")).alias("i"))
-    return a.join(t.region.select("r_name", F.row_number().over(Window.orderBy("r_regionkey")).alias("i")), "i").select("n_name", "r_name")
+    """Two item lists zipped by place."""
+    return J.combine(t.nation.select("n_name", "n_nationkey"), t.region.select("r_name", "r_regionkey"), "by_position", ["n_nationkey"], ["r_regionkey"]).select("n_name", "r_name")
+
+
+@query("SELECT c_custkey, r_name FROM customer, region")
+def combine_all(t):
+    """Each item with each of a short list."""
+    return J.combine(t.customer.select("c_custkey"), t.region.select("r_name"), "all")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 2 = 0 THEN 'failed' END AS status FROM events")
 def status_merge(t):
     status = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
     error = F.when(F.col("event_id") % 2 == 0, "boom")
-    return t.events.select("event_id", F.coalesce(status, F.when(error.isNotNull(), "failed")).alias("status"))
+    return t.events.select("event_id", J.merged_status(status, error).alias("status"))
 
 
 @query("SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'click,view' END AS batches FROM events GROUP BY user_id")
 def batch_choice(t):
-    allowed = F.array(F.lit("click"), F.lit("view"))
     asked = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("click"), F.lit("other"))).otherwise(F.array(F.lit("none")))
-    chosen = F.array_intersect(allowed, asked)
-    return t.events.select("user_id").distinct().select("user_id", F.array_join(F.when(F.size(chosen) > 0, chosen).otherwise(allowed), ",").alias("batches"))
+    return t.events.select("user_id").distinct().select("user_id", F.array_join(J.chosen(asked, ["click", "view"]), ",").alias("batches"))
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20")
@@ -120,9 +104,7 @@ def change_paths(t):
     two = F.struct(F.lit("1").alias("old_value"), F.lit("2").alias("new_value"))
     tree = F.when(F.col("event_id") % 2 == 0, F.map_from_arrays(F.array(F.lit("root['Name']"), F.lit("root['Psets']['Common']")), F.array(value, two))).otherwise(F.map_from_arrays(F.array(F.lit("root['Name']")), F.array(value)))
     doc = F.to_json(F.struct(tree.alias("values_changed")))
-    rows = t.events.select("event_id", F.explode(F.from_json(doc, "struct<values_changed:map<string,struct<old_value:string,new_value:string>>>")["values_changed"]).alias("path", "v"))
-    pretty = F.array_join(F.regexp_extract_all("path", F.lit(r"\['([^']*)'\]"), 1), ".")
-    return rows.select("event_id", pretty.alias("path"), "v.old_value", "v.new_value")
+    return J.change_rows(t.events.select("event_id", doc.alias("doc")), "event_id", "doc")
 
 
 @query("SELECT doc_id, upper(substr(trim(lang), 1, 2)) AS lang, concat_ws('-', lang, source) AS tag, sha256(source) AS digest, array_to_string(list_distinct_sorted, ',') AS numbers FROM (SELECT *, (SELECT list(m ORDER BY i) FROM (SELECT m, min(i) AS i FROM (SELECT unnest(regexp_extract_all(text, '[0-9]{3}')) AS m, generate_subscripts(regexp_extract_all(text, '[0-9]{3}'), 1) AS i) GROUP BY m)) AS list_distinct_sorted FROM documents)")
@@ -160,4 +142,4 @@ def uri_local_name(t):
 def pretty_paths(t):
     """A bracketed property path as a dotted one."""
     raw = F.concat(F.lit("root['Psets']['"), F.col("l_returnflag"), F.lit("']['"), F.col("l_linestatus"), F.lit("']"))
-    return t.lineitem.select(F.col("l_partkey").alias("guid"), F.array_join(F.regexp_extract_all(raw, F.lit(r"\['([^']*)'\]"), 1), ".").alias("path"))
+    return t.lineitem.select(F.col("l_partkey").alias("guid"), J.pretty_path(raw).alias("path"))

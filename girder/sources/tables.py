@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def write_back(df: DataFrame, edits: DataFrame, key: str, columns: list[str], nu
 
 def pinned_or_head(versions: DataFrame, pins: DataFrame, key: str, version: str, created: Column) -> DataFrame:
     """Per key the pinned version where the pins name one that exists, else the newest."""
-    marked = versions.join(F.broadcast(pins.select(key, F.col(version).alias("_pin"))), key, "left")
+    marked = versions.join(pins.select(key, F.col(version).alias("_pin")), key, "left")  # pins grow with the keys
     order = [F.coalesce(F.col(version) == F.col("_pin"), F.lit(False)).desc(), created.desc(), F.col(version).desc()]
     ranked = marked.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.where("_n = 1").withColumn("pinned", F.coalesce(F.col(version) == F.col("_pin"), F.lit(False))).drop("_n", "_pin")
@@ -80,11 +82,27 @@ def append_objects(objects: DataFrame, content: str, parent: str) -> tuple[DataF
     return versions.drop(content), edges
 
 
-def safe_name(name: Column, length: int = 40) -> Column:
-    """A file name of letters, digits, dot, dash and underscore; changed names get 8 digits of their hash."""
-    folded = F.regexp_replace(F.translate(name, "åäöéèüÅÄÖÉÈÜ", "aaoeeuAAOEEU"), r"[^A-Za-z0-9._-]+", "_")
-    folded = F.substring(F.regexp_replace(folded, r"^[._]+|[._]+$", ""), 1, length)
-    return F.when(folded == name, name).otherwise(F.concat(folded, F.lit("-"), F.substring(F.sha2(name, 256), 1, 8)))
+def _ascii_letters() -> tuple[str, str]:
+    """Characters whose compatibility decomposition has one ASCII character, and those characters."""
+    folds = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in (*range(0xA0, 0x250), *range(0x1E00, 0x2160), *range(0xFF01, 0xFF5F))]
+    own = [(c, a) for c, a in folds if len(a) == 1]
+    return "".join(c for c, _ in own), "".join(a for _, a in own)
+
+
+def safe_name(name: Column, length: int = 180) -> Column:
+    """The last part of a path as a file name of letters, digits, dot, dash and underscore, the extension in lower case.
+
+    Letters lose their accents; other characters beyond ASCII go; any other run becomes one underscore. The stem has at
+    most ``length`` characters, and is ``file`` where nothing is left of it.
+    """
+    base = F.regexp_replace(name, "^.*/", "")
+    parts = r"(?s)^(\.*[^.].*)(\.[^.]*)$"
+    whole = base.rlike(parts)
+    stem, extension = F.when(whole, F.regexp_extract(base, parts, 1)).otherwise(base), F.when(whole, F.lower(F.regexp_extract(base, parts, 2))).otherwise("")
+    stem = F.regexp_replace(F.translate(stem, *_ascii_letters()), r"[^\x00-\x7F]", "")
+    stem = F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9._-]+", "_"), "_+", "_")
+    stem = F.regexp_replace(F.regexp_replace(stem, "^[._-]+|[._-]+$", "").substr(1, length), "[._-]+$", "")
+    return F.concat(F.when(stem == "", "file").otherwise(stem), extension)
 
 
 def clash_pairs(reports: DataFrame, column: str) -> DataFrame:
