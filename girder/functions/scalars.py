@@ -88,6 +88,11 @@ def overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
     return F.least(hi1, hi2) - F.greatest(lo1, lo2)
 
 
+def midpoint(a: Column, b: Column) -> Column:
+    """The point half way between two points, as arrays; null where either is."""
+    return F.zip_with(a, b, lambda x, y: (x + y) / 2)
+
+
 def box_distance(x: Column, y: Column, z: Column, box: str) -> Column:
     """Distance of a point to a box given by the prefix of its columns."""
     axis = lambda p, a: F.greatest(F.col(f"{box}min_{a}") - p, p - F.col(f"{box}max_{a}"), F.lit(0.0))

@@ -35,6 +35,30 @@ def space_function(long_name: Column, name: Column, reference: Column) -> Column
     return slug_ladder(F.upper(labels), SPACE_FUNCTIONS)
 
 
+def assign_by_rules(elements: DataFrame, key: str, rules: list[tuple[Column, str]], owner: Column, current: Column, overwrite: bool = False) -> DataFrame:
+    """(key, assigned, written, reason): the value of the first rule that fits, in their order.
+
+    Elements with another owner (a reference that isn't blank or ``undefined``) are skipped; unless ``overwrite``, those
+    with a value keep it. Rules without a value don't count.
+    """
+    owned = ~F.coalesce(F.lower(F.trim(owner)).isin("", "undefined"), F.lit(True))
+    fits = F.lit(None).cast("string")
+    for where, value in reversed([r for r in rules if r[1]]):
+        fits = F.when(F.coalesce(where, F.lit(False)), F.lit(value)).otherwise(fits)
+    kept = F.nullif(F.trim(current), F.lit(""))
+    rows = elements.select(F.col(key), fits.alias("_fits"), owned.alias("_owned"), kept.alias("_kept"))
+    stays = F.col("_kept").isNotNull() & F.lit(not overwrite)
+    reason = F.when(F.col("_fits").isNull(), "no_rule").when(F.col("_owned"), "duplicate_owned").when(stays, "has_value").otherwise("written")
+    return rows.select(key, F.when(reason == "written", F.col("_fits")).otherwise(F.col("_kept")).alias("assigned"), (reason == "written").alias("written"), reason.alias("reason"))
+
+
+def unfilled_passages(openings: DataFrame, fills: DataFrame, max_sill: float, least_width: float, least_height: float) -> DataFrame:
+    """Openings (guid, sill, width, height) that no door or window fills, low enough above their storey and large enough;
+    unknown measures pass."""
+    free = openings.join(fills.select("guid").distinct(), "guid", "left_anti")
+    return free.where(F.coalesce(F.col("sill") <= max_sill, F.lit(True)) & F.coalesce(F.col("width") >= least_width, F.lit(True)) & F.coalesce(F.col("height") >= least_height, F.lit(True)))
+
+
 def check_specs(elements: DataFrame, key: str, specs: list[tuple[str, str, Column, Column, str]]) -> DataFrame:
     """Long results (guid, rule, passed, reason) of specs (specification, requirement, applies, holds, reason).
 
@@ -82,6 +106,12 @@ def storey_tops(storeys: DataFrame, building: str) -> DataFrame:
     return storeys.withColumn("top", F.lead("elevation").over(Window.partitionBy(building).orderBy("elevation", "guid")))
 
 
+#: Methods of links over stairs and lifts.
+VERTICAL = ("stair_element", "transport_element", "transport_element_namefallback")
+
+
 def egress_summary(edges: DataFrame) -> DataFrame:
-    """Distinct portals, links, cross-storey links and links by method of edges (portal, space, method, crosses)."""
-    return edges.agg(F.count_distinct("portal").alias("portals"), F.count("*").alias("links"), F.count_if("crosses").alias("cross_storey"), F.count_distinct("method").alias("methods"))
+    """Distinct portals, links, the methods' label, links that cross storeys and links over stairs and lifts, of edges
+    (portal, space, method, crosses)."""
+    label = F.array_join(F.array_sort(F.collect_set("method")), "+")
+    return edges.agg(F.count_distinct("portal").alias("portals"), F.count("*").alias("links"), F.when(F.count("method") > 0, label).otherwise("none").alias("method"), F.count_if("crosses").alias("cross_storey"), F.count_if(F.col("method").isin(*VERTICAL)).alias("stair_links"))

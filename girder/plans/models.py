@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import graphs as G
+from ..operators import ladders as D
 from ..operators import lineage as L
 from ..operators import relational as R
 from ..operators import rules as V
@@ -209,16 +210,21 @@ def boundary_map(t):
     return b.select("portal", F.array_join(F.array_sort("s"), ",").alias("spaces"))
 
 
-@query("SELECT count(DISTINCT l_orderkey) AS portals, count(*) AS links, count_if(l_linestatus = 'F') AS cross_storey, count(DISTINCT l_returnflag) AS methods FROM lineitem")
+@query("SELECT count(DISTINCT l_orderkey) AS portals, count(*) AS links, 'navmesh+plan_sides+stair_element' AS method, count_if(l_linestatus = 'F') AS cross_storey, count_if(l_returnflag = 'R') AS stair_links FROM lineitem")
 def egress_summary(t):
-    return V.egress_summary(t.lineitem.select(F.col("l_orderkey").alias("portal"), F.col("l_suppkey").alias("space"), F.col("l_returnflag").alias("method"), (F.col("l_linestatus") == "F").alias("crosses")))
+    method = F.when(F.col("l_returnflag") == "R", "stair_element").when(F.col("l_returnflag") == "A", "plan_sides").otherwise("navmesh")
+    return V.egress_summary(t.lineitem.select(F.col("l_orderkey").alias("portal"), F.col("l_suppkey").alias("space"), method.alias("method"), (F.col("l_linestatus") == "F").alias("crosses")))
 
 
-@query("SELECT 'storey' AS relation, o_orderkey AS space, CAST(o_custkey AS VARCHAR) AS target FROM orders UNION ALL SELECT DISTINCT 'zone', o_orderkey, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey")
+@query("""SELECT 'storey' AS relation, o_orderkey AS space, CAST(o_custkey AS VARCHAR) AS target FROM orders UNION ALL SELECT DISTINCT 'zone', o_orderkey, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT 'apartment', p_partkey, CASE WHEN p_partkey % 7 = 1 THEN 'given' ELSE coalesce((SELECT CAST(min(q.p_partkey) AS VARCHAR) FROM part q WHERE q.p_partkey % 5 = 0 AND q.p_size = part.p_size), '2-' || p_size) END FROM part WHERE p_partkey % 5 BETWEEN 1 AND 2 OR (p_partkey % 7 = 1 AND p_partkey % 5 <> 0)""")
 def space_edges(t):
     a = t.orders.select(F.lit("storey").alias("relation"), F.col("o_orderkey").alias("space"), F.col("o_custkey").cast("string").alias("target"))
     z = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.lit("zone").alias("relation"), F.col("o_orderkey").alias("space"), F.col("c_mktsegment").alias("target")).distinct()
-    return a.unionByName(z)
+    i = F.col("p_partkey") % 5
+    name = F.when(i == 0, F.concat(F.lit(" 2-"), F.col("p_size").cast("string"))).when(i <= 2, F.concat(F.lit("2-"), F.col("p_size").cast("string"), F.lit("-"), i.cast("string"))).otherwise("hall")
+    rooms = t.part.select(F.col("p_partkey").alias("guid"), name.alias("name"), F.when(F.col("p_partkey") % 7 == 1, "given ").otherwise(" ").alias("stated"))
+    return a.unionByName(z).unionByName(D.apartment_zones(rooms).select(F.lit("apartment").alias("relation"), "space", F.col("zone").alias("target")))
 
 
 @query("SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name <> r_name")
@@ -234,6 +240,36 @@ def triple_edges(t):
     return out.where("a <> b").select("a", "b")
 
 
+_RDFS, _RDF = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
+
+@query(f"""WITH c AS (SELECT 'urn:c' || c_custkey AS s, 'urn:n' || c_nationkey AS o FROM customer), sc AS (SELECT 'urn:Element' AS lo, 'urn:Product' AS hi UNION ALL SELECT 'urn:Product', 'urn:Root' UNION ALL SELECT 'urn:Zone', 'urn:Root'),
+  d AS (SELECT s, 'urn:in' AS p, o FROM c UNION SELECT s, 'urn:within', o FROM c UNION SELECT s, '{_RDF}type', x FROM c, (VALUES ('urn:Element'), ('urn:Product'), ('urn:Root')) v(x) UNION SELECT o, '{_RDF}type', x FROM c, (VALUES ('urn:Zone'), ('urn:Root')) v(x)
+    UNION SELECT lo, '{_RDFS}subClassOf', hi FROM sc UNION SELECT 'urn:Element', '{_RDFS}subClassOf', 'urn:Root' UNION SELECT 'urn:in', '{_RDFS}subPropertyOf', 'urn:within' UNION SELECT 'urn:within', '{_RDFS}domain', 'urn:Element' UNION SELECT 'urn:in', '{_RDFS}range', 'urn:Zone')
+  SELECT s, p, o FROM d""")
+def inferred_triples(t):
+    """What the schema's classes, properties, domains and ranges entail for all customers."""
+    key = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    data = t.customer.select(key("urn:c", "c_custkey").alias("s"), F.lit("urn:in").alias("p"), key("urn:n", "c_nationkey").alias("o"))
+    schema = [("urn:Element", "subClassOf", "urn:Product"), ("urn:Product", "subClassOf", "urn:Root"), ("urn:Zone", "subClassOf", "urn:Root"), ("urn:in", "subPropertyOf", "urn:within"), ("urn:within", "domain", "urn:Element"), ("urn:in", "range", "urn:Zone")]
+    return D.rdfs(data.unionByName(t.rows([(s, _RDFS + p, o) for s, p, o in schema], "s string, p string, o string")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'old' WHEN o_orderstatus = 'F' AND o_orderkey % 5 <> 0 THEN 'C1' WHEN o_totalprice > 200000 AND o_orderkey % 5 <> 0 THEN 'C2' END AS assigned, o_orderkey % 6 <> 0 AND o_orderkey % 5 <> 0 AND (o_orderstatus = 'F' OR o_totalprice > 200000) AS written, CASE WHEN NOT (o_orderstatus = 'F' OR o_totalprice > 200000) THEN 'no_rule' WHEN o_orderkey % 5 = 0 THEN 'duplicate_owned' WHEN o_orderkey % 6 = 0 THEN 'has_value' ELSE 'written' END AS reason FROM orders")
+def assign_by_rules(t):
+    """The first rule that fits, but for elements that another one owns or that have a value."""
+    owner = F.when(F.col("o_orderkey") % 5 == 0, "other").when(F.col("o_orderkey") % 3 == 0, " Undefined")
+    return V.assign_by_rules(t.orders, "o_orderkey", [(F.col("o_orderstatus") == "F", "C1"), (F.lit(True), ""), (F.col("o_totalprice") > 200000, "C2")], owner, F.when(F.col("o_orderkey") % 6 == 0, "old"))
+
+
+@query("SELECT l_orderkey AS element, CAST(l_suppkey AS VARCHAR) AS space, CASE WHEN l_linenumber = 1 THEN 0.9 ELSE l_discount END AS confidence FROM lineitem WHERE l_returnflag = 'A' AND (l_linenumber = 1 OR l_discount >= 0.05)")
+def stamped_rooms(t):
+    """Rooms by the stamp on each element."""
+    status = F.when(F.col("l_returnflag") == "A", "Contained ").when(F.col("l_returnflag") == "R", "Ambiguous").otherwise("")
+    score = F.when(F.col("l_linenumber") == 1, "n/a").otherwise(F.col("l_discount").cast("string"))
+    return D.stamped_rooms(t.lineitem.select(F.col("l_orderkey").alias("element"), F.col("l_suppkey").cast("string").alias("space"), status.alias("status"), score.alias("confidence")), 0.05)
+
+
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' WHEN regexp_matches(text, '(?i)token|password') THEN 'secret' WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 'english' END AS slug, regexp_extract(text, '\\b(\\d{3})-\\d{3,}', 1) AS prefix FROM documents""")
 def label_ladder(t):
     rules = [("license", "license"), ("token|password", "secret"), (r"\bthe\b", "english")]

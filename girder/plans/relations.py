@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import changes as C
+from ..operators import ladders as D
 from ..operators import relational as R
 from ..operators import selectors as S
 from .catalog import query
@@ -261,13 +262,20 @@ def opening_chain(t):
     return R.opening_chain(fills, voids, hosts).select("element", F.col("host.o_custkey").alias("host"))
 
 
-@query("""SELECT c_custkey AS child, parent, score FROM (SELECT c.c_custkey, s.s_suppkey AS parent, CASE WHEN c.c_custkey % 100 = s.s_suppkey THEN 200 ELSE 0 END + CASE WHEN abs(c_acctbal - s_acctbal) < 100 THEN 25 ELSE 0 END AS score,
-  row_number() OVER (PARTITION BY c.c_custkey ORDER BY CASE WHEN c.c_custkey % 100 = s.s_suppkey THEN 200 ELSE 0 END + CASE WHEN abs(c_acctbal - s_acctbal) < 100 THEN 25 ELSE 0 END DESC, abs(c_acctbal - s_acctbal), s_suppkey) AS n
-  FROM customer c JOIN supplier s ON c_nationkey = s_nationkey) WHERE n = 1 AND score > 0""")
+@query("""WITH p AS (SELECT s_suppkey + 1000000 AS id, md5(CAST(s_nationkey AS VARCHAR)) AS guid, s_suppkey * 17 AS tag, s_nationkey AS container, s_name AS name FROM supplier),
+  c AS (SELECT c_custkey AS id, substr(md5(CAST(c_nationkey % 7 AS VARCHAR)), 1, CAST(6 + c_custkey % 20 AS INT)) || 'z' AS guid, c_custkey AS tag, c_nationkey AS container, CASE WHEN c_custkey % 10 = 0 THEN 'my supplier:2' ELSE c_name END AS name, CASE WHEN c_custkey % 13 = 0 THEN CAST((c_custkey % 50 + 1) * 17 AS VARCHAR) END AS ref FROM customer),
+  x AS (SELECT c.id AS child, p.id AS parent, CASE WHEN ref = CAST(p.tag AS VARCHAR) THEN 200.0 ELSE 0 END + CASE WHEN length(c.guid) >= 8 AND substr(c.guid, 1, 8) = substr(p.guid, 1, 8) THEN 100 + length(c.guid) - 1 - 8 ELSE 0 END
+    + CASE WHEN c.tag > p.tag AND c.tag - p.tag <= 100 THEN 50.0 * (1 - (c.tag - p.tag) / 100.0) ELSE 0 END + CASE WHEN c.container = p.container THEN 25 ELSE 0 END
+    + CASE WHEN contains(lower(split_part(c.name, ':', 1)), 'supplier') AND (ref = CAST(p.tag AS VARCHAR) OR (length(c.guid) >= 8 AND substr(c.guid, 1, 8) = substr(p.guid, 1, 8)) OR (c.tag > p.tag AND c.tag - p.tag <= 100) OR c.container = p.container) THEN 10 ELSE 0 END AS score, CASE WHEN c.tag > p.tag THEN c.tag - p.tag END AS distance FROM c, p)
+  SELECT child, parent, round(CAST(score AS DOUBLE), 6) AS score, distance FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY score DESC, distance NULLS LAST, parent) AS n FROM x WHERE score > 0) WHERE n = 1""")
 def best_parent(t):
-    pairs = t.customer.join(t.supplier, F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("child"), F.col("s_suppkey").alias("parent"), F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("d"))
-    score = F.when(F.col("child") % 100 == F.col("parent"), 200).otherwise(0) + F.when(F.col("d") < 100, 25).otherwise(0)
-    return R.best_parents(pairs, "child", "parent", score, F.col("d")).select("child", "parent", "score")
+    """By reference, common beginning, number, container and family."""
+    n, c = F.col("s_nationkey").cast("string"), F.col
+    parents = t.supplier.select((c("s_suppkey") + 1000000).alias("id"), F.md5(n).alias("guid"), (c("s_suppkey") * 17).alias("tag"), c("s_nationkey").alias("container"), c("s_name").alias("name"))
+    guid = F.concat(F.substring(F.md5((c("c_nationkey") % 7).cast("string")), F.lit(1), (6 + c("c_custkey") % 20).cast("int")), F.lit("z"))
+    ref = F.when(c("c_custkey") % 13 == 0, ((c("c_custkey") % 50 + 1) * 17).cast("string"))
+    children = t.customer.select(c("c_custkey").alias("id"), guid.alias("guid"), c("c_custkey").alias("tag"), c("c_nationkey").alias("container"), F.when(c("c_custkey") % 10 == 0, "my supplier:2").otherwise(c("c_name")).alias("name"), ref.alias("ref"))
+    return D.match_children(parents, children).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT s_suppkey AS guid FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer) INTERSECT SELECT p_partkey FROM part")

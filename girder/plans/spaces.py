@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import ladders as D
+from ..operators import rules as V
 from ..operators import spatial as P
 from .catalog import query
 
@@ -223,14 +225,24 @@ def point_dedupe(t):
     return P.sample_points(rows, "guid", "points", 24, 0.2).select("guid", F.size("points").alias("n_points"))
 
 
-@query(f"""WITH {B}, d AS (SELECT guid AS door, x, y, z, label FROM b WHERE entity = 'IfcDuctSegment'), c AS (SELECT door, s.guid AS space, row_number() OVER (PARTITION BY door ORDER BY {_DIST}, s.guid) AS n, count(*) OVER (PARTITION BY door) AS m FROM d e JOIN b s ON s.entity = 'IfcSpace' AND {_DIST} <= 0.15)
-  SELECT door, least(p.space, q.space) AS space_a, greatest(p.space, q.space) AS space_b FROM c p JOIN c q USING (door) WHERE p.n = 1 AND q.n = 2""")
+_SIDE = "FROM b d JOIN b s ON s.entity = 'IfcSpace' AND d.entity = 'IfcDuctSegment' AND d.y BETWEEN s.min_y AND s.max_y AND d.z BETWEEN s.min_z AND s.max_z"
+
+
+@query(f"""WITH {B}, e AS (SELECT guid, x, y, z FROM b WHERE entity = 'IfcDuctSegment'), near AS (SELECT * FROM (SELECT e.guid AS door, s.guid AS space, row_number() OVER (PARTITION BY e.guid ORDER BY {_DIST}, s.guid) AS n FROM e JOIN b s ON s.entity = 'IfcSpace' AND {_DIST} <= 0.15) WHERE n <= 2),
+  side AS (SELECT d.guid AS door, min(struct_pack(a := (s.max_x-s.min_x)*(s.max_y-s.min_y), g := s.guid)) AS m {_SIDE} AND d.min_x - 0.02 BETWEEN s.min_x AND s.max_x GROUP BY 1 UNION ALL SELECT d.guid, min(struct_pack(a := (s.max_x-s.min_x)*(s.max_y-s.min_y), g := s.guid)) {_SIDE} AND d.max_x + 0.02 BETWEEN s.min_x AND s.max_x GROUP BY 1),
+  link AS (SELECT guid AS door, 0 AS r, 'space_boundary' AS method, guid % 9 + 1 AS space FROM b WHERE entity = 'IfcDuctSegment' AND guid % 4 = 0 UNION ALL SELECT guid, 0, 'space_boundary', guid % 5 + 20 FROM b WHERE entity = 'IfcDuctSegment' AND guid % 4 = 0 UNION ALL SELECT door, 1, 'plan_sides', m.g FROM side UNION ALL SELECT door, 2, 'nearest', space FROM near),
+  two AS (SELECT door, r, method, min(space) AS space_a, max(space) AS space_b FROM link GROUP BY 1, 2, 3 HAVING count(DISTINCT space) = 2)
+  SELECT door, space_a, space_b, method FROM (SELECT *, row_number() OVER (PARTITION BY door ORDER BY r) AS k FROM two) WHERE k = 1""")
 def door_pairs(t):
-    """A door links the two nearest spaces within reach, if there are two."""
+    """By the model's boundaries, else by the spaces on both sides, else the two nearest within reach."""
     b = boxes(t)
-    near = P.near_boxes(b.where("entity = 'IfcDuctSegment'").select(F.col("guid").alias("door"), "x", "y", "z"), b.where("entity = 'IfcSpace'").select(*_BOX), "door", 0.15, 2)
-    two = near.groupBy("door").agg(F.min("s_guid").alias("space_a"), F.max("s_guid").alias("space_b"), F.count("*").alias("n"))
-    return two.where("n = 2").drop("n")
+    doors, spaces = b.where("entity = 'IfcDuctSegment'"), b.where("entity = 'IfcSpace'").select(*_BOX)
+    linked = doors.where("guid % 4 = 0").select(F.col("guid").alias("door"), F.explode(F.array(F.col("guid") % 9 + 1, F.col("guid") % 5 + 20)).alias("space"))
+    points = doors.select(F.col("guid").alias("door"), "y", "z", F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("min_x") - 0.02).alias("x")), F.struct(F.lit(1).alias("side"), (F.col("max_x") + 0.02).alias("x")))).alias("s"))
+    points = points.select(F.struct("door", "s.side").alias("key"), "door", "s.x", "y", "z")
+    sides = P.smallest_container(points, spaces, "key", CELL, "area").select("key.door", "space")
+    near = P.near_boxes(doors.select(F.col("guid").alias("door"), "x", "y", "z"), spaces, "door", 0.15, 2).select("door", F.col("s_guid").alias("space"), "rank")
+    return D.door_spaces(linked, sides, near)
 
 
 @query(f"WITH {B} SELECT guid FROM b WHERE entity = 'IfcSlab' AND guid % 3 <> 0 AND (guid % 11 = 0 OR (min_z - floor(min_z / 0.1) * 0.1 <= 0.06 AND max_x - min_x >= 0.1 AND max_z - min_z >= 0.1))")
@@ -238,9 +250,9 @@ def passages(t):
     """Openings without a fill, low sill above the storey, wide and high enough; unknown geometry passes."""
     c = F.col
     known = lambda x: F.when(c("guid") % 11 != 0, x)
-    sill = c("min_z") - F.floor(c("min_z") / 0.1) * 0.1
-    rows = boxes(t).where("entity = 'IfcSlab' AND guid % 3 <> 0")
-    return rows.where(F.coalesce(known((sill <= 0.06) & (c("max_x") - c("min_x") >= 0.1) & (c("max_z") - c("min_z") >= 0.1)), F.lit(True))).select("guid")
+    slabs = boxes(t).where("entity = 'IfcSlab'")
+    rows = slabs.select("guid", known(c("min_z") - F.floor(c("min_z") / 0.1) * 0.1).alias("sill"), known(c("max_x") - c("min_x")).alias("width"), known(c("max_z") - c("min_z")).alias("height"))
+    return V.unfilled_passages(rows, slabs.where("guid % 3 = 0"), 0.06, 0.1, 0.1).select("guid")
 
 
 @query(f"WITH {B} SELECT guid, CAST(floor(min_z / 0.2) AS BIGINT) AS low, CAST(floor(max_z / 0.2) AS BIGINT) AS high FROM b WHERE floor(min_z / 0.2) <> floor(max_z / 0.2) AND max_z - min_z >= 0.2")
@@ -250,25 +262,58 @@ def stair_links(t):
     return boxes(t).where((low != high) & (F.col("max_z") - F.col("min_z") >= 0.2)).select("guid", low.alias("low"), high.alias("high"))
 
 
+@query(f"""WITH {B}, v AS (SELECT guid, unnest([min_x, x, max_x, max_x]) AS x, unnest([min_y, y, max_y, min_y]) AS y, unnest([min_z, z, max_z, min_z + 0.05]) AS z FROM b),
+  k AS (SELECT guid, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM v GROUP BY 1 HAVING max(z) - min(z) >= 0.2), e AS (SELECT v.*, k.* EXCLUDE (guid), greatest(0.06, 0.2 * (hz - lz)) AS band FROM v JOIN k USING (guid))
+  SELECT guid, 'base' AS landing, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(min(lz), 6) AS z FROM e WHERE z <= lz + band GROUP BY 1 UNION ALL SELECT guid, 'top', round(avg(x), 6), round(avg(y), 6), round(max(hz), 6) FROM e WHERE z >= hz - band GROUP BY 1
+  UNION ALL SELECT guid, 'middle_low', round((lx + hx) / 2, 6), round((ly + hy) / 2, 6), round(lz, 6) FROM k UNION ALL SELECT guid, 'middle_high', round((lx + hx) / 2, 6), round((ly + hy) / 2, 6), round(hz, 6) FROM k""")
+def stair_landings(t):
+    """The centres of the lowest and highest band of each stair's vertices, and the middle of its box."""
+    c = F.col
+    spots = F.array(*[F.struct(x.alias("x"), y.alias("y"), z.alias("z")) for x, y, z in ((c("min_x"), c("min_y"), c("min_z")), (c("x"), c("y"), c("z")), (c("max_x"), c("max_y"), c("max_z")), (c("max_x"), c("min_y"), c("min_z") + 0.05))])
+    out = D.stair_landings(boxes(t).select("guid", F.explode(spots).alias("v")).select("guid", "v.*"), "guid", 0.2, 0.2, 0.06)
+    return out.select("guid", "landing", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
+@query(f"WITH {B} SELECT guid, round((min_x + max_x) / 2, 6) AS x, round((min_y + max_y) / 2, 6) AS y, round((min_z + max_z) / 2, 6) AS z FROM b")
+def midpoints(t):
+    """Half way between two points."""
+    at = lambda side: F.array(*[F.col(f"{side}_{a}") for a in "xyz"])
+    rows = boxes(t).select("guid", X.midpoint(at("min"), at("max")).alias("m"))
+    return rows.select("guid", *[F.round(F.col("m")[i], 6).alias(a) for i, a in enumerate("xyz")])
+
+
 @query(f"""WITH {B}, o AS (SELECT label, CASE WHEN max(x) - min(x) >= max(y) - min(y) THEN 'x' ELSE 'y' END AS axis, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM b GROUP BY 1)
   SELECT b.guid, concat('z', b.label, CASE WHEN CASE axis WHEN 'x' THEN x < mx ELSE y < my END THEN 'A' ELSE 'B' END) AS zone FROM b JOIN o USING (label)""")
 def takt_zones(t):
-    """Derived zones: storey and half along the axis of the larger spread, x on ties."""
+    """G25, last rung: derived zones: storey and half along the axis of the larger spread, x on ties."""
+    return D.zones(boxes(t), [("spatial_zone", _explicit(t).where("false")), ("ifc_zone", _explicit(t).where("false")), ("derived", _derived(t))]).select("guid", "zone")
+
+
+def _derived(t):
     b = boxes(t)
     o = b.groupBy("label").agg(((F.max("x") - F.min("x")) >= (F.max("y") - F.min("y"))).alias("on_x"), ((F.min("x") + F.max("x")) / 2).alias("mx"), ((F.min("y") + F.max("y")) / 2).alias("my"))
     below = F.when(F.col("on_x"), F.col("x") < F.col("mx")).otherwise(F.col("y") < F.col("my"))
     return b.join(o, "label").select("guid", F.concat(F.lit("z"), F.col("label").cast("string"), F.when(below, "A").otherwise("B")).alias("zone"))
 
 
+def _explicit(t):
+    return boxes(t).where("guid % 9 = 0").select("guid", F.concat(F.lit("E"), (F.col("guid") % 4).cast("string")).alias("zone"))
+
+
+@query(f"WITH {B} SELECT guid, 'E' || (guid % 4) AS zone, 'ifc_zone' AS rung FROM b WHERE guid % 9 = 0 AND entity <> 'IfcSpace'")
+def takt_zone_ladder(t):
+    """No explicit zone holds a member, so zones by grouping are taken, for all members."""
+    b = boxes(t)
+    outside = b.where("entity = 'IfcSpace'").select("guid", F.lit("takt 1").alias("zone"))
+    return D.zones(b.where("entity <> 'IfcSpace'"), [("spatial_zone", outside), ("ifc_zone", _explicit(t)), ("derived", _derived(t))])
+
+
 @query(f"""WITH {B}, inside AS (SELECT e.guid, min(struct_pack(v := (s.max_x-s.min_x)*(s.max_y-s.min_y)*(s.max_z-s.min_z), s := s.guid)) AS b FROM b e JOIN b s ON s.entity = 'IfcSpace' AND e.entity <> 'IfcSpace' AND {_INSIDE} GROUP BY 1)
   SELECT b.guid, CASE WHEN b.guid % 9 = 0 THEN 'explicit' WHEN i.guid IS NOT NULL THEN 'geometry' ELSE 'derived' END AS rung, CASE WHEN b.guid % 9 = 0 THEN 'E' || (b.guid % 4) WHEN i.guid IS NOT NULL THEN 'S' || i.b.s ELSE 'L' || b.label END AS zone FROM b LEFT JOIN inside i USING (guid) WHERE b.entity <> 'IfcSpace'""")
 def zone_assignment(t):
-    """Candidates of all rungs at once, the lowest rank of each element stays."""
+    """Candidates of all rungs at once, the first rung of each element stays."""
     b = boxes(t)
     e = b.where("entity <> 'IfcSpace'")
-    s = lambda c: F.col(c).cast("string")
-    one = e.where("guid % 9 = 0").select("guid", F.lit(1).alias("rank"), F.lit("explicit").alias("rung"), F.concat(F.lit("E"), (F.col("guid") % 4).cast("string")).alias("zone"))
-    two = P.smallest_container(e.select("guid", "x", "y", "z"), b.where("entity = 'IfcSpace'").select(*_BOX), "guid", CELL).select("guid", F.lit(2).alias("rank"), F.lit("geometry").alias("rung"), F.concat(F.lit("S"), s("space")).alias("zone"))
-    three = e.select("guid", F.lit(3).alias("rank"), F.lit("derived").alias("rung"), F.concat(F.lit("L"), s("label")).alias("zone"))
-    every = one.unionByName(two).unionByName(three)
-    return every.groupBy("guid").agg(F.min(F.struct("rank", "rung", "zone")).alias("m")).select("guid", "m.rung", "m.zone")
+    inside = P.smallest_container(e.select("guid", "x", "y", "z"), b.where("entity = 'IfcSpace'").select(*_BOX), "guid", CELL)
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string")).alias("zone")
+    return D.assigned([("explicit", _explicit(t).join(e, "guid", "left_semi")), ("geometry", inside.select("guid", named("S", "space"))), ("derived", e.select("guid", named("L", "label")))])
