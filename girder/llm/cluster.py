@@ -9,14 +9,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
+
+#: Folders of tables that :func:`stored` wrote and nobody deleted, and the folder behind each of their DataFrames.
+_WRITTEN: set[str] = set()
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset (as in tests) a local one is chosen."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file:/tmp/girder-checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the one that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
@@ -31,7 +33,10 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not small:
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    _WRITTEN.add(path)
+    return out
 
 
 def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
@@ -49,13 +54,23 @@ def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     return counts.where(level >= bound) if bound is not None else counts.where("false")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.discard(folder)
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables written by :func:`stored` that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._folder)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that operators still hold in the shared folder. Results are lazy and read them, so this is for
+    the caller to ask for, once the results are written."""
+    for folder in sorted(_WRITTEN):
+        _delete(spark, folder)
 
 
 def steady(docs: DataFrame) -> DataFrame:

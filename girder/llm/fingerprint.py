@@ -156,7 +156,7 @@ def documents_with_next(docs: DataFrame, *, id_col: str, text_col: str, runs: in
     tops = dealt.groupBy("_run").agg(F.max("_id").alias("top")).orderBy("_run").collect()
     before = {r["top"]: tops[i - 1]["_run"] for i, r in enumerate(tops)}
     dealt = rows.mapInArrow(_dealer(context.broadcast((cuts, before)), True), f"_run int, _borrowed boolean, _id {kind}, _text string")
-    return dealt.repartition(max(1, len(tops)), "_run").sortWithinPartitions("_run", "_borrowed", F.col("_id").desc_nulls_last(), "_text")
+    return dealt.repartitionById(max(1, len(cuts) + 1), F.col("_run")).sortWithinPartitions("_run", "_borrowed", F.col("_id").desc_nulls_last(), "_text")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ size up to which a set has fewer pairs than its lists are expected to hold posti
 
 Sets that meet under a key are first checked against one hub per key and size, the set with the most shingles that many
 sets have, since what it is linked with becomes one component. Hubs among those left outside a key's largest component
-follow while that joins sets and pairs of different components would outnumber the postings. The pairs still apart meet
+follow, for keys with far more pairs of different components than postings, while that joins sets. The pairs still apart meet
 in a join whose condition compares parity sketches, so what can't be alike never becomes a row. All that pass are
 checked by their shingles, which 62-bit hashes modulo a prime tell apart.
 """
@@ -30,9 +30,9 @@ from .text import Prints, U64, WordHash, chunks, free_name, mix, word_bounds
 WORDS, PERCENT = 5, 75
 SKETCH = 512
 #: Longs of a parity sketch.
-PARITY = 8
-#: Most rounds of hubs; any number of them gives the same links.
-HUB_ROUNDS = 4
+PARITY = 16
+#: Most rounds of further hubs, and the pairs a posting from which a key gets one; both change the cost, not the links.
+HUB_ROUNDS, CROWDED = 4, 16
 #: Longest inverted lists that are put last in the order; only an order, so any list of them gives the same links.
 HEAVY = 100_000
 _WORD, _SHINGLE = WordHash(701, fold_case=True), Prints(702)
@@ -101,7 +101,7 @@ def _survey(words: int):
                 odd.append(parity(own))
                 held.append(own)
                 size += len(own)
-                if size > 1_000_000:
+                if size > 3_000_000:
                     yield frequent(held)
                     held, size = [], 0
             n = len(ns)
@@ -240,13 +240,14 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
         named = postings.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         members = named.groupBy("key", "component").agg(F.count("*").alias("m"))
         largest = members.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        mixed = stored(largest.where("top.m < all").select("key", F.col("top.component").alias("largest"), ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "op7-mixed", small=True)
+        crowded = (F.col("all") * F.col("all") - F.col("same")) / 2 > CROWDED * F.col("all")
+        mixed = stored(largest.where("top.m < all").select("key", F.col("top.component").alias("largest"), crowded.alias("crowded")), "op7-mixed", small=True)
         own = stored(named.join(mixed, "key"), "op7-apart", small=True)
-        n, pairs = own.agg(F.count("*")).first()[0], mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        more = mixed.where("crowded").head(1) and turn < rounds - 1
         drop_stored(mixed)
-        if pairs <= 4 * n or turn == rounds - 1:
+        if not more:
             break
-        more = alike(stored(to_hubs(own.where("component <> largest")), "op7-candidates", small=True))
+        more = alike(stored(to_hubs(own.where("crowded AND component <> largest")), "op7-candidates", small=True))
         if not more.head(1):
             break
         drop_stored(own)
