@@ -8,6 +8,7 @@ anchor in some ``(width - gram) / 2`` units is all that is exchanged to find the
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .cluster import stored
+from .cluster import drop_stored, stored
+from .text import U64
 
 ANCHOR = "_row long, anchor int, first int, last int"
 
@@ -97,7 +99,57 @@ def covered(runs: np.ndarray, width: int) -> np.ndarray:
     return np.stack([starts[first], ends[np.append(first[1:], len(starts)) - 1]], axis=1)
 
 
-def same_windows(windows: DataFrame) -> DataFrame:
-    """Of windows (_row, start, h, g) those whose two hashes (94 bits) occur more than once, as runs of one start."""
-    twice = stored(repeated_keys(windows, "h", "g").select("h", "g"), "repeated-windows")
-    return windows.join(twice, ["h", "g"], "left_semi").select("_row", "start", F.col("start").alias("end"))
+#: A window as it is kept in a block: its two hashes.
+_WINDOW = np.dtype([("h", "<u8"), ("g", "<u4")])
+BLOCK = "_row long, first int, key binary, windows binary"
+
+
+def block_batch(row: np.ndarray, first: np.ndarray, place: np.ndarray, last: np.ndarray, h: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+    """Blocks, each a run of windows: its document, first window, and (from ``place`` to ``last`` of the hashes) its windows."""
+    packed = np.empty(len(h), _WINDOW)
+    packed["h"], packed["g"] = h, (g >> U64(32)).astype(np.uint32)
+    raw = memoryview(packed.tobytes())
+    size = _WINDOW.itemsize
+    own = [bytes(raw[a * size : b * size]) for a, b in zip(place.tolist(), (last + 1).tolist(), strict=True)]
+    keys = [blake2b(x, digest_size=16).digest() for x in own]
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(first.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(own, pa.binary())], names=["_row", "first", "key", "windows"])
+
+
+def same_windows(blocks: DataFrame, name: str) -> DataFrame:
+    """Of blocks of consecutive windows, the windows whose two hashes (94 bits) occur more than once, as runs
+    (_row, start, end) of starts.
+
+    A block that occurs again, window by window, repeats as a whole: copies need no more than that. All other blocks, and
+    one of each that repeats, are taken apart and their windows counted. Windows are counted before they are exchanged.
+    """
+    blocks = stored(blocks, f"{name}-blocks")
+    twice = blocks.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct("_row", "first")).alias("_one")).where("_n > 1").select("key", "_one")
+    twice = stored(twice, f"{name}-twice", small=True)
+    joined = blocks.join(twice, "key", "left").select("_row", "first", "windows", F.col("_one").isNotNull().alias("whole"), F.coalesce(F.col("_one") == F.struct("_row", "first"), F.lit(True)).alias("apart"))
+
+    def run(batches):
+        for batch in batches:
+            row, first = (batch.column(c).to_numpy() for c in ("_row", "first"))
+            whole, apart = (np.asarray(batch.column(c)) for c in ("whole", "apart"))
+            raw = batch.column("windows").to_pylist()
+            n = np.array([len(x) for x in raw], np.int64) // _WINDOW.itemsize
+            at = np.flatnonzero(whole)
+            if len(at):
+                none = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(first[at]), pa.array((first[at] + n[at] - 1).astype(np.int32)), *none], names=["_row", "start", "end", "h", "g"])
+            at = np.flatnonzero(apart)
+            if len(at):
+                own = np.frombuffer(b"".join([raw[i] for i in at.tolist()]), _WINDOW)
+                before = np.repeat(np.cumsum(n[at]) - n[at], n[at])
+                start = (np.repeat(first[at], n[at]) + np.arange(len(own)) - before).astype(np.int32)
+                columns = [np.repeat(row[at], n[at]), start, start, own["h"].astype(np.uint64).view(np.int64), own["g"].astype(np.uint32).view(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_row", "start", "end", "h", "g"])
+
+    rows = stored(joined.mapInArrow(run, "_row long, start int, end int, h long, g int"), f"{name}-windows")
+    drop_stored(blocks, twice)
+    windows = rows.where("h IS NOT NULL")
+    twice = stored(repeated_keys(windows, "h", "g").select("h", "g"), f"{name}-repeated")
+    found = windows.join(twice, ["h", "g"], "left_semi").select("_row", "start", "end").unionByName(rows.where("h IS NULL").select("_row", "start", "end"))
+    out = stored(found, f"{name}-runs")
+    drop_stored(rows, twice)
+    return out

@@ -102,21 +102,15 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
                 own = ranges.slice(at, end - at)
                 starts, ends, bounds = word_bounds(data, offsets)
                 flat = own.flatten()
+                if not len(flat):
+                    continue
                 doc = np.repeat(np.arange(end - at), np.diff(own.offsets.to_numpy()))
                 first, last = (flat.field(f).to_numpy().astype(np.int64) for f in ("first", "last"))
-                n = last - first + 1
-                start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                doc = np.repeat(doc, n)
-                place = start + bounds[doc]
                 h, g = (long.windows(word.spans(data, starts, ends), width) for word, long in _FULL)
-                h = h[place].view(np.int64) if len(place) else place
-                g = (g[place] >> U64(32)).astype(np.uint32).view(np.int32) if len(place) else place.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(row[at + doc]), pa.array(start.astype(np.int32)), pa.array(h), pa.array(g)], names=["_row", "start", "h", "g"])
+                yield repeats.block_batch(row[at + doc], first, first + bounds[doc], last + bounds[doc], h, g)
 
     full = beside.where(F.col("_candidates").isNotNull()).select("_row", "_text", "_candidates")
-    full = stored(full.mapInArrow(windows, "_row long, start int, h long, g int"), "op4-full")
-    runs = stored(repeats.same_windows(full), "op4-runs")
-    drop_stored(full)
+    runs = repeats.same_windows(full.mapInArrow(windows, repeats.BLOCK), "op4")
 
     def cutter(texts, found):
         counts, removed, runs, kept = [], [], [], []

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .cluster import drop_stored, keyed, stored
-from .text import Prints, Rolling, U64, anchors, chunks
+from .text import Prints, Rolling, anchors, chunks
 
 WIDTH, GRAM = 200, 64
 #: A gram at more anchors than this is settled window by window, by counting, so that no task holds an unbounded group.
@@ -288,13 +288,12 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
                 if not hot:
                     continue
                 data = np.frombuffer(text.encode(), np.uint8)
-                start = np.concatenate([np.arange(c["first"], c["last"] + 1) for c in hot])
-                g = (_LONG2.byte_windows(data, width)[start] >> U64(32)).astype(np.uint32).view(np.int32)
-                h = _LONG.byte_windows(data, width)[start].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row)), pa.array(start.astype(np.int32)), pa.array(h), pa.array(g)], names=["_row", "start", "h", "g"])
+                first, last = (np.array([c[f] for c in hot], np.int64) for f in ("first", "last"))
+                yield repeats.block_batch(np.full(len(hot), row), first, first, last, *(long.byte_windows(data, width) for long in (_LONG, _LONG2)))
 
-    hot = repeats.same_windows(asked.where(F.exists("_candidates", lambda c: c["hot"])).mapInArrow(windows, "_row long, start int, h long, g int"))
+    hot = repeats.same_windows(asked.where(F.exists("_candidates", lambda c: c["hot"])).mapInArrow(windows, repeats.BLOCK), "op1")
     found = stored(cold.unionByName(hot), "op1-runs")
+    drop_stored(hot)
 
     def cutter(texts, found):
         raws = [(t or "").encode() for t in texts]
