@@ -41,9 +41,9 @@ def layer_preview(t):
     return T.preview(t.supplier.select("s_suppkey", "s_name"), ["s_suppkey"], 5)
 
 
-@query("SELECT table_name AS layer, column_name AS column FROM information_schema.columns WHERE table_name IN ('part','supplier')")
+@query("SELECT table_name AS layer, column_name AS column, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date' END AS type FROM information_schema.columns WHERE table_name IN ('part','supplier','events')")
 def layer_schema(t):
-    return T.column_schemas({"part": t.part, "supplier": t.supplier}, t.spark).select("layer", "column")
+    return T.column_schemas({"part": t.part, "supplier": t.supplier, "events": t.events}, t.spark)
 
 
 @query("SELECT 'part' AS layer, count(*) AS n FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")

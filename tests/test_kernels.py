@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from girder.functions import scalars as X
-from girder.operators import graphs, jobs, lineage, relational, rules, selectors, spatial
+from girder.operators import graphs, jobs, ladders, lineage, registry, relational, rules, selectors, spatial
 from girder.sources import tables
 
 
@@ -243,3 +243,41 @@ def test_job_steps(spark):
         jobs.combine(a, b, "all", most=1)
     planned = jobs.plan_layers(spark.createDataFrame([(1, "EL"), (2, "VS"), (3, "EL")], "id long, p string"), spark.createDataFrame([(3,)], "id long"), "id", F.col("p"), ["EL_PLAN", "ELX"])
     assert sorted(map(tuple, planned.collect())) == [(1, "EL_PLAN", "matched_existing"), (2, "VS", "new_layer_from_prefix")]
+
+
+def test_recipes_and_mapping_modules(spark, tmp_path, monkeypatch):
+    package = tmp_path / "mappings_for_tests"
+    package.mkdir()
+    (package / "__init__.py").write_text("")
+    (package / "codes.py").write_text("RULES = [('IfcWall, Pset.Fire=1', 'C1'), ('IfcWall', 'C2'), ('IfcDoor', 'bad'), ('', 'C9')]\ndef valid(value):\n    return value.startswith('C')\n")
+    (package / "empty.py").write_text("")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    elements = spark.createDataFrame([("a", "IfcWall"), ("b", "IfcWall"), ("c", "IfcDoor"), ("d", "IfcWall"), ("e", "IfcWall")], "guid string, entity string")
+    properties = spark.createDataFrame([("a", "Pset", "Fire", "1.0"), ("d", "BIP-PROCESS", "DuplicateOwnedBy", "x"), ("e", "BIP", "ContractID", "old"), ("b", "BIP-PROCESS", "DuplicateOwnedBy", " undefined")], "guid string, pset string, prop string, value string")
+    tables = {"elements": elements, "properties": properties}
+    values = lambda out: {r["guid"]: r["value"] for r in out["properties"].where("prop = 'ContractID'").collect()}
+    run = lambda *more: registry.run_recipe(registry.AssignByRules, tables, "mappings_for_tests", "codes", "BIP", "ContractID", *more)
+    assert values(run()) == {"a": "C1", "b": "C2", "e": "old"}
+    assert values(run("yes")) == {"a": "C1", "b": "C2", "e": "C2"}
+    assert {r["guid"]: r["reason"] for r in run()["assigned"].collect()} == {"a": "written", "b": "written", "c": "no_rule", "d": "duplicate_owned", "e": "has_value"}
+    for module in ("missing", "empty", "os.path"):
+        with pytest.raises(ValueError):
+            registry.run_recipe(registry.AssignByRules, tables, "mappings_for_tests", module, "BIP", "ContractID")
+    with pytest.raises(TypeError):
+        registry.run_recipe(registry.AssignByRules, tables, wrong=1)
+
+
+def test_zone_ladder_takes_one_rung_for_all(spark):
+    members = spark.createDataFrame([("a",), ("b",)], "guid string")
+    table = lambda rows: spark.createDataFrame(rows, "guid string, zone string")
+    rungs = [("spatial_zone", table([("x", "z0")])), ("ifc_zone", table([("a", "z1")])), ("derived", table([("a", "z2"), ("b", "z2")]))]
+    assert [tuple(r) for r in ladders.zones(members, rungs).collect()] == [("a", "z1", "ifc_zone")]
+    assert ladders.zones(members, rungs, "derived").count() == 2 and ladders.zones(members, rungs, "spatial_zone").count() == 0
+    with pytest.raises(ValueError):
+        ladders.zones(members, rungs, "none")
+    assert sorted(map(tuple, ladders.assigned(rungs).collect())) == [("a", "ifc_zone", "z1"), ("b", "derived", "z2"), ("x", "spatial_zone", "z0")]
+
+
+def test_apartments(spark):
+    spaces = spark.createDataFrame([("agg1", " 2-1103", None), ("r1", "2-1103-2", ""), ("r2", "2-1104-1", None), ("r3", "hall", " A7 "), ("r4", "hall", None), ("r5", None, None)], "guid string, name string, stated string")
+    assert {tuple(r) for r in ladders.apartment_zones(spaces).collect()} == {("r1", "agg1"), ("r2", "2-1104"), ("r3", "A7")}
