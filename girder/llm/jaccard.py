@@ -233,25 +233,34 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
         best = votes.groupBy("s").agg(F.max(F.struct("votes", "hub")).alias("top"))
         return best.select(F.least("s", "top.hub").alias("a"), F.greatest("s", "top.hub").alias("b")).distinct()
 
+    def mixed(own: DataFrame) -> DataFrame:
+        """(key, largest, crowded) of the keys with several components: the largest one, and whether pairs of different
+        ones far outnumber the postings."""
+        sizes = own.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        crowded = (F.col("all") * F.col("all") - F.col("same")) / 2 > CROWDED * F.col("all")
+        return sizes.where("top.m < all").select("key", F.col("top.component").alias("largest"), crowded.alias("crowded"))
+
+    def named(own: DataFrame, labels: DataFrame) -> DataFrame:
+        return own.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+
     candidates = stored(to_hubs(postings.withColumn("component", F.col("sid"))), "op7-candidates", small=True)
     parts = components(alike(candidates))
     drop_stored(candidates)
-    for turn in range(rounds):
-        named = postings.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        members = named.groupBy("key", "component").agg(F.count("*").alias("m"))
-        largest = members.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        crowded = (F.col("all") * F.col("all") - F.col("same")) / 2 > CROWDED * F.col("all")
-        mixed = stored(largest.where("top.m < all").select("key", F.col("top.component").alias("largest"), crowded.alias("crowded")), "op7-mixed", small=True)
-        own = stored(named.join(mixed, "key"), "op7-apart", small=True)
-        more = mixed.where("crowded").head(1) and turn < rounds - 1
-        drop_stored(mixed)
-        if not more:
+    apart = named(postings, parts)
+    several = stored(mixed(apart), "op7-mixed", small=True)
+    apart = stored(apart.join(several, "key"), "op7-apart", small=True)
+    drop_stored(several)
+    own, crowd = apart, apart.where("crowded")
+    for _ in range(rounds):
+        if not crowd.head(1):
             break
-        more = alike(stored(to_hubs(own.where("crowded AND component <> largest")), "op7-candidates", small=True))
+        more = alike(stored(to_hubs(crowd.where("component <> largest")), "op7-candidates", small=True))
         if not more.head(1):
             break
-        drop_stored(own)
         parts = merged_components(parts, more)
+        crowd = named(crowd.drop("component", "largest", "crowded"), parts)
+        crowd = stored(crowd.join(mixed(crowd).where("crowded"), "key"), "op7-crowd", small=True)
+        own = named(apart.drop("component"), parts)
     bits = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY)]
     own = own.join(sketches.select("sid", *bits), "sid").select("key", "sid", "n", "pos", "component", *[f"p{i}" for i in range(PARITY)])
     beside = own.toDF("key2", "sid2", "m", "pos2", "component2", *[f"q{i}" for i in range(PARITY)])
