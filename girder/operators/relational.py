@@ -151,11 +151,14 @@ def precedence(df: DataFrame, key: str, rules: list[tuple[Column, str]], taken:
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """sha256 over the sorted rows' JSON hashes: equal for equal multisets of rows.
 
-    Hashes are first combined per bucket of their leading byte, so no task gathers more than a 256th of the rows.
+    Equal rows are counted first. Hashes are combined per bucket of their first 16 bits, those per 8 bits, then all, so
+    no task gathers more than about a 65,536th of the distinct rows.
     """
-    row = df.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
-    part = row.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("p"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "p"))), lambda x: x["p"]), "\n"), 256).alias("fingerprint"))
+    digest = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
+    rows = df.groupBy(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")).agg(F.count("*").alias("n"))
+    part = rows.select(F.substring("h", 1, 4).alias("b"), F.concat("h", F.lit(":"), F.col("n").cast("string")).alias("x")).groupBy("b").agg(F.concat("b", digest("x")).alias("x"))
+    part = part.select(F.substring("b", 1, 2).alias("b"), "x").groupBy("b").agg(F.concat("b", digest("x")).alias("x"))
+    return part.agg(digest("x").alias("fingerprint"))
 
 
 def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:

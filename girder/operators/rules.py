@@ -93,8 +93,13 @@ def write_property(properties: DataFrame, selected: DataFrame, pset: str, prop:
     return properties.where(~here).select("guid", "pset", "prop", "value").unionByName(merged)
 
 
-def nearest_storey(points: DataFrame, z: str, storeys: DataFrame, tolerance: float) -> DataFrame:
-    """Each row's storey of nearest elevation within a tolerance; ties by the lower one. Storeys are a short list."""
+def nearest_storey(points: DataFrame, z: str, storeys: DataFrame, tolerance: float, most: int = 10_000) -> DataFrame:
+    """Each row's storey of nearest elevation within a tolerance; ties by the lower one.
+
+    The storeys of a model are a list of at most ``most``, which is checked before it goes beside every row.
+    """
+    if storeys.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} storeys")
     listed = storeys.agg(F.array_sort(F.collect_list(F.struct("elevation", "guid"))).alias("_s"))
     rows = points.join(F.broadcast(listed))
     near = F.array_min(F.transform("_s", lambda s: F.struct(F.abs(s["elevation"] - F.col(z)).alias("d"), s["elevation"].alias("e"), s["guid"].alias("guid"))))

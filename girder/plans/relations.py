@@ -115,8 +115,8 @@ def signature_dedupe(t):
     return h.agg(F.count_distinct("s").alias("distinct_histories"), F.count("*").alias("elements"))
 
 
-@query("""SELECT sha256(string_agg(p, chr(10) ORDER BY b)) AS fingerprint FROM (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS p
-  FROM (SELECT sha256(concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '"}')) AS h FROM nation) GROUP BY 1)""")
+@query("""WITH r AS (SELECT sha256(concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '"}')) AS h FROM nation), c AS (SELECT h || ':' || count(*) AS x, substr(h, 1, 4) AS b FROM r GROUP BY h),
+  p AS (SELECT b || sha256(string_agg(x, chr(10) ORDER BY x)) AS x, substr(b, 1, 2) AS b2 FROM c GROUP BY b), q AS (SELECT b2 || sha256(string_agg(x, chr(10) ORDER BY x)) AS x FROM p GROUP BY b2) SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS fingerprint FROM q""")
 def fingerprint(t):
     return R.fingerprint(t.nation, ["n_nationkey", "n_name"])
 
