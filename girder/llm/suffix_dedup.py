@@ -1,11 +1,13 @@
 """Suffix-array dedup: a distributed, common-prefix-aware merge sort of the suffixes that may repeat.
 
-Suffixes start at anchors (see :mod:`repeats`), so a sparse suffix array suffices. Every task sorts its suffixes into
-runs and sends them front-coded: of each suffix only what it doesn't share with the one before. A receiving task merges
-the runs of its range of grams with a loser tree whose players carry their common prefix with the last winner; two
-players are compared only beyond prefixes known to be equal. Suffixes with a common gram come out side by side, with
-the lengths they share; sorting what precedes them in the same way gives the lengths shared to the left, and a window
-repeats where two suffixes share enough of both.
+Suffixes start at anchors (see :mod:`repeats`), so a sparse suffix array suffices. Of anchors with equal surroundings, as
+copies have them, one goes on and stands for all. Every task sorts its suffixes into runs and sends them front-coded: of
+each suffix only what it doesn't share with the one before. A receiving task merges the runs of its share of grams, dealt
+by hash, with a loser tree whose players carry their common prefix with the last winner; two players are compared only
+beyond prefixes known to be equal. Suffixes with a common gram come out side by side, with the lengths they share;
+sorting what precedes them in the same way gives the lengths shared to the left, and a window repeats where two suffixes
+share enough of both. A gram in very many different surroundings is taken apart: each window it serves is a suffix by
+itself, dealt by its own bytes, so no task has to hold the gram's; the same merge brings equal ones together.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .cluster import drop_stored, keyed, stored
-from .text import Prints, Rolling, anchors, chunks
+from .text import Prints, Rolling, anchors, chunks, mix
 
 WIDTH, GRAM = 200, 64
-#: A gram at more anchors than this is settled window by window, by counting, so that no task holds an unbounded group.
+#: A gram in more different surroundings than this goes through the merge window by window.
 HOT_ANCHORS = 20_000
 RUN_BYTES = 4 << 20
+#: What becomes of an anchor: another one stands for it, its suffix is merged, or each of its windows is.
+STAYS, SUFFIX, WINDOWS = 0, 1, 2
 _GRAM = Rolling(101)
-_LONG, _LONG2 = Prints(102), Prints(103)
+_BLOCK = Prints(102)
 
 
 def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -198,6 +202,19 @@ def groups(stream: Iterator, gram: int) -> Iterator[list]:
         yield own
 
 
+def equal_windows(stream: Iterator, width: int) -> Iterator[tuple[int, int, int]]:
+    """(row, start, start) of the windows that come more than once in a sorted stream of them; only one is held."""
+    before = None
+    for lcp, _, _, row, start in stream:
+        if lcp < width:
+            before = row, start, start
+            continue
+        if before:
+            yield before
+            before = None
+        yield row, start, start
+
+
 def _candidates(width: int, gram: int):
     def find(column):
         for at, _, data, offsets in chunks(column):
@@ -205,7 +222,8 @@ def _candidates(width: int, gram: int):
             doc, anchor, first, last = anchors(hashes, offsets, width, gram)
             if len(doc):
                 low = offsets[doc]
-                yield at, doc, anchor - low, first - low, last - low, hashes[anchor]
+                block = _BLOCK.runs(data, first, last + width) ^ mix((anchor - first).astype(np.uint64))
+                yield at, doc, anchor - low, first - low, last - low, hashes[anchor], block
 
     return find
 
@@ -226,25 +244,39 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
 
     A byte goes when a string of ``width`` bytes of its document covers it that also starts anywhere else. Null and empty
     texts have no bytes; texts shorter than ``width`` lose nothing; repeated rows are copies and lose every such string;
-    null ids are kept apart by row. Grams at more than ``hot_anchors`` anchors are settled by counting each window they
-    serve (94 bits of hashes modulo a prime, counted before they are exchanged); all others are compared byte by byte.
+    null ids are kept apart by row. What is removed rests on bytes compared in the merge, but for anchors whose surroundings
+    are equal by 62 bits of hashes modulo a prime, of which one is merged. Grams in more
+    than ``hot_anchors`` different surroundings are merged window by window, with the same results.
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
-    table = repeats.anchor_table(rows, _candidates(width, gram), name="op1-anchors")
-    twice = stored(repeats.repeated_keys(table, "gram"), "op1-repeated")
-    again = table.join(twice, "gram").select("_row", "anchor", "first", "last", (F.col("_n") > hot_anchors).alias("hot"))
+    table = repeats.anchor_table(rows, _candidates(width, gram), ", block long", "op1-anchors")
+    twice = stored(repeats.repeated_keys(table, "gram").select("gram"), "op1-repeated")
+    again = stored(table.join(twice, "gram", "left_semi"), "op1-again")
+    drop_stored(table, twice)
+    copies = again.groupBy("gram", "block").agg(F.count("*").alias("_n"), F.min(F.struct("_row", "anchor")).alias("_one")).where("_n > 1").drop("_n")
+    copies = stored(copies, "op1-copies", small=True)
+    one = again.join(copies, ["gram", "block"], "left").select("_row", "anchor", "first", "last", "gram", F.col("_one").isNotNull().alias("whole"), F.coalesce(F.col("_one") == F.struct("_row", "anchor"), F.lit(True)).alias("goes"))
+    one = stored(one, "op1-one")
+    drop_stored(again, copies)
+    hot = stored(one.where("goes").groupBy("gram").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_anchors).select("gram", F.lit(True).alias("hot")), "op1-hot", small=True)
+    way = F.when(~F.col("goes"), STAYS).when(F.col("hot").isNotNull(), WINDOWS).otherwise(SUFFIX).alias("way")
+    again = one.join(hot, "gram", "left").select("_row", "anchor", "first", "last", way)
     schema = f"n_bytes long, n_removed long, removed_runs array<array<int>>, {'kept_sha256 string' if digests else 'kept binary'}"
 
     def whole(texts, asked):
         raw = [(t or "").encode() for t in texts]
         return _columns(asked, [len(r) for r in raw], [0] * len(raw), [[] for _ in raw], raw, digests)
 
-    beside = repeats.beside_candidates(rows, again, ["anchor", "first", "last", "hot"], whole, schema, "op1-beside")
-    drop_stored(table, twice)
+    beside = repeats.beside_candidates(rows, again, ["anchor", "first", "last", "way"], whole, schema, "op1-beside")
+    copied = stored(one.where("whole").select("_row", F.col("first").alias("start"), F.col("last").alias("end")), "op1-copied", small=True)
+    drop_stored(one, hot)
     asked = beside.where(F.col("_candidates").isNotNull()).select("_row", "_text", "_candidates")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked.rdd.getNumPartitions())
 
+    def dealt(key: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest()) % parts
+
     def runs(batches):
         mine: dict[int, list] = {}
         size = 0
@@ -258,42 +290,33 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
             for row, text, found in zip(*(batch.column(c).to_pylist() for c in ("_row", "_text", "_candidates")), strict=True):
                 raw = text.encode()
                 for c in found:
-                    if c["hot"]:
-                        continue
-                    anchor, first, end = c["anchor"], c["first"], c["last"] + width
-                    suffix = raw[anchor:end]
-                    part = int.from_bytes(hashlib.blake2b(suffix[:gram], digest_size=8).digest()) % parts
-                    mine.setdefault(part, []).append((suffix, raw[first:anchor][::-1], row, anchor))
-                    size += end - first
+                    anchor, first, last = c["anchor"], c["first"], c["last"]
+                    if c["way"] == SUFFIX:
+                        suffix = raw[anchor : last + width]
+                        mine.setdefault(dealt(suffix[:gram]), []).append((suffix, raw[first:anchor][::-1], row, anchor))
+                        size += last + width - first
+                    elif c["way"] == WINDOWS:
+                        for at in range(first, last + 1):
+                            window = raw[at : at + width]
+                            mine.setdefault(parts + dealt(window), []).append((window, b"", row, at))
+                        size += (last + 1 - first) * width
                 if size > RUN_BYTES:
                     yield from flush()
                     size = 0
         yield from flush()
 
     def merge(key, table):
+        stream = merged([decoded(r) for r in table.column("run").to_pylist()])
+        found = equal_windows(stream, width) if key[0].as_py() >= parts else (r for group in groups(stream, gram) if len(group) > 1 for r in repeated_starts(group, width))
         out: tuple[list, list, list] = ([], [], [])
-        for group in groups(merged([decoded(r) for r in table.column("run").to_pylist()]), gram):
-            if len(group) > 1:
-                for found in repeated_starts(group, width):
-                    for values, x in zip(out, found, strict=True):
-                        values.append(x)
+        for one in found:
+            for values, x in zip(out, one, strict=True):
+                values.append(x)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["_row", "start", "end"])
 
-    cold = asked.mapInArrow(runs, "part int, run binary").repartition(parts, "part").groupBy("part").applyInArrow(merge, "_row long, start int, end int")
-
-    def windows(batches):
-        for batch in batches:
-            for row, text, found in zip(*(batch.column(c).to_pylist() for c in ("_row", "_text", "_candidates")), strict=True):
-                hot = [c for c in found if c["hot"]]
-                if not hot:
-                    continue
-                data = np.frombuffer(text.encode(), np.uint8)
-                first, last = (np.array([c[f] for c in hot], np.int64) for f in ("first", "last"))
-                yield repeats.block_batch(np.full(len(hot), row), first, first, last, *(long.byte_windows(data, width) for long in (_LONG, _LONG2)))
-
-    hot = repeats.same_windows(asked.where(F.exists("_candidates", lambda c: c["hot"])).mapInArrow(windows, repeats.BLOCK), "op1")
-    found = stored(cold.unionByName(hot), "op1-runs")
-    drop_stored(hot)
+    met = asked.mapInArrow(runs, "part int, run binary").repartition(2 * parts, "part").groupBy("part").applyInArrow(merge, "_row long, start int, end int")
+    found = stored(met.unionByName(copied), "op1-runs")
+    drop_stored(copied)
 
     def cutter(texts, found):
         raws = [(t or "").encode() for t in texts]

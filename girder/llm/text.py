@@ -133,9 +133,9 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 
 class Prints:
-    """62-bit hashes of windows of bytes or values: two polynomials modulo 2**31 - 1, each with a base of its own.
+    """62-bit hashes of runs of bytes and windows of values: two polynomials modulo 2**31 - 1, each with a base of its own.
 
-    Two different windows of n units agree with a chance of at most (n / 2**31)**2 over the bases, whatever the texts.
+    Two different ones of n units agree with a chance of at most (n / 2**31)**2 over the bases, whatever the texts.
     """
 
     def __init__(self, seed: int):
@@ -162,6 +162,16 @@ class Prints:
         np.cumsum(_folded(values * up[:-1]), out=total[1:])
         return _reduced(_reduced(total[width:] - total[:-width]) * down[: len(values) - width + 1])
 
+    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each run of bytes."""
+        out = np.zeros(len(starts), np.uint64)
+        for lane in range(2):
+            up, down = self._powers(lane, len(data) + 1)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_folded(self.tables[lane][data] * up[:-1]), out=total[1:])
+            out = out << U64(31) | _reduced(_reduced(total[ends] - total[starts]) * down[starts])
+        return mix(out ^ mix((ends - starts).astype(np.uint64)))
+
     def windows(self, values: np.ndarray, width: int) -> np.ndarray:
         """Hash of each run of ``width`` consecutive values."""
         if len(values) < width:
@@ -169,12 +179,6 @@ class Prints:
         own = mix(values ^ self.key)
         return mix(self._lane(0, own >> U64(33), width) << U64(31) | self._lane(1, own & _PRIME, width))
 
-    def byte_windows(self, data: np.ndarray, width: int) -> np.ndarray:
-        if len(data) < width:
-            return np.zeros(0, np.uint64)
-        one, two = (self._lane(lane, self.tables[lane][data], width) for lane in range(2))
-        return mix(one << U64(31) | two)
-
 
 class WordHash:
     """64-bit hashes of words: their bytes, eight at a time, stirred into a keyed state that starts with the length.
