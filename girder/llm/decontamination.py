@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import lean
+
 WINDOW = 13
 #: Words of items in one automaton, which takes about a kilobyte a word in a worker.
 BLOCK_WORDS = 200_000
@@ -178,7 +180,7 @@ def find_hits(docs: DataFrame, items: DataFrame, *, keep: list[str] | None = Non
     blocks = blocks or [docs.sparkSession.sparkContext.broadcast([])]
     for i, shared in enumerate(blocks):
         schema = last if i == len(blocks) - 1 else out.schema
-        out = out.mapInArrow(_scanner(shared, text_col, window, schema.names), schema)
+        out = out.mapInArrow(lean(_scanner(shared, text_col, window, schema.names)), schema)
     return out
 
 
@@ -270,4 +272,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
             out = replaced(batch, {text: texts}) if changed else batch
             yield out.filter(pa.array(keep, pa.bool_())).select(names)
 
-    return source.mapInArrow(cut, plain.schema).toDF(*docs.columns)
+    return source.mapInArrow(lean(cut), plain.schema).toDF(*docs.columns)

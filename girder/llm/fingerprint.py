@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import lean
+
 BANDS, BAND_LANES = 24, 32
 LANES = BANDS * BAND_LANES
 #: The last lanes count the paragraphs, modulo 2**64.
@@ -211,7 +213,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    return rows.select("_run", "_borrowed", "_id", "_text").mapInArrow(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("_run", "_borrowed", "_id", "_text").mapInArrow(lean(run), f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _edited(doc_id, text: str, state: np.ndarray, following: str, next_state: np.ndarray) -> tuple:

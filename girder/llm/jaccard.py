@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .cluster import components, drop_stored, keyed, merged_components, most_frequent, numbered, steady, stored
 from .repeats import repeated_keys
-from .text import Prints, U64, WordHash, chunks, free_name, mix, word_bounds
+from .text import Prints, U64, WordHash, chunks, free_name, lean, mix, word_bounds
 
 WORDS, PERCENT = 5, 75
 SKETCH = 512
@@ -84,8 +84,11 @@ def _survey(words: int):
     names = ["_row", "n", "sid", "sketch", "parity", "shingle", "seen"]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        value, count = value[count >= 4], count[count >= 4]
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        value = np.unique(every[:-3][every[3:] == every[:-3]]) if len(every) > 3 else every[:0]
+        count = np.searchsorted(every, value, "right") - np.searchsorted(every, value)
         none = [pa.nulls(len(value), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*none, pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=names)
 
@@ -216,7 +219,7 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
         """The links (a, b) among candidate pairs."""
         one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
         two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-        left = stored(pairs.join(one, "a").join(two, "b").mapInArrow(_may_be_alike(percent), "a long, b long"), "op7-likely", small=True)
+        left = stored(pairs.join(one, "a").join(two, "b").mapInArrow(lean(_may_be_alike(percent)), "a long, b long"), "op7-likely", small=True)
         sets = sets_of(left.select(F.col("a").alias("sid")).union(left.select("b")).distinct())
         one, two = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
         exact = left.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
@@ -276,7 +279,7 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
     """(_row, _id, n, component, component_id): rows of one component share ``component``, which is null without shingles."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
-    survey = stored(rows.select("_row", "_text").mapInArrow(_survey(words), "_row long, n int, sid long, sketch binary, parity array<bigint>, shingle long, seen long"), "op7-survey")
+    survey = stored(rows.select("_row", "_text").mapInArrow(lean(_survey(words)), "_row long, n int, sid long, sketch binary, parity array<bigint>, shingle long, seen long"), "op7-survey")
     counts = stored(survey.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")), "op7-heavy", small=True)
     heavy = most_frequent(counts, "seen", HEAVY).toArrow()
     drop_stored(counts)
@@ -284,7 +287,7 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
     order = np.argsort(value)
     shared = spark.sparkContext.broadcast((value[order], seen[order]))
     small = boundary(seen.astype(float), percent)
-    postings = stored(rows.select("_text").mapInArrow(_postings(shared, small, words, percent), "key long, sid long, n int, pos int, core short"), "op7-postings")
+    postings = stored(rows.select("_text").mapInArrow(lean(_postings(shared, small, words, percent)), "key long, sid long, n int, pos int, core short"), "op7-postings")
     # Keys are counted first with nothing beside them; copies of one set make some more keys pass, which go next.
     twice = stored(repeated_keys(postings, "key").select("key"), "op7-repeated", small=True)
     met = stored(postings.join(twice, "key", "left_semi").distinct(), "op7-met")
@@ -305,7 +308,7 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
     def with_shingles(ids: DataFrame) -> DataFrame:
         """Only texts of sets whose pairs are likely are read for their shingles; the ids are asked for in place."""
         chosen = sketches.join(ids, "sid", "left_semi").select("sid", "_row")
-        return stored(rows.join(chosen, "_row").select("sid", "_text").mapInArrow(shingles, "sid long, shingles array<bigint>"), "op7-sets")
+        return stored(rows.join(chosen, "_row").select("sid", "_text").mapInArrow(lean(shingles), "sid long, shingles array<bigint>"), "op7-sets")
 
     parts = links(met, sketches, with_shingles, percent)
     named = rows.select("_row", "_id").join(sets_of, "_row")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import keyed, most_frequent, stored
-from .text import LOWER, U64, WordHash, chunks, mix, word_bounds
+from .text import HELD, LOWER, U64, WordHash, chunks, lean, mix, word_bounds
 
 ORDER = 5
 #: Contexts of this many bytes and more are dealt over the tasks by their last bytes.
@@ -155,7 +155,6 @@ def _gather(order: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), kind, np.int8)), pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["kind", "key", "count"])
 
     def run(batches):
-        _heavy.cache_clear()  # a worker may still hold those of a run before
         held: tuple[list, list] = ([], [])
         size = 0
         for batch in batches:
@@ -176,7 +175,7 @@ def _gather(order: int):
 
 def gather(train: DataFrame, order: int = ORDER) -> DataFrame:
     """(kind, key, count) over all training rows (_text)."""
-    counts = train.select("_text").mapInArrow(_gather(order), "kind tinyint, key long, count long")
+    counts = train.select("_text").mapInArrow(lean(_gather(order)), "kind tinyint, key long, count long")
     return stored(counts.groupBy("kind", "key").agg(F.sum("count").alias("count")), "op3-counts")
 
 
@@ -228,7 +227,6 @@ def look_up(wanted: DataFrame, n_wanted: int, grams: DataFrame, n_grams: int, sh
     low = min(LOCAL, order)
 
     def run(batches):
-        _heavy.cache_clear()  # no longer needed by this worker
         trie, own, waiting, size = None, [], [], 0
 
         def settled():
@@ -257,7 +255,7 @@ def look_up(wanted: DataFrame, n_wanted: int, grams: DataFrame, n_grams: int, sh
     rows = grams.select(F.lit(None).cast("long").alias("_row"), "key", F.col("count").alias("times")).unionByName(wanted.select("_row", "key", "times"))
     parts = max(8, -(-n_grams // PART_CODES), -(-n_wanted // PART_LOOKUPS))
     end = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * low) - 1))
-    return rows.repartition(parts, end).sortWithinPartitions(F.col("_row").isNotNull()).mapInArrow(run, "_row long, log double")
+    return rows.repartition(parts, end).sortWithinPartitions(F.col("_row").isNotNull()).mapInArrow(lean(run, "ppm short"), "_row long, log double")
 
 
 @lru_cache(1)
@@ -271,6 +269,9 @@ def _heavy(key: int, shared) -> tuple[Table, np.ndarray, Table, np.ndarray]:
     return Table(words), np.append(np.log10(counts + 1.0), 0.0), Table(codes), np.append(logp, 0.0)
 
 
+HELD["ppm short"], HELD["ppm heavy"] = _shorter.cache_clear, _heavy.cache_clear
+
+
 def _times(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of document and key, and how often each occurs."""
     order = np.lexsort((keys, doc))
@@ -333,7 +334,7 @@ def score(docs: DataFrame, train: DataFrame | None = None, *, order: int = ORDER
                     yield apart(2, row[first:last], ids.type, np.searchsorted(bounds, light, "right") - 1, codes[light])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = stored(rows.select("_row", "_id", "_text").mapInArrow(run, f"kind tinyint, _row long, _id {kind}, n_tokens long, n_known long, base double, score double, key long, times long"), "op3-scored")
+    scored = stored(rows.select("_row", "_id", "_text").mapInArrow(lean(run, "ppm heavy"), f"kind tinyint, _row long, _id {kind}, n_tokens long, n_known long, base double, score double, key long, times long"), "op3-scored")
     rare = scored.where("kind = 1").select("_row", "key", "times").join(words, "key", "left")
     rare = rare.select("_row", F.when(F.col("count") > 0, F.col("times")).otherwise(0).alias("more"), (F.col("times") * (F.log10(F.coalesce("count", F.lit(0)) + 1.0) - unit)).alias("rest"), F.lit(0.0).alias("log"))
     wanted = scored.where("kind = 2")

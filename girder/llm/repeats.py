@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .cluster import drop_stored, stored
-from .text import U64
+from .text import U64, lean
 
 ANCHOR = "_row long, anchor int, first int, last int"
 
@@ -45,7 +45,7 @@ def anchor_table(rows: DataFrame, find: Callable, extra: str = "", name: str = "
                 arrays += [pa.array(c.view(np.int64)) if not isinstance(c, tuple) else pa.array(c[0].view(np.int64), mask=c[1]) for c in longs]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in schema.split(", ")])
 
-    return stored(rows.select("_row", "_text").mapInArrow(run, schema), name)
+    return stored(rows.select("_row", "_text").mapInArrow(lean(run), schema), name)
 
 
 def beside_candidates(rows: DataFrame, candidates: DataFrame, fields: list[str], whole: Callable, whole_schema: str, name: str) -> DataFrame:

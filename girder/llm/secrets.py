@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import free_name
+from .text import free_name, lean
 
 #: The patterns of the kinds, in the order of their listing, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -219,7 +219,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE) -> F
         rows = [(k, h, v) for k, own in least.items() for v, h in sorted(own.items(), key=lambda x: x[1])[: sample * (10 if k == "ordinary" else 1)]]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3, names=["kind", "hash", "value"])
 
-    found = source.mapInArrow(run, "kind string, hash string, value string").distinct()
+    found = source.mapInArrow(lean(run), "kind string, hash string, value string").distinct()
     examples: dict[str, list[str]] = {}
     ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("hash", "value")))
     for row in ranked.where(F.col("n") <= F.when(F.col("kind") == "ordinary", 10 * sample).otherwise(sample)).orderBy("kind", "n").toLocalIterator():
@@ -272,7 +272,7 @@ def scan(docs: DataFrame, formats: Formats, *, keep: list[str], text_col: str =
             arrays = [batch.column(c) for c in kept] + [pa.array(out[n], kind) for n, (_, kind) in added.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *added])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _joined(spans: list[tuple[int, int, int, str]], names: tuple[str, ...]) -> str:

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .text import free_name
+from .text import HELD, free_name, lean
 
 SPACE = "▁"
 #: About what the stretches that a worker remembers may take.
-CACHE_BYTES = 60 << 20
+CACHE_BYTES = 48 << 20
 #: Field numbers of the model file's messages, and its kinds of pieces.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -118,7 +118,7 @@ class Model:
         key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 400_000:
+            if len(self._fits) > 250_000:
                 self._fits.clear()
             known = self._fits[key] = self._boundary_holds(left, right)
         return known
@@ -241,6 +241,9 @@ def _loaded(name: str) -> tuple[Model, dict[str, str], dict[str, str], list[int]
         return Model(file.read()), {}, {}, [0]
 
 
+HELD["sentencepiece"] = _loaded.cache_clear
+
+
 def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_col: str = "text", ids_col: str | None = "ids", digests: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """The columns ``keep`` and the encoding of each text: ids (array<int>) and/or digests (n_tokens, ids_sha256, decoded_sha256).
 
@@ -298,7 +301,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_
             arrays = [batch.column(c) for c in keep] + [pa.array(out[a.split()[0]], _ARROW[a.split()[1]]) for a in added]
             yield pa.RecordBatch.from_arrays(arrays, names=keep + [a.split()[0] for a in added])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run, "sentencepiece"), schema)
 
 
 _ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}

@@ -6,7 +6,9 @@ A chunk is a run of whole documents laid end to end: ``data`` holds their UTF-8
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from ctypes import CDLL
 from hashlib import blake2b
 
 import numpy as np
@@ -22,6 +24,28 @@ LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 18
 
 
+#: What a worker keeps between tasks: how to let go of it, by the name of the operator.
+HELD: dict[str, Callable[[], object]] = {}
+
+
+def lean(run: Callable, keep: str | None = None) -> Callable:
+    """``run`` (batches to batches) in a worker that first lets go of what other operators left in it.
+
+    Spark hands workers from stage to stage, so tables and caches would add up in an executor.
+    """
+
+    def alone(batches):
+        held = [clear for name, clear in HELD.items() if name != keep]
+        for clear in held:
+            clear()
+        if held:
+            with suppress(OSError, AttributeError):  # freed memory goes back to the system where the C library can do that
+                CDLL(None).malloc_trim(0)
+        yield from run(batches)
+
+    return alone
+
+
 def free_name(taken: list[str], name: str = "_text") -> str:
     """The name, with underscores added until no column has it."""
     while name.lower() in {t.lower() for t in taken}:

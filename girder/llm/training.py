@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .text import free_name
+from .text import free_name, lean
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -37,7 +37,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features, *,
             names = ["doc_id", "_label", *[f"_{c}" for c in more]]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], names=[*names, "numbers", "stats"])
 
-    out = rows.mapInArrow(run, rows.select("doc_id", "_label", *[f"_{c}" for c in more]).schema.add("numbers", "binary").add("stats", ArrayType(DoubleType())))
+    out = rows.mapInArrow(lean(run), rows.select("doc_id", "_label", *[f"_{c}" for c in more]).schema.add("numbers", "binary").add("stats", ArrayType(DoubleType())))
     return out.orderBy("doc_id").drop("doc_id").toArrow()
 
 
@@ -79,4 +79,4 @@ def score_documents(docs: DataFrame, model, scorer, *, keep: list[str], text_col
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scorer(shared.value, texts), pa.float64())], names=[*keep, score_col])
 
-    return source.mapInArrow(run, source.drop(name_of_text).schema.add(score_col, "double"))
+    return source.mapInArrow(lean(run), source.drop(name_of_text).schema.add(score_col, "double"))
