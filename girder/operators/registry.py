@@ -75,6 +75,10 @@ def load_mapping(package: str, module: str, *needed: str):
     return mapping
 
 
+#: The property that names another owner of an element.
+OWNER = ("BIP-PROCESS", "DuplicateOwnedBy")
+
+
 class AssignByRules(Recipe):
     """Writes a value by the ordered rules of a mapping module: ``RULES``, pairs of a selector and a value, and
     ``valid(value)``. Elements (guid, entity), properties (guid, pset, prop, value)."""
@@ -96,8 +100,8 @@ class AssignByRules(Recipe):
             own = selectors.select_union(elements, properties, selector).withColumn(f"_r{i}", F.lit(True))
             fits = fits.join(own, "guid", "left")
         value = lambda pset, prop: properties.where((F.col("pset") == pset) & (F.col("prop") == prop)).groupBy("guid").agg(F.min("value").alias(f"_{prop}"))
-        fits = fits.join(value("BIP-PROCESS", "DuplicateOwnedBy"), "guid", "left").join(value(self.pset, self.prop), "guid", "left")
-        assigned = rules.assign_by_rules(fits, "guid", [(F.col(f"_r{i}"), v) for i, (_, v) in enumerate(wanted)], F.col("_DuplicateOwnedBy"), F.col(f"_{self.prop}"), self.overwrite)
+        fits = fits.join(value(*OWNER), "guid", "left").join(value(self.pset, self.prop), "guid", "left")
+        assigned = rules.assign_by_rules(fits, "guid", [(F.col(f"_r{i}"), v) for i, (_, v) in enumerate(wanted)], F.col(f"_{OWNER[1]}"), F.col(f"_{self.prop}"), self.overwrite)
         self.tables["assigned"] = assigned
         written = assigned.where("written").select("guid", "assigned")
         self.tables["properties"] = rules.write_property(properties, written, self.pset, self.prop, F.col("assigned"))
