@@ -31,6 +31,8 @@ WORDS, PERCENT = 5, 75
 SKETCH = 512
 #: Longs of a parity sketch.
 PARITY = 16
+#: Most sets whose numbers are broadcast to the texts; of more, the texts are exchanged.
+CHOSEN = 1_000_000
 #: Most rounds of further hubs, and the pairs a posting from which a key gets one; both change the cost, not the links.
 HUB_ROUNDS, CROWDED = 4, 16
 #: Longest inverted lists that are put last in the order; only an order, so any list of them gives the same links.
@@ -306,9 +308,10 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id
             yield pa.RecordBatch.from_arrays([batch.column("sid"), lists], names=["sid", "shingles"])
 
     def with_shingles(ids: DataFrame) -> DataFrame:
-        """Only texts of sets whose pairs are likely are read for their shingles; the ids are asked for in place."""
-        chosen = sketches.join(ids, "sid", "left_semi").select("sid", "_row")
-        return stored(rows.join(chosen, "_row").select("sid", "_text").mapInArrow(lean(shingles), "sid long, shingles array<bigint>"), "op7-sets")
+        """Only texts of sets whose pairs are likely are read for their shingles, in place where a list of them can travel."""
+        chosen = stored(sketches.join(ids, "sid", "left_semi").select("sid", "_row"), "op7-chosen", small=True)
+        few = chosen.count() <= CHOSEN
+        return stored(rows.join(F.broadcast(chosen) if few else chosen, "_row").select("sid", "_text").mapInArrow(lean(shingles), "sid long, shingles array<bigint>"), "op7-sets")
 
     parts = links(met, sketches, with_shingles, percent)
     named = rows.select("_row", "_id").join(sets_of, "_row")
