@@ -19,7 +19,7 @@ from .text import Rolling, U64, chunks, mix, word_bounds
 BUCKETS, LANES, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 #: Bytes of the beginnings of a word that have embeddings of their own, added to the word's.
 PREFIXES = (4, 6, 8)
-#: Labelled rows that are sampled, and of how many of them one is kept from the fit for the cut-offs.
+#: Labelled rows that are sampled, and of how many of them one is kept from a fit that finds the cut-offs.
 MAX_TRAINING_ROWS, CALIBRATION = 7000, 7
 _HASH = Rolling(601, fold_case=True)
 _SEPARATORS = np.ones(256, bool)
@@ -144,9 +144,10 @@ def calibrate(model: TextCnn, scores: np.ndarray, target: np.ndarray, langs: lis
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAINING_ROWS, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> TextCnn | None:
-    """Fit on most of at most ``max_rows`` labelled rows that are not held out, calibrate on the others; without any, None.
+    """Fit on at most ``max_rows`` labelled rows that are not held out; without any, None.
 
-    Of fewer than 50 rows all serve both ends.
+    Cut-offs come from rows that the net they are found with wasn't fitted on: one is fitted without every seventh row and
+    scores those; the one that is returned is fitted on all. Of fewer than 50 rows all serve both ends.
     """
     more = (lang_col,) if lang_col in docs.columns else ()
     sample = training.labelled_sample(docs, labels, "toxic", _by_text, modulus=modulus, held_out=held_out, max_rows=max_rows, id_col=id_col, text_col=text_col, more=more)
@@ -154,11 +155,14 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAINING_RO
         return None
     own = [x.reshape(-1, 1 + len(PREFIXES)) for x in training.numbers_of(sample)]
     target = sample.column("_label").to_numpy().astype(float)
-    apart = np.arange(len(own)) % CALIBRATION == 0 if len(own) >= 50 else np.zeros(len(own), bool)
-    model = TextCnn()
-    model.fit([own[i] for i in np.flatnonzero(~apart)], target[~apart])
-    rest = np.flatnonzero(apart) if apart.any() else np.arange(len(own))
-    scores = np.concatenate([model.score(own[i], np.array([0, len(own[i])])) for i in rest])
+    model = judge = TextCnn()
+    model.fit(own, target)
+    rest = np.arange(len(own))
+    if len(own) >= 50:
+        apart, judge = rest % CALIBRATION == 0, TextCnn()
+        judge.fit([own[i] for i in rest[~apart]], target[~apart])
+        rest = rest[apart]
+    scores = np.concatenate([judge.score(own[i], np.array([0, len(own[i])])) for i in rest])
     langs = sample.column(f"_{lang_col}").to_pylist() if more else [None] * len(own)
     calibrate(model, scores, target[rest], [langs[i] for i in rest])
     return model
