@@ -23,7 +23,7 @@ from .text import HELD, free_name, lean
 
 SPACE = "▁"
 #: About what the stretches that a worker remembers may take.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 128 << 20
 #: Field numbers of the model file's messages, and its kinds of pieces.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -138,8 +138,25 @@ class Model:
             else:  # of equal merges the left one comes first, so a pair at the boundary may come before this one
                 horizon, b = rank[b] + 1, in_b[0]
 
+    def _longest(self, text: str) -> list[int] | None:
+        """The longest piece at each place, from left to right, if they cover the text and each can stand beside the one
+        before: then no step back is needed, as there is one way only to cover a text with pieces that can."""
+        out: list[int] = []
+        at, before, known = 0, -1, self._fits
+        for end, (size, i) in self.matcher.iter_long(text):
+            if end + 1 - size != at or (before >= 0 and not (known.get(before << 32 | i) or self.fits(before, i))):
+                return None
+            out.append(i)
+            at, before = end + 1, i
+        return out if at == len(text) else None
+
     def _stretch(self, text: str) -> list[int]:
         """Ids of a stretch; characters that no piece knows become bytes."""
+        quick = self._longest(text)
+        return self._searched(text) if quick is None else quick
+
+    def _searched(self, text: str) -> list[int]:
+        """The same by trying the longest piece first, shorter ones next, and stepping back."""
         n = len(text)
         at_start: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (size, i) in self.matcher.iter(text):
@@ -233,12 +250,43 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
+class Seen:
+    """Stretches that a worker has met: their ids as text, and the decoded text of those that don't decode to themselves.
+
+    Two generations of at most half the bytes each: where the younger one is full it becomes the elder, whose stretches
+    are forgotten unless they were met again.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.ids, self.odd, self.elder, self.elder_odd, self.size = model, {}, {}, {}, {}, 0
+
+    def add(self, part: str) -> str:
+        """The ids of a stretch that the younger generation doesn't have."""
+        own = self.elder.get(part)
+        if own is None:
+            ids = self.model._longest(part)
+            if ids is None:
+                ids = self.model._searched(part)
+                if (decoded := _text_of(self.model, ids)) != part.replace(SPACE, " "):
+                    self.odd[part] = decoded
+            own = ",".join(map(str, ids))
+        elif part in self.elder_odd:
+            self.odd[part] = self.elder_odd[part]
+        self.size += 200 + 2 * len(part) + len(own)
+        if len(part) <= 64:
+            self.ids[part] = own
+        return own
+
+    def age(self, most: int) -> None:
+        """Between texts: a text's own stretches stay until it is decoded."""
+        if 2 * self.size > most:
+            self.elder, self.elder_odd, self.ids, self.odd, self.size = self.ids, self.odd, {}, {}, 0
+
+
 @lru_cache(2)
-def _loaded(name: str) -> tuple[Model, dict[str, str], dict[str, str], list[int]]:
-    """The model, the ids (as text) of stretches seen, the decoded text of those that don't decode to themselves, and about
-    how many bytes both take."""
+def _loaded(name: str) -> Seen:
     with open(SparkFiles.get(name), "rb") as file:
-        return Model(file.read()), {}, {}, [0]
+        return Seen(Model(file.read()))
 
 
 HELD["sentencepiece"] = _loaded.cache_clear
@@ -265,30 +313,16 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str], text_
     schema = StructType([*source.drop(name_of_text).schema.fields, *StructType.fromDDL(", ".join(added)).fields])
 
     def run(batches):
-        model, cache, odd, held = _loaded(name)
-
-        def known(part: str) -> str:
-            ids = model._stretch(part)
-            own = ",".join(map(str, ids))
-            held[0] += 200 + len(part)
-            if len(part) <= 64:
-                held[0] += len(part) + len(own)
-                cache[part] = own
-            decoded = _text_of(model, ids)
-            if decoded != part.replace(SPACE, " "):
-                odd[part] = decoded
-            return own
-
+        seen = _loaded(name)
+        model, add = seen.model, seen.add
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
             for text in batch.column(name_of_text).to_pylist():
-                if held[0] > cache_bytes:  # between texts: a text's own stretches stay until it is decoded
-                    cache.clear()
-                    odd.clear()
-                    held[0] = 0
-                get = cache.get
+                seen.age(cache_bytes)
+                get = seen.ids.get
                 parts = model.stretches(text or "")
-                joined = ",".join([get(p) or known(p) for p in parts])
+                joined = ",".join([get(p) or add(p) for p in parts])
+                odd = seen.odd
                 if ids_col:
                     out[ids_col].append([int(x) for x in joined.split(",")] if parts else [])
                 if digests:
