@@ -31,7 +31,7 @@ WORDS, PERCENT = 5, 75
 SKETCH = 512
 #: Longs of a parity sketch.
 PARITY = 16
-#: Most sets whose numbers are broadcast to the texts; of more, the texts are exchanged.
+#: Most sets whose numbers are broadcast to texts, sketches and postings; of more, those are exchanged.
 CHOSEN = 1_000_000
 #: Most rounds of further hubs, and the pairs a posting from which a key gets one; both change the cost, not the links.
 HUB_ROUNDS, CROWDED = 4, 16
@@ -219,8 +219,10 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The links (a, b) among candidate pairs."""
-        one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-        two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+        ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        wanted = sketches.select("sid", "n", "sketch").join(F.broadcast(ids) if pairs.count() <= CHOSEN // 2 else ids, "sid", "left_semi")
+        one = wanted.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+        two = wanted.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
         left = stored(pairs.join(one, "a").join(two, "b").mapInArrow(lean(_may_be_alike(percent)), "a long, b long"), "op7-likely", small=True)
         sets = sets_of(left.select(F.col("a").alias("sid")).union(left.select("b")).distinct())
         one, two = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
@@ -246,7 +248,9 @@ def links(postings: DataFrame, sketches: DataFrame, sets_of, percent: int, round
         return sizes.where("top.m < all").select("key", F.col("top.component").alias("largest"), crowded.alias("crowded"))
 
     def named(own: DataFrame, labels: DataFrame) -> DataFrame:
-        return own.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        labels = labels.select(F.col("node").alias("sid"), "component")
+        labels = F.broadcast(labels) if labels.count() <= CHOSEN else labels
+        return own.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
 
     candidates = stored(to_hubs(postings.withColumn("component", F.col("sid"))), "op7-candidates", small=True)
     parts = components(alike(candidates))
