@@ -29,19 +29,24 @@ HELD: dict[str, Callable[[], object]] = {}
 
 
 def lean(run: Callable, keep: str | None = None) -> Callable:
-    """``run`` (batches to batches) in a worker that first lets go of what other operators left in it.
+    """``run`` (batches to batches) in a worker that first lets go of what other operators left in it, and in the end of
+    memory it has freed.
 
-    Spark hands workers from stage to stage, so tables and caches would add up in an executor.
+    Spark hands workers from stage to stage, so tables, caches and free memory would add up in an executor.
     """
 
+    def trim():
+        with suppress(OSError, AttributeError):  # where the C library can do that
+            CDLL(None).malloc_trim(0)
+
     def alone(batches):
         held = [clear for name, clear in HELD.items() if name != keep]
         for clear in held:
             clear()
         if held:
-            with suppress(OSError, AttributeError):  # freed memory goes back to the system where the C library can do that
-                CDLL(None).malloc_trim(0)
+            trim()
         yield from run(batches)
+        trim()
 
     return alone
 
