@@ -9,13 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import WRITTEN as _WRITTEN
 from ..session import shared_folder
 
 
-#: Folders of tables that :func:`stored` wrote and nobody deleted, and the folder behind each of their DataFrames.
-_WRITTEN: set[str] = set()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one that all executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -65,6 +65,19 @@ def test_diamond_has_one_row_a_path(spark):
     assert lineage.walk(e, s, 5, up=True, distinct=True).where("node = 1").count() == 1
 
 
+@pytest.fixture
+def few_rows(spark):
+    """Recursive queries of a session may make a million rows by default; here ten."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    yield spark.range(1, 200).select((F.col("id") / 2).cast("long").alias("parent_id"), F.col("id").alias("child_id"))
+    spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_lineage_up_has_no_limit_of_rows(few_rows):
+    out = lineage.walk(few_rows, few_rows.select(F.col("child_id").alias("id")), 10, up=True)
+    assert out.count() == sum(i.bit_length() for i in range(1, 200))
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
