@@ -78,6 +78,21 @@ def test_lineage_up_has_no_limit_of_rows(few_rows):
     assert out.count() == sum(i.bit_length() for i in range(1, 200))
 
 
+def test_nearest_value_has_no_limit_of_rows(few_rows):
+    ids = few_rows.select(F.col("child_id").alias("id"))
+    values = ids.select("id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("value"))
+    out = {r["start"]: r["value"] for r in lineage.nearest_with_value(lineage.walk(few_rows, ids, 10, up=True), values).collect()}
+    near = lambda i: None if i < 1 else i if i % 3 == 0 else near(i // 2)
+    assert out == {i: near(i // 2) for i in range(1, 200) if near(i // 2)}
+
+
+def test_nearest_value_weighs_steps_as_its_sql_does(spark):
+    up = spark.createDataFrame([(9, 3_000_000, 1), (9, 1_000_000, 2)], "start long, node long, depth int")
+    values = spark.createDataFrame([(3_000_000, "near"), (1_000_000, "far")], "id long, value string")
+    assert lineage.nearest_with_value(up, values).first()["value"] == "near"
+    assert lineage.nearest_with_value(up, values, F.col("depth") * 1000000 + F.col("node")).first()["value"] == "far"
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
