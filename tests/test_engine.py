@@ -93,6 +93,20 @@ def test_nearest_value_weighs_steps_as_its_sql_does(spark):
     assert lineage.nearest_with_value(up, values, F.col("depth") * 1000000 + F.col("node")).first()["value"] == "far"
 
 
+@pytest.fixture
+def few_rows_tree(spark, few_rows):
+    """A project (1), a building (2), storeys (3 to 9) and 90 walls, as a tree of more rows than the limit."""
+    rows = [(1, 2)] + [(2, s) for s in range(3, 10)] + [(3 + i % 7, 10 + i) for i in range(90)]
+    kinds = {1: "IfcProject", 2: "IfcBuilding"} | {s: "IfcBuildingStorey" for s in range(3, 10)}
+    types = spark.createDataFrame([(i, kinds.get(i, "IfcWall")) for i in range(1, 100)], "id long, entity string")
+    tree = spark.createDataFrame(rows, "parent_id long, child_id long")
+    return lambda kind: sorted(tuple(r) for r in lineage.traverse(tree, kind, types.select("id"), types).collect())
+
+
+def test_ancestors_has_no_limit_of_rows(few_rows_tree):
+    assert few_rows_tree("ancestors") == sorted([(2, 1, 1)] + [x for s in range(3, 10) for x in ((s, 2, 1), (s, 1, 2))] + [x for w in range(10, 100) for x in ((w, 3 + (w - 10) % 7, 1), (w, 2, 2), (w, 1, 3))])
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
