@@ -107,6 +107,10 @@ def test_ancestors_has_no_limit_of_rows(few_rows_tree):
     assert few_rows_tree("ancestors") == sorted([(2, 1, 1)] + [x for s in range(3, 10) for x in ((s, 2, 1), (s, 1, 2))] + [x for w in range(10, 100) for x in ((w, 3 + (w - 10) % 7, 1), (w, 2, 2), (w, 1, 3))])
 
 
+def test_building_of_has_no_limit_of_rows(few_rows_tree):
+    assert few_rows_tree("building_of") == sorted([(s, 2, 1) for s in range(3, 10)] + [(w, 2, 2) for w in range(10, 100)])
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
