@@ -111,6 +111,10 @@ def test_building_of_has_no_limit_of_rows(few_rows_tree):
     assert few_rows_tree("building_of") == sorted([(s, 2, 1) for s in range(3, 10)] + [(w, 2, 2) for w in range(10, 100)])
 
 
+def test_storey_of_has_no_limit_of_rows(few_rows_tree):
+    assert few_rows_tree("storey_of") == [(w, 3 + (w - 10) % 7, 1) for w in range(10, 100)]
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
