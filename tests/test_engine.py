@@ -115,6 +115,11 @@ def test_storey_of_has_no_limit_of_rows(few_rows_tree):
     assert few_rows_tree("storey_of") == [(w, 3 + (w - 10) % 7, 1) for w in range(10, 100)]
 
 
+def test_lineage_down_has_no_limit_of_rows(few_rows):
+    out = lineage.walk(few_rows, few_rows.select(F.col("child_id").alias("id")), 10, up=False)
+    assert out.count() == sum(i.bit_length() - 1 for i in range(1, 200))
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
