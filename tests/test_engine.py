@@ -120,6 +120,12 @@ def test_lineage_down_has_no_limit_of_rows(few_rows):
     assert out.count() == sum(i.bit_length() - 1 for i in range(1, 200))
 
 
+def test_path_tree_has_no_limit_of_rows(few_rows):
+    out = {r["node"]: (r["depth"], r["path"]) for r in lineage.tree_paths(few_rows, few_rows.where("child_id = 1").select(F.col("child_id").alias("id")), 5).collect()}
+    path = lambda i: str(i) if i == 1 else f"{path(i // 2)}/{i}"
+    assert out == {i: (i.bit_length() - 1, path(i)) for i in range(1, 64)}
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
