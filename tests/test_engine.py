@@ -126,6 +126,12 @@ def test_path_tree_has_no_limit_of_rows(few_rows):
     assert out == {i: (i.bit_length() - 1, path(i)) for i in range(1, 64)}
 
 
+def test_subset_with_ancestors_has_no_limit_of_rows(few_rows):
+    ids = few_rows.select(F.col("child_id").alias("id"))
+    out = {r["id"]: r["parent_id"] for r in lineage.subset_with_ancestors(few_rows, ids.where("id >= 100"), ids.where("id = 6"), 10).collect()}
+    assert out == {i: 3 if i in (12, 13) else i // 2 if i else None for i in [0, *(i for i in range(1, 200) if i != 6 and (i >= 100 or i < 50 or i in range(50, 100)))]}
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
