@@ -132,6 +132,10 @@ def test_subset_with_ancestors_has_no_limit_of_rows(few_rows):
     assert out == {i: 3 if i in (12, 13) else i // 2 if i else None for i in [0, *(i for i in range(1, 200) if i != 6 and (i >= 100 or i < 50 or i in range(50, 100)))]}
 
 
+def test_children_has_no_limit_of_rows(few_rows_tree):
+    assert few_rows_tree("children") == sorted([(1, 2, 1)] + [(2, s, 1) for s in range(3, 10)] + [(3 + (w - 10) % 7, w, 1) for w in range(10, 100)])
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
