@@ -136,6 +136,10 @@ def test_children_has_no_limit_of_rows(few_rows_tree):
     assert few_rows_tree("children") == sorted([(1, 2, 1)] + [(2, s, 1) for s in range(3, 10)] + [(3 + (w - 10) % 7, w, 1) for w in range(10, 100)])
 
 
+def test_descendants_has_no_limit_of_rows(few_rows_tree):
+    assert few_rows_tree("descendants") == sorted([(1, 2, 1)] + [x for s in range(3, 10) for x in ((1, s, 2), (2, s, 1))] + [x for w in range(10, 100) for x in ((1, w, 3), (2, w, 2), (3 + (w - 10) % 7, w, 1))])
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
