@@ -144,6 +144,10 @@ def test_parent_has_no_limit_of_rows(few_rows_tree):
     assert few_rows_tree("parent") == sorted([(2, 1, 1)] + [(s, 2, 1) for s in range(3, 10)] + [(w, 3 + (w - 10) % 7, 1) for w in range(10, 100)])
 
 
+def test_products_in_has_no_limit_of_rows(few_rows_tree):
+    assert few_rows_tree("products_in") == sorted(x for w in range(10, 100) for x in ((1, w, 3), (2, w, 2), (3 + (w - 10) % 7, w, 1)))
+
+
 def test_upsert_merges_json(spark):
     old = spark.createDataFrame([("k", '{"a":"1","b":"1"}', None), ("o", None, "x")], "k string, meta string, v string")
     new = spark.createDataFrame([("k", '{"b":"2"}', "y"), ("n", "{}", None)], "k string, meta string, v string")
