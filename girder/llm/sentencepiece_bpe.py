@@ -22,8 +22,8 @@ from pyspark.sql.types import StructType
 from .text import HELD, free_name, lean
 
 SPACE = "▁"
-#: About what the stretches that a worker remembers may take.
-CACHE_BYTES = 128 << 20
+#: About what the stretches that a worker remembers may take; two workers share what the heap leaves of an executor.
+CACHE_BYTES = 32 << 20
 #: Field numbers of the model file's messages, and its kinds of pieces.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6

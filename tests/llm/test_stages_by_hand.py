@@ -173,3 +173,22 @@ def test_secrets_by_hand(spark, tables):
         masked += want != text
         assert (out[doc_id]["text"], out[doc_id]["n_chars"]) == (want, len(want))
     assert masked >= 13
+
+
+def test_stretches_that_a_tokenizer_worker_remembers_are_few():
+    import sys
+
+    import public_tokenizers
+
+    from girder.llm import sentencepiece_bpe as S
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        seen = S.Seen(S.Model(file.read()))
+    most = 0
+    for start in range(0, 400_000, 20_000):
+        seen.age(S.CACHE_BYTES)
+        for i in range(start, start + 20_000):
+            seen.add(f"{S.SPACE}{i:06d}")
+        most = max(most, len(seen.ids) + len(seen.elder))
+    one = sum(sys.getsizeof(x) for x in (f"{S.SPACE}{1:06d}", seen.add(f"{S.SPACE}{1:06d}"))) + 100
+    assert most * one < 48 << 20
