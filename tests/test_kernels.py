@@ -281,3 +281,19 @@ def test_zone_ladder_takes_one_rung_for_all(spark):
 def test_apartments(spark):
     spaces = spark.createDataFrame([("agg1", " 2-1103", None), ("r1", "2-1103-2", ""), ("r2", "2-1104-1", None), ("r3", "hall", " A7 "), ("r4", "hall", None), ("r5", None, None)], "guid string, name string, stated string")
     assert {tuple(r) for r in ladders.apartment_zones(spaces).collect()} == {("r1", "agg1"), ("r2", "2-1104"), ("r3", "A7")}
+
+
+def test_children_meet_one_of_many_parents_of_equal_guids(spark):
+    import time
+    from bisect import bisect_left
+
+    n = 30_000
+    parents = spark.range(n).select("id", F.lit("0123456789z").alias("guid"), (F.col("id") * 977).alias("tag"), F.lit(1).alias("container"), F.lit("Pump").alias("name"))
+    children = spark.range(n).select((F.col("id") + n).alias("id"), F.lit("0123456789abc").alias("guid"), (F.col("id") * 991).alias("tag"), F.lit(2).alias("container"), F.lit("my pump:3").alias("name"), F.lit(None).cast("string").alias("ref"))
+    began = time.perf_counter()
+    out = {r["child"]: (r["parent"], r["distance"]) for r in ladders.match_children(parents, children).collect()}
+    assert time.perf_counter() - began < 60  # 900 million pairs take longer
+    tags = [i * 977 for i in range(n)]
+    for i in range(n):
+        at = bisect_left(tags, i * 991) - 1
+        assert out[i + n] == ((0, None) if at < 0 else (at, i * 991 - tags[at]))
