@@ -323,3 +323,12 @@ def test_centrality_of_many_leaves_takes_no_walk_from_each(spark, column):
     pairs = [(i % hubs, i + hubs) for i in range(n)] + [(i, (i + 1) % hubs) for i in range(hubs)]
     out = {r["id"]: r[column] for r in graphs.centrality(spark.createDataFrame(pairs, "src long, dst long"), max_edges=100).collect()}
     assert len(out) == n + hubs and len({out[i] for i in range(hubs)}) == 1 and out[0] > out[hubs] == 0
+
+
+def test_crowded_cells_are_sliced_and_each_pair_is_met_once(spark):
+    df = spark.range(1300).select(F.col("id").alias("guid"), *[F.lit(0.0).alias(f"min_{a}") for a in "xyz"], *[(F.lit(0.1) if a != "x" else F.col("id") * 1e-5 + 0.1).alias(f"max_{a}") for a in "xyz"])
+    rows = [(1, *[0.0] * 3, *[0.1] * 3)]
+    one = spark.createDataFrame(rows, "guid long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    out = spatial.box_pairs(df, one, 0.25)
+    assert "_slice" in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(r["a_guid"] for r in out.collect()) == list(range(1300))
