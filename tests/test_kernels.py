@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from girder.functions import scalars as X
 from girder.operators import graphs, jobs, ladders, lineage, registry, relational, rules, selectors, spatial
+from girder.plans import catalog
+from girder.plans import spaces as plans
 from girder.sources import tables
 
 
@@ -172,6 +174,68 @@ def test_boxes_of_all_sizes_meet_once(spark):
     assert near == {p[0]: min(boxes, key=lambda b: (distance(p, b), b[0]))[0] for p in points}  # noqa: B023
 
 
+@pytest.fixture
+def shuffled(spark):
+    """Rows written to shuffles since the test began."""
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        every = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in (every.apply(i) for i in range(every.size()))}
+
+    before = stages()
+    return lambda: sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("chunk", [100_000, 20])
+def test_rooms_of_groups_and_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(spatial, "SLICE", 50)
+    monkeypatch.setattr(spatial, "CHUNK", chunk, raising=False)
+    rng = random.Random(5)
+    box = lambda name, wide: (name, *(c := [rng.uniform(-1, 1) for _ in range(3)]), *(x + rng.uniform(0.1, wide) for x in c))
+    elements, spaces = [box(f"e{i}", 0.5) for i in range(300)] + [("far", 9.0, 9.0, 9.0, 9.5, 9.5, 9.5)], [box(f"s{i}", 2.5) for i in range(300)]
+    spots = {e[0]: [(0, *((e[1 + k] + e[4 + k]) / 2 for k in range(3))), *((n, e[x], e[y], e[3]) for n, (x, y) in enumerate(((1, 2), (1, 5), (4, 2), (4, 5)), 1))] for e in elements}
+    schema = "guid string, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    points = spark.createDataFrame([(g, *p) for g, own in spots.items() for p in own], "guid string, point int, x double, y double, z double")
+    out = spatial.room_match(spark.createDataFrame(elements, schema), points, spark.createDataFrame(spaces, schema), size=0.25, reach=0.1)
+    got = {r["guid"]: (r["space"], r["method"], round(r["confidence"], 9), r["candidates"]) for r in out.collect()}
+    want = {}
+    for e in elements[:-1]:
+        own = {s[0]: [p[0] for p in spots[e[0]] if all(s[1 + k] - 0.01 <= p[1 + k] <= s[4 + k] + 0.01 for k in range(3))] for s in spaces}
+        pool = sorted((-len(v), s) for s, v in own.items() if v)
+        total, first = -sum(n for n, _ in pool), -pool[0][0] if pool else 0
+        if not pool:
+            want[e[0]] = None
+            continue
+        second = -pool[1][0] if len(pool) > 1 else 0
+        if first / total >= 0.55 and len(set().union(*own.values())) / 5 >= 0.35 and (first - second) / total >= 0.1:
+            want[e[0]] = (pool[0][1], "overlap_majority", round(first / total, 9), min(32, len(pool)))
+            continue
+        near = [s for s in spaces if s[0] in {x for _, x in pool[:32]}]
+        share = {s[0]: max(min(e[4], s[4]) - max(e[1], s[1]), 0) * max(min(e[5], s[5]) - max(e[2], s[2]), 0) / ((e[4] - e[1]) * (e[5] - e[2])) for s in near}
+        best = min(share, key=lambda s: (-share[s], s))
+        if share[best] > 0:
+            want[e[0]] = (best, "overlap_geometric", round(min(1, share[best]), 9), len(near))
+    assert got["far"][1] == "proximity" and set(got) == {e[0] for e in elements}
+    assert sum(v is not None for v in want.values()) > 250
+    assert all(got[g] == v if v else got[g][1] == "proximity" for g, v in want.items())
+
+
+@pytest.fixture
+def crowded(spark, tmp_path):
+    """1600 elements and 400 spaces, most of which meet."""
+    rng = random.Random(6)
+    rows = [(i, 0, [rng.uniform(-0.1, 0.1) for _ in range(3)] + [0.2, 0.2, 0.2]) for i in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    return catalog.Tables(spark, str(tmp_path))
+
+
+def test_match_summary_has_no_rows_of_pairs(crowded, shuffled):
+    row = plans.match_summary(crowded).first()
+    assert row["elements"] == row["overlap_geometric"] == row["ambiguous"] == 1600
+    assert shuffled() < 100_000
+
+
 def test_points_keep_their_distance(spark):
     rng = random.Random(4)
     rows = [(i, [tuple(rng.uniform(0, 1) for _ in range(3)) for _ in range(20)]) for i in range(12)]
