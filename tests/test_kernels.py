@@ -230,6 +230,12 @@ def crowded(spark, tmp_path):
     return catalog.Tables(spark, str(tmp_path))
 
 
+def test_room_match_has_no_rows_of_pairs(crowded, shuffled):
+    out = plans.room_match(crowded).collect()
+    assert len(out) == 1600 and all(r["status"] == "Resolved" and r["method"] == "overlap_geometric" for r in out)
+    assert shuffled() < 100_000
+
+
 def test_match_summary_has_no_rows_of_pairs(crowded, shuffled):
     row = plans.match_summary(crowded).first()
     assert row["elements"] == row["overlap_geometric"] == row["ambiguous"] == 1600
