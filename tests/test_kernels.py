@@ -242,6 +242,61 @@ def test_match_summary_has_no_rows_of_pairs(crowded, shuffled):
     assert shuffled() < 100_000
 
 
+@pytest.fixture
+def made(spark):
+    """The most rows that a step of a plan has made since the test began."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        every = store.executionsList()
+        return {every.apply(i).executionId() for i in range(every.size())}
+
+    def most():
+        counts = [0]
+        for k in executions() - before:
+            values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        counts.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+        return max(counts)
+
+    before = executions()
+    return most
+
+
+def test_lost_elements_have_no_rows_of_pairs(spark, tmp_path, made):
+    """1600 elements, and 400 spaces two away from them."""
+    rng = random.Random(7)
+    rows = [(i, 0, [rng.uniform(-0.1, 0.1) + (0 if i % 5 else 2) for _ in range(3)] + [0.1 if i % 5 else 0.01] * 3) for i in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = plans.room_match(catalog.Tables(spark, str(tmp_path))).collect()
+    assert len(out) == 1600 and all(r["method"] == "proximity" and r["space"] % 5 == 0 for r in out)
+    assert 1600 <= made() < 50_000
+
+
+@pytest.mark.parametrize("chunk", [100_000, 20])
+def test_nearest_rooms_of_groups_and_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(spatial, "SLICE", 50)
+    monkeypatch.setattr(spatial, "CHUNK", chunk)
+    rng = random.Random(8)
+    place = lambda lo, hi: [rng.uniform(lo, hi) for _ in range(3)]
+    spaces = [(f"s{i:03}", *(c := [round(x, 1) for x in place(0, 6)]), *(x + rng.choice((0.01, 0.2)) for x in c)) for i in range(150)]
+    spaces += [(f"t{i:03}", *s[1:]) for i, s in enumerate(spaces)]  # equally near, of greater ids
+    spots = {f"e{i:03}": tuple(place(-3, 9)) for i in range(300)} | {"far": (40.0, 40.0, 40.0)}
+    schema = "guid string, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    elements = spark.createDataFrame([(g, *p, *(x + 0.1 for x in p)) for g, p in spots.items()], schema)
+    points = spark.createDataFrame([(g, 0, *p) for g, p in spots.items()] + [("none", 0, None, 0.0, 0.0)], "guid string, point int, x double, y double, z double")
+    elements = elements.union(spark.createDataFrame([("none", *[0.0] * 6)], schema))
+    out = spatial.room_match(elements, points, spark.createDataFrame(spaces, schema), size=0.25, reach=0.1)
+    got = {r["guid"]: r["space"] for r in out.where("method = 'proximity'").collect()}
+    distance = lambda p, s: sum(max(s[1 + k] - p[k], p[k] - s[4 + k], 0.0) ** 2 for k in range(3)) ** 0.5
+    lost = {g: p for g, p in spots.items() if not any(all(s[1 + k] - 0.01 <= p[k] <= s[4 + k] + 0.01 for k in range(3)) for s in spaces)}
+    assert len(lost) > 290 and got == {g: min((distance(p, s), s[0]) for s in spaces)[1] for g, p in lost.items()}
+    assert [(r["status"], r["space"]) for r in out.where("guid = 'none'").collect()] == [("Unmatched", None)]
+
+
 def test_points_keep_their_distance(spark):
     rng = random.Random(4)
     rows = [(i, [tuple(rng.uniform(0, 1) for _ in range(3)) for _ in range(20)]) for i in range(12)]
