@@ -289,12 +289,12 @@ def test_nearest_rooms_of_groups_and_chunks(spark, monkeypatch, chunk):
     elements = spark.createDataFrame([(g, *p, *(x + 0.1 for x in p)) for g, p in spots.items()], schema)
     points = spark.createDataFrame([(g, 0, *p) for g, p in spots.items()] + [("none", 0, None, 0.0, 0.0)], "guid string, point int, x double, y double, z double")
     elements = elements.union(spark.createDataFrame([("none", *[0.0] * 6)], schema))
-    out = spatial.room_match(elements, points, spark.createDataFrame(spaces, schema), size=0.25, reach=0.1)
-    got = {r["guid"]: r["space"] for r in out.where("method = 'proximity'").collect()}
+    out = spatial.room_match(elements, points, spark.createDataFrame(spaces, schema), size=0.25, reach=0.1).collect()
+    got = {r["guid"]: r["space"] for r in out if r["method"] == "proximity"}
     distance = lambda p, s: sum(max(s[1 + k] - p[k], p[k] - s[4 + k], 0.0) ** 2 for k in range(3)) ** 0.5
     lost = {g: p for g, p in spots.items() if not any(all(s[1 + k] - 0.01 <= p[k] <= s[4 + k] + 0.01 for k in range(3)) for s in spaces)}
     assert len(lost) > 290 and got == {g: min((distance(p, s), s[0]) for s in spaces)[1] for g, p in lost.items()}
-    assert [(r["status"], r["space"]) for r in out.where("guid = 'none'").collect()] == [("Unmatched", None)]
+    assert [(r["status"], r["space"]) for r in out if r["guid"] == "none"] == [("Unmatched", None)]
 
 
 def test_points_keep_their_distance(spark):
