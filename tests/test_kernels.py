@@ -266,6 +266,29 @@ def made(spark):
     return most
 
 
+def test_box_pairs_makes_no_more_rows_than_it_returns(crowded, made):
+    rows = {tuple(r) for r in plans.box_pairs(crowded).collect()}
+    assert 1_000_000 < len(rows) and made() <= len(rows)
+    assert {r[2] for r in rows} >= {"sits_in", "penetrates", "intersects"}
+
+
+def test_related_boxes_are_those_of_classified_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SLICE", 20)
+    monkeypatch.setattr(spatial, "FEW", 50)
+    rng = random.Random(9)
+    entities = ["IfcSpace", "IfcDuctSegment", "IfcAirTerminal", "IfcWall", "IfcColumn", "IfcDoor", None]
+
+    def box(i):
+        low = [round(rng.uniform(-1, 1), 2) for _ in range(3)]
+        return (i, entities[i % 7], *low, *(round(x + rng.choice([0.0, 0.02, 0.3, 1.5]), 2) for x in low))
+
+    schema = "guid long, entity string, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    df = spark.createDataFrame([box(i) for i in range(420)] + [(900, "IfcWall", None, *[0.0] * 2, *[1.0] * 3)], schema)
+    pairs = spatial.classify_pairs(spatial.box_pairs(df, df, 0.25, 0.051, "xyz"), 0.03).select("a_guid", "b_guid", "relation")
+    want, got = sorted(map(tuple, pairs.collect())), sorted(map(tuple, spatial.related_boxes(df, df, 0.25, 0.03).collect()))
+    assert got == want and {r[2] for r in got} == {name for name, _ in spatial.RELATIONS}
+
+
 def test_lost_elements_have_no_rows_of_pairs(spark, tmp_path, made):
     """1600 elements, and 400 spaces two away from them."""
     rng = random.Random(7)
