@@ -447,6 +447,39 @@ def test_children_meet_one_of_many_parents_of_equal_guids(spark):
         assert out[i + n] == ((0, None) if at < 0 else (at, i * 991 - tags[at]))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_children_have_the_best_of_all_parents(spark, seed):
+    """Some are parents too, of other numbers; some are tied to parents by a word alone."""
+    import re
+
+    rng = random.Random(seed)
+    guid = lambda: rng.choice([None, "short", *(f"0123456{a}{b}{c}" for a in "ab" for b in "xy" for c in "12")])
+    parents = [(i, guid(), rng.choice([None, *range(0, 900, 50)]), rng.choice([None, *range(6)]), rng.choice([None, "Pump:1", "BigPump", "Valve", "Abc", "AIRValve:Pump"])) for i in range(60)]
+    children = [(i, guid(), rng.choice([None, *range(0, 900, 30)]), rng.choice([None, *range(9)]), rng.choice([None, "a pump", "my valve:pump", "pumpvalve", "abc", "x"]), rng.choice([None, None, None, "100", "0123456ax1"])) for i in [*range(30), *range(100, 300)]]
+    children += [(i, None, rng.choice([None, 0, 5000]), rng.choice([None, 0, 8]), rng.choice(["a pump", "my valve", "bigpump", "x"]), None) for i in [*range(30, 60), *range(300, 360)]]
+
+    def score(c, p):
+        near = c[2] - p[2] if c[2] is not None and p[2] is not None and c[2] > p[2] else None
+        out = 200.0 * (c[5] is not None and (c[5] == str(p[2]) or c[5] == p[1]))
+        if c[1] and p[1] and min(len(c[1]), len(p[1])) >= 8 and c[1][:8] == p[1][:8] and c[1] != p[1]:
+            out += 100 + next((k for k in range(8, 10) if c[1][k] != p[1][k]), 10) - 8
+        out += 50 * (1 - near / 100) if near is not None and near <= 100 else 0
+        out += 25 * (c[3] is not None and c[3] == p[3])
+        found = re.findall("[A-Z][a-z]+|[A-Z]+(?=[A-Z]|$)", (p[4] or "").split(":")[0])
+        return out + 10 * any(len(w) > 3 and w.lower() in (c[4] or "").split(":")[0].lower() for w in found), near
+
+    want = {}
+    for c in children:
+        ways = [(-s, n is None, n or 0, p[0]) for p in parents if p[0] != c[0] for s, n in [score(c, p)] if s > 0]
+        if ways:
+            best = min(ways)
+            want[c[0]] = (best[3], round(-best[0], 6), None if best[1] else best[2])
+    schema = "id long, guid string, tag long, container int, name string"
+    out = ladders.match_children(spark.createDataFrame(parents, schema), spark.createDataFrame(children, schema + ", ref string")).collect()
+    assert len(want) > 150 and any(s == 10 for _, s, _ in want.values())
+    assert {r["child"]: (r["parent"], round(r["score"], 6), r["distance"]) for r in out} == want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_centrality_counts_leaves_at_their_neighbour(spark, seed):
     pairs = [p for p in graph(seed, 16, 17) if p[0] != p[1]] + [(30, 31), (40, 41), (40, 42), (40, 43)]
