@@ -120,6 +120,20 @@ def test_lineage_down_has_no_limit_of_rows(few_rows):
     assert out.count() == sum(i.bit_length() - 1 for i in range(1, 200))
 
 
+def test_lineage_down_has_no_limit_of_depth(spark, tmp_path):
+    from girder.plans import catalog, models
+
+    rows = [(3**k, "view" if k else "signup") for k in range(15)]
+    spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(tuple(r) for r in models.lineage_down(catalog.Tables(spark, str(tmp_path))).collect()) == [(1, 3**k, k) for k in range(1, 15)]
+
+
+def test_walk_without_depth_ends_on_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 3), (3, 4), (5, 5)], "parent_id long, child_id long")
+    out = lineage.walk(edges, edges.select(F.col("parent_id").alias("id")).where("id IN (1, 5)").distinct(), None, up=False)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 1), (1, 3, 2), (1, 4, 3)]
+
+
 def test_path_tree_has_no_limit_of_rows(few_rows):
     out = {r["node"]: (r["depth"], r["path"]) for r in lineage.tree_paths(few_rows, few_rows.where("child_id = 1").select(F.col("child_id").alias("id")), 5).collect()}
     path = lambda i: str(i) if i == 1 else f"{path(i // 2)}/{i}"
