@@ -221,6 +221,28 @@ def test_rooms_of_groups_and_chunks(spark, monkeypatch, chunk):
     assert all(got[g] == v if v else got[g][1] == "proximity" for g, v in want.items())
 
 
+@pytest.mark.parametrize("chunk", [100_000, 20])
+def test_room_match_looks_at_all_voted_rooms(spark, monkeypatch, chunk):
+    """Forty rooms hold all of its points, two only the middle: one shares more of its footprint; of another one nothing is shared."""
+    monkeypatch.setattr(spatial, "CHUNK", chunk)
+    schema = "guid string, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    elements = spark.createDataFrame([("e", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), ("f", 10.0, 0.0, 0.0, 11.0, 1.0, 1.0)], schema)
+    points = [("e", n, x, 0.5, 0.5) for n, x in enumerate((0.5, 0.45, 0.55))] + [("f", n, x, 2.0, 0.5) for n, x in enumerate((10.5, 10.4, 10.6))]
+    rooms = [(f"r{i:02}", 0.4, 0.4, 0.0, 0.6, 0.6, 1.0) for i in range(40)] + [("wide", 0.48, 0.0, 0.0, 0.99, 1.0, 1.0), ("slim", 0.49, 0.4, 0.0, 0.51, 0.6, 1.0)]
+    rooms += [(f"t{i:02}", 10.3, 1.9, 0.0, 10.7, 2.1, 1.0) for i in range(40)] + [("u", 10.45, 1.8, 0.0, 10.55, 2.1, 1.0)]
+    run = lambda **more: {r["guid"]: (r["space"], r["method"], round(r["confidence"], 6), r["candidates"]) for r in spatial.room_match(elements, spark.createDataFrame(points, "guid string, point int, x double, y double, z double"), spark.createDataFrame(rooms, schema), size=0.25, reach=0.1, **more).collect()}
+    assert run(pool=None) == {"e": ("wide", "overlap_geometric", 0.51, 42), "f": ("u", "overlap_geometric", 0.35, 41)}
+    assert run() == {"e": ("r00", "overlap_geometric", 0.04, 32), "f": ("t00", "overlap_geometric", 0.3, 32)}
+
+
+def test_room_match_in_the_plan_looks_at_all_voted_rooms(spark, tmp_path):
+    """Forty rooms hold three points of each element and half its footprint, one only the middle and most of the footprint."""
+    rows = [(5 * i, 0, [0.14, 0.0, 0.0, 0.16, 0.3, 0.3]) for i in range(40)] + [(200, 0, [0.0] * 3 + [0.27, 0.27, 0.3])] + [(5 * i + 1, 0, [0.0] * 3 + [0.29, 0.29, 0.1]) for i in range(3)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = plans.room_match(catalog.Tables(spark, str(tmp_path))).collect()
+    assert {(r["guid"], r["space"], r["method"]) for r in out} == {(5 * i + 1, 200, "overlap_geometric") for i in range(3)}
+
+
 @pytest.fixture
 def crowded(spark, tmp_path):
     """1600 elements and 400 spaces, most of which meet."""
